@@ -6,10 +6,11 @@ parallel edges, so every other operator may count on distinct pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import money, ratio
+from flowloom.operators.lineage import cut
 from flowloom.operators.spread import hot_keys, join_spread, running
 
 
@@ -147,15 +148,16 @@ def _common_neighbours(e: DataFrame, rows_per_task: int | None) -> DataFrame:
     the successor lists are short enough to travel with an edge, and lists are
     intersected instead of forming all pairs of neighbours.
     """
-    pairs = undirected(e).select("a", "b")
-    degree = (
+    pairs = cut(undirected(e).select("a", "b"))
+    n = pairs.count()
+    degree = cut(
         pairs.select(F.explode(F.array("a", "b")).alias("node"))
         .groupBy("node")
         .agg(F.count(F.lit(1)).alias("d"))
     )
     for end in ("a", "b"):
         named = degree.select(F.col("node").alias(end), F.col("d").alias(f"d_{end}"))
-        pairs = join_spread(pairs, named, end, rows_per_task=rows_per_task)
+        pairs = join_spread(pairs, named, end, rows_per_task=rows_per_task, total=n)
     first = F.struct(F.col("d_a").alias("d"), F.col("a").alias("n"))
     second = F.struct(F.col("d_b").alias("d"), F.col("b").alias("n"))
     successors = (
@@ -165,9 +167,10 @@ def _common_neighbours(e: DataFrame, rows_per_task: int | None) -> DataFrame:
         .groupBy("lo")
         .agg(F.collect_list("hi").alias("next"))
     )
+    successors = cut(successors)
     steps = successors.select("lo", "next", F.explode("next").alias("hi"))
     far = successors.select(F.col("lo").alias("hi"), F.col("next").alias("far"))
-    return join_spread(steps, far, "hi", rows_per_task=rows_per_task).select(
+    return join_spread(steps, far, "hi", rows_per_task=rows_per_task, total=n).select(
         "lo", "hi", F.array_intersect("next", "far").alias("common")
     )
 
@@ -233,10 +236,12 @@ def shared_senders(
     bip: DataFrame, pairs: DataFrame, rows_per_task: int | None = None
 ) -> DataFrame:
     """Weight in the projection of the given receiver pairs ``(a, b)``, 0 included."""
-    links = bip.select("sender", "receiver").distinct()
+    links = cut(bip.select("sender", "receiver").distinct())
+    pairs = cut(pairs.select("a", "b"))
+    n = links.count()
     of_a = links.select("sender", F.col("receiver").alias("a"))
     of_b = links.select("sender", F.col("receiver").alias("b"), F.lit(1).alias("_hit"))
-    wanted = join_spread(of_a, pairs.select("a", "b"), "a", rows_per_task=rows_per_task)
+    wanted = join_spread(of_a, pairs, "a", rows_per_task=rows_per_task, total=n)
     hits = join_spread(wanted, of_b, ["b", "sender"], rows_per_task=rows_per_task)
     found = hits.select("a", "b", "_hit").unionByName(
         pairs.select("a", "b", F.lit(0).alias("_hit"))
@@ -248,6 +253,7 @@ def next_in_rank(
     df: DataFrame, by: str, order: str, key: str, rows_per_task: int | None = None
 ) -> DataFrame:
     """Pairs ``(a, b)``: each row of a group and the row just before it in rank."""
+    df = cut(df.select(by, order, key))
     seen = running(
         df,
         [by],
@@ -255,6 +261,7 @@ def next_in_rank(
         lasts={"_before": F.col(key)},
         inclusive=False,
         rows_per_task=rows_per_task,
+        total=df.count(),
     )
     return seen.filter("_before IS NOT NULL").select(
         F.col("_before").alias("a"), F.col(key).alias("b")
@@ -278,14 +285,15 @@ def transitions(
         .groupBy(F.col("_from.event_type").alias("src"), F.col("event_type").alias("dst"))
         .agg(F.count(F.lit(1)).alias("n_steps"))
     )
-    left = steps.groupBy("src").agg(F.sum("n_steps").alias("_out"))
-    return steps.join(left, steps["src"].eqNullSafe(left["src"])).select(
-        steps["src"], "dst", "n_steps", ratio(F.col("n_steps"), F.col("_out")).alias("probability")
-    )
+    # Already one row per pair of event types.
+    out = F.sum("n_steps").over(Window.partitionBy("src"))
+    return steps.withColumn("probability", ratio(F.col("n_steps"), out))
 
 
 def sankey_links(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Links between dense vertex ids: sources from 0, destinations after them."""
+    e = cut(e)
+    n = e.count()
     nodes = e.select(
         F.explode(
             F.array(
@@ -294,16 +302,23 @@ def sankey_links(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
             )
         ).alias("n")
     ).select("n.layer", "n.node").distinct()
-    n_sources = nodes.filter("layer = 0").agg(F.count(F.lit(1))).scalar()
-    numbered = running(
-        nodes, ["layer"], ["node"], sums={"_nr": F.lit(1)}, rows_per_task=rows_per_task
+    numbered = cut(
+        running(
+            nodes,
+            ["layer"],
+            ["node"],
+            sums={"_nr": F.lit(1)},
+            rows_per_task=rows_per_task,
+            total=2 * n,
+        )
     )
+    n_sources = numbered.filter("layer = 0").count()
     source = numbered.filter("layer = 0").select(
         F.col("node").alias("src"), (F.col("_nr") - 1).alias("source_id")
     )
     target = numbered.filter("layer = 1").select(
         F.col("node").alias("dst"), (F.col("_nr") - 1 + n_sources).alias("target_id")
     )
-    links = join_spread(e, source, "src", rows_per_task=rows_per_task)
-    links = join_spread(links, target, "dst", rows_per_task=rows_per_task)
+    links = join_spread(e, source, "src", rows_per_task=rows_per_task, total=n)
+    links = join_spread(links, target, "dst", rows_per_task=rows_per_task, total=n)
     return links.select("source_id", "target_id", "src", "dst", "weight")

@@ -1,9 +1,9 @@
 """Graph algorithms that run in rounds.
 
 The driver keeps a few numbers per round, never rows.  Each round ends in a
-checkpoint on shared storage, which keeps the plan the same size in every
-round and bounds what a lost executor costs.  A loop ends when nothing changes
-any more and raises if that takes more rounds than allowed.
+table on shared storage, which keeps the plan the same size in every round and
+bounds what a lost executor costs.  A loop ends when nothing changes any more
+and raises if that takes more rounds than allowed.
 
 The edges do not change between rounds, so their hot keys are found and salted
 once.  A vertex table is broadcast to the edges while its counted rows are
@@ -18,8 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.graph import undirected
-from flowloom.operators.lineage import cut
-from flowloom.operators.spread import copy_rows, hot_keys, join_spread, salt_rows
+from flowloom.operators.lineage import Rounds, cut
+from flowloom.operators.spread import (
+    copy_rows,
+    fits_one_task,
+    hot_keys,
+    join_spread,
+    salt_rows,
+)
 
 BROADCAST_ROWS = 500_000
 
@@ -34,20 +40,24 @@ class Adjacency:
 
     key: str
     rows: DataFrame
-    hot: DataFrame
+    hot: DataFrame | None
 
     @classmethod
     def of(cls, e: DataFrame, key: str, rows_per_task: int | None = None) -> Adjacency:
         e = cut(e)
+        if fits_one_task(e.count(), rows_per_task):
+            return cls(key, e, None)
         hot = cut(hot_keys(e, [key], rows_per_task).select(key, "_parts"))
         return cls(key, salt_rows(e, [key], hot), hot)
 
     def join(self, nodes: DataFrame, n_nodes: int) -> DataFrame:
         """Edges with the columns of ``nodes``, which has the key column of this end."""
         if n_nodes <= BROADCAST_ROWS:
-            return self.rows.join(F.broadcast(nodes), self.key).drop("_salt")
-        copies = copy_rows(nodes, [self.key], self.hot)
-        return self.rows.join(copies, [self.key, "_salt"]).drop("_salt")
+            nodes = F.broadcast(nodes)
+        elif self.hot is not None:
+            copies = copy_rows(nodes, [self.key], self.hot)
+            return self.rows.join(copies, [self.key, "_salt"]).drop("_salt")
+        return self.rows.join(nodes, self.key).drop("_salt")
 
 
 def _nodes(e: DataFrame) -> DataFrame:
@@ -80,7 +90,8 @@ def bfs_levels(
     until no new vertex turns up.
     """
     out = Adjacency.of(e.select("src", "dst").filter("src <> dst"), "src", rows_per_task)
-    seen = cut(seeds.select("node").distinct().withColumn("level", F.lit(0)))
+    state = Rounds()
+    seen = state.step(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     n_new = n_seen = seen.count()
     level = 0
     while n_new and (max_rounds is None or level < max_rounds):
@@ -92,7 +103,9 @@ def bfs_levels(
         reached = out.join(front, n_new).select(
             F.col("dst").alias("node"), F.lit(level).alias("level")
         )
-        seen = cut(seen.unionByName(reached).groupBy("node").agg(F.min("level").alias("level")))
+        seen = state.step(
+            seen.unionByName(reached).groupBy("node").agg(F.min("level").alias("level"))
+        )
         total = seen.count()
         n_new, n_seen = total - n_seen, total
     return seen
@@ -105,11 +118,13 @@ def k_hop(
     return bfs_levels(e, seeds, max_rounds=k, rows_per_task=rows_per_task)
 
 
-def _pull_to_least(sym: DataFrame, rows_per_task: int | None) -> DataFrame:
+def _pull_to_least(e: DataFrame, rows_per_task: int | None, total: int) -> DataFrame:
     """``(src, dst, least)``: every edge with the least neighbour of its source."""
-    least = sym.groupBy("src").agg(F.min("dst").alias("least"), F.count(F.lit(1)).alias("_rows"))
+    least = e.groupBy("src").agg(F.min("dst").alias("least"), F.count(F.lit(1)).alias("_rows"))
+    if fits_one_task(total, rows_per_task):
+        return e.join(least.drop("_rows"), "src")
     hot = hot_keys(least, ["src"], rows_per_task, counted=True)
-    return join_spread(sym, least.drop("_rows"), "src", hot=hot)
+    return join_spread(e, least.drop("_rows"), "src", hot=hot)
 
 
 def connected_components(
@@ -122,28 +137,37 @@ def connected_components(
     The graph ends up as one star per component, and does so in far fewer
     rounds than its diameter: paths shrink by half each time.
     """
+    e = cut(e.select("src", "dst"))
     nodes = _nodes(e)
+    state, half = Rounds(), Rounds()
     # Links point from the greater vertex to the smaller one.
-    links = cut(
+    links = state.step(
         e.filter("src <> dst")
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .distinct()
     )
     for _ in range(give_up):
-        sym = links.unionByName(
-            links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        )
-        large = (
-            _pull_to_least(sym, rows_per_task)
+        n_links = links.count()
+        sym = links.select(
+            F.explode(
+                F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            ).alias("x")
+        ).select("x.src", "x.dst")
+        large = half.step(
+            _pull_to_least(sym, rows_per_task, 2 * n_links)
             .filter("dst > src")
             .select(F.col("dst").alias("src"), F.least("src", "least").alias("dst"))
             .distinct()
         )
-        pulled = _pull_to_least(large, rows_per_task)
-        links = cut(
-            pulled.filter("dst <> least")
-            .select(F.col("dst").alias("src"), F.col("least").alias("dst"))
-            .unionByName(pulled.select("src", F.col("least").alias("dst")))
+        to_least = F.array(
+            F.struct(F.col("dst").alias("src"), F.col("least").alias("dst")),
+            F.struct(F.col("src"), F.col("least").alias("dst")),
+        )
+        links = state.step(
+            _pull_to_least(large, rows_per_task, large.count())
+            .select(F.explode(to_least).alias("x"))
+            .select("x.src", "x.dst")
+            .filter("src <> dst")
             .distinct()
         )
         ends = links.select(
@@ -160,6 +184,7 @@ def connected_components(
             .filter("leaf > 1 OR (leaf = 1 AND hub = 1)")
         )
         if not_star.isEmpty():
+            half.drop(e.sparkSession)
             own = nodes.select("node", F.col("node").alias("component"))
             linked = links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
             return own.unionByName(linked).groupBy("node").agg(F.min("component").alias("component"))
@@ -173,11 +198,15 @@ def pagerank(
 
     The rank of vertices without outgoing weight is shared out evenly.
     """
+    e = cut(e.select("src", "dst", "weight"))
     weight = F.col("weight").cast("double")
     sent = e.groupBy("src").agg(F.sum(weight).alias("_sent"), F.count(F.lit(1)).alias("_rows"))
     sent = sent.filter("_sent > 0")
+    n_edges = e.count()
     hot = hot_keys(sent, ["src"], rows_per_task, counted=True)
-    shares = join_spread(e, sent.drop("_rows"), "src", hot=hot).select(
+    shares = join_spread(
+        e, sent.drop("_rows"), "src", rows_per_task=rows_per_task, hot=hot, total=n_edges
+    ).select(
         "src", "dst", (weight / F.col("_sent")).alias("share")
     )
     out = Adjacency.of(shares, "src", rows_per_task)
@@ -201,6 +230,7 @@ def pagerank(
     n_idle = nodes.filter("NOT sends").count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     idle = n_idle / n
+    state = Rounds()
     for _ in range(rounds):
         received = out.join(
             ranks.filter("sends").select(F.col("node").alias("src"), "rank"), n
@@ -210,7 +240,7 @@ def pagerank(
             F.lit(None).cast("boolean").alias("sends"),
         )
         base = nodes.select("node", F.lit(0.0).alias("got"), "sends")
-        ranks = cut(
+        ranks = state.step(
             received.unionByName(base)
             .groupBy("node")
             .agg(
@@ -230,9 +260,10 @@ def k_core(
 
     Each round removes every vertex below ``k`` at once.
     """
-    pairs = cut(undirected(e).select("a", "b"))
+    left, counted = Rounds(), Rounds()
+    pairs = left.step(undirected(e).select("a", "b"))
     for _ in range(give_up):
-        degree = cut(
+        degree = counted.step(
             pairs.select(F.explode(F.array("a", "b")).alias("node"))
             .groupBy("node")
             .agg(F.count(F.lit(1)).alias("core_degree"))
@@ -248,7 +279,7 @@ def k_core(
             else:
                 stay = degree.filter(F.col("core_degree") >= k).select(F.col("node").alias(end))
                 pairs = join_spread(pairs, stay, end, rows_per_task=rows_per_task)
-        pairs = cut(pairs)
+        pairs = left.step(pairs)
     raise NotConverged(f"vertices still drop out after {give_up} rounds")
 
 
@@ -260,8 +291,10 @@ def label_propagation(
     A vertex takes the most frequent label among its neighbours, the smallest
     of those that tie.  Vertices without neighbours keep their own.
     """
+    e = cut(e.select("src", "dst", "weight"))
     near = Adjacency.of(both_directions(e), "src", rows_per_task)
     nodes = cut(_nodes(e))
+    state = Rounds()
     n = nodes.count()
     labels = nodes.withColumn("label", F.col("node"))
     for _ in range(rounds):
@@ -272,7 +305,7 @@ def label_propagation(
         )
         own = nodes.select("node", F.col("node").alias("label"), F.lit(0).cast("bigint").alias("votes"))
         best = F.max(F.struct("votes", (-F.col("label")).alias("less")))
-        labels = cut(
+        labels = state.step(
             votes.unionByName(own)
             .groupBy("node")
             .agg((-best["less"]).alias("label"))
@@ -284,11 +317,12 @@ def hits(
     e: DataFrame, rounds: int = 5, rows_per_task: int | None = None
 ) -> DataFrame:
     """Hub and authority scores, each summing to 1, after a fixed number of rounds."""
-    pairs = e.select("src", "dst").distinct()
+    pairs = cut(e.select("src", "dst").distinct())
     by_src = Adjacency.of(pairs, "src", rows_per_task)
     by_dst = Adjacency.of(pairs, "dst", rows_per_task)
-    nodes = cut(_nodes(e))
+    nodes = cut(_nodes(pairs))
     n = nodes.count()
+    state = Rounds()
     scores = nodes.select("node", F.lit(1.0).alias("hub"), F.lit(0.0).alias("authority"))
     hub_sum = authority_sum = 1.0
 
@@ -301,7 +335,7 @@ def hits(
         sent_back = by_dst.join(authority.withColumnsRenamed({"node": "dst", "score": "s"}), n)
         hub = gather(sent_back, "src", F.col("s"))
         zero = F.lit(0.0)
-        scores = cut(
+        scores = state.step(
             nodes.select("node", zero.alias("hub"), zero.alias("authority"))
             .unionByName(hub.select("node", F.col("score").alias("hub"), zero.alias("authority")))
             .unionByName(authority.select("node", zero.alias("hub"), F.col("score").alias("authority")))

@@ -1,17 +1,51 @@
-"""Cutting the plan of a loop so that it does not grow with the rounds."""
+"""Intermediate tables in the shared folder.
+
+A loop writes the state of each round as a parquet table and reads on from it.
+The plan then has the same size in every round, a lost executor costs tasks of
+the current round only, and Spark knows the size of what it reads, so that it
+can broadcast a small table and shuffle a large one.  Operators that go through
+their input several times write it once for the same reasons.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from flowloom.sources.sinks import scratch_path
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
 
-from flowloom.sources.sinks import shared_folder
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and read on from there.
+    """Write ``df`` to a new table and return a scan of it."""
+    return _written(df)[0]
+
+
+class Rounds:
+    """The state of a loop; writing the next state removes the one before."""
+
+    def __init__(self) -> None:
+        self._path: str | None = None
+
+    def step(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        if self._path is not None:
+            _remove(df.sparkSession, self._path)
+        self._path = path
+        return out
 
-    The copy is on shared storage, so a lost executor costs the tasks of the
-    current round only.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def drop(self, spark: SparkSession) -> None:
+        """Remove the last state, once nothing reads it any more."""
+        if self._path is not None:
+            _remove(spark, self._path)
+            self._path = None

@@ -9,7 +9,10 @@ helpers here deal with what is left:
 ``running``       running sums and carried values over such pieces;
 ``join_spread``   a join with the hot keys of its larger side spread by a salt.
 
-All of them start from ``hot_keys``.  It keeps only keys with more rows than
+An input of at most ``ROWS_PER_TASK`` rows has no hot key; callers that know the
+number of rows pass it as ``total`` and get the plain window or join.
+
+Otherwise the helpers start from ``hot_keys``.  It keeps only keys with more rows than
 one task should take, and never more than ``MAX_HOT`` of them, because the row
 limit is at least ``total / MAX_HOT``.  That bound is what makes it safe to
 broadcast the hot keys, and the per-piece summaries made from them, whatever
@@ -33,6 +36,11 @@ MAX_HOT = 50_000
 OVERSPLIT = 4
 
 
+def fits_one_task(total: int | None, rows_per_task: int | None) -> bool:
+    """Whether a counted input is so small that none of its keys can be hot."""
+    return total is not None and total <= (rows_per_task or ROWS_PER_TASK)
+
+
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for key in keys:
@@ -77,14 +85,12 @@ def with_chunks(
     keys: Sequence[str],
     order_col: str,
     rows_per_task: int | None = None,
-    weight: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """Number the consecutive pieces of each group along ``order_col``.
 
-    Returns the rows with ``_chunk`` (0 for every row of a group that fits one
-    task), ``_hot`` and ``_total`` (of ``weight``, or rows; NULL unless hot),
-    and the hot keys.  Rows with equal ``order_col`` share a piece, and pieces
-    follow the ascending order with NULLs first.
+    Adds ``_chunk``, 0 for every row of a group that fits one task, and
+    ``_hot``.  Rows with equal ``order_col`` share a piece, and pieces follow
+    the ascending order with NULLs first.
     """
     pos = position(F.col(order_col), df.schema[order_col].dataType)
     hot = hot_keys(
@@ -93,18 +99,16 @@ def with_chunks(
         rows_per_task,
         _lo=F.min(pos),
         _hi=F.max(pos),
-        _total=F.sum(weight) if weight else F.count(F.lit(1)),
     )
     pieces = F.col("_parts") * OVERSPLIT
     share = F.try_divide(pos - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     chunk = F.least(pieces - 1, F.floor(share * pieces).cast("int"))
-    rows = (
-        _join_hot(df, hot.select(*keys, "_parts", "_lo", "_hi", "_total"), keys, "left")
+    return (
+        _join_hot(df, hot.select(*keys, "_parts", "_lo", "_hi"), keys, "left")
         .withColumn("_hot", F.col("_parts").isNotNull())
         .withColumn("_chunk", F.when(F.col("_hot"), F.coalesce(chunk, F.lit(0))).otherwise(0))
         .drop("_parts", "_lo", "_hi")
     )
-    return rows, hot
 
 
 def running(
@@ -117,6 +121,7 @@ def running(
     peers: bool = False,
     inclusive: bool = True,
     rows_per_task: int | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Running values per group, in two levels so that no group needs one task.
 
@@ -133,9 +138,9 @@ def running(
     prepared = df.withColumns(
         {f"_in_{n}": c for n, c in (sums | lasts | totals).items()}
     )
-    rows, _ = with_chunks(prepared, keys, order[0], rows_per_task)
-
-    piece = [*keys, "_chunk"]
+    small = fits_one_task(total, rows_per_task)
+    rows = prepared if small else with_chunks(prepared, keys, order[0], rows_per_task)
+    piece = [*keys] if small else [*keys, "_chunk"]
     ordered = Window.partitionBy(*piece).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     end = Window.currentRow if inclusive else -1
     frame = (
@@ -148,6 +153,10 @@ def running(
     local |= {f"_at_{n}": F.last(f"_in_{n}", ignorenulls=True).over(frame) for n in lasts}
     local |= {f"_at_{n}": F.sum(f"_in_{n}").over(whole) for n in totals}
 
+    at = rows.withColumns(local)
+    if small:
+        return _finish(df, at, sums, lasts, totals, carried=False)
+
     latest = F.struct(*order)
     summary = (
         rows.filter("_hot")
@@ -171,19 +180,26 @@ def running(
         *[F.sum(f"_s_{n}").over(group).alias(f"_carry_{n}") for n in totals],
     )
 
-    out = _join_hot(rows.withColumns(local), carry, piece, "left")
+    return _finish(df, _join_hot(at, carry, piece, "left"), sums, lasts, totals, carried=True)
+
+
+def _finish(df, at, sums, lasts, totals, carried: bool) -> DataFrame:
+    """Put the value inside the piece and the value before it together."""
+
+    def start(name: str) -> Column:
+        return F.col(f"_carry_{name}") if carried else F.lit(None)
+
     result = {}
     for n in sums:
-        dtype = out.schema[f"_at_{n}"].dataType
+        dtype = at.schema[f"_at_{n}"].dataType
         zero = F.lit(0).cast(dtype)
-        step = F.coalesce(F.col(f"_at_{n}"), zero) + F.coalesce(F.col(f"_carry_{n}"), zero)
-        result[n] = step.cast(dtype)
+        result[n] = (F.coalesce(f"_at_{n}", zero) + F.coalesce(start(n), zero)).cast(dtype)
     for n in lasts:
-        result[n] = F.coalesce(f"_at_{n}", f"_carry_{n}")
+        result[n] = F.coalesce(f"_at_{n}", start(n))
     for n in totals:
-        result[n] = F.coalesce(f"_carry_{n}", f"_at_{n}")
+        result[n] = F.coalesce(start(n), f"_at_{n}")
     kept = [c for c in df.columns if c not in result]
-    return out.select(*kept, *[c.alias(n) for n, c in result.items()])
+    return at.select(*kept, *[c.alias(n) for n, c in result.items()])
 
 
 def salt_rows(big: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
@@ -208,6 +224,7 @@ def join_spread(
     rows_per_task: int | None = None,
     hot: DataFrame | None = None,
     nulls_match: bool = False,
+    total: int | None = None,
 ) -> DataFrame:
     """Join on equal keys with the hot keys of ``big`` spread over several tasks.
 
@@ -217,14 +234,15 @@ def join_spread(
     them first.  ``hot`` saves finding the hot keys again.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if hot is None:
-        hot = hot_keys(big, on, rows_per_task)
-    left, right = salt_rows(big, on, hot), copy_rows(small, on, hot)
-    keys = [*on, "_salt"]
+    if fits_one_task(total, rows_per_task):
+        left, right, keys = big, small, on
+    else:
+        hot = hot_keys(big, on, rows_per_task) if hot is None else hot
+        left, right, keys = salt_rows(big, on, hot), copy_rows(small, on, hot), [*on, "_salt"]
     if not nulls_match:
         return left.join(right, keys, how).drop("_salt")
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    cond = left["_salt"] == renamed["_r__salt"]
-    for k in on:
+    cond = F.lit(True)
+    for k in keys:
         cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
     return left.join(renamed, cond, how).drop("_salt", *[f"_r_{k}" for k in keys])

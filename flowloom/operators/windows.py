@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import money, ratio
+from flowloom.operators.lineage import cut
 from flowloom.operators.spread import join_spread, running
 
 
@@ -178,6 +179,8 @@ def distribution(
     size of the group.  Rows that tie are numbered among themselves by ``tie``,
     so a value shared by very many rows can be cut into pieces as well.
     """
+    df = cut(df)
+    n = df.count()
     counted = df.groupBy(by, col).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(
         counted,
@@ -186,10 +189,13 @@ def distribution(
         sums={"_upto": F.col("_n")},
         totals={"_all": F.col("_n")},
         rows_per_task=rows_per_task,
+        total=n,
+    )
+    numbered = running(
+        df, [by, col], [tie], sums={"_in": F.lit(1)}, rows_per_task=rows_per_task, total=n
     )
-    numbered = running(df, [by, col], [tie], sums={"_in": F.lit(1)}, rows_per_task=rows_per_task)
     rows = join_spread(
-        numbered, ranked, [by, col], rows_per_task=rows_per_task, nulls_match=True
+        numbered, ranked, [by, col], rows_per_task=rows_per_task, nulls_match=True, total=n
     )
     before, size = F.col("_upto") - F.col("_n"), F.col("_all")
     row = before + F.col("_in")
