@@ -1,8 +1,10 @@
 """Column expressions; all of them stay inside the JVM."""
 
 from flowloom.functions.columns import (
+    fixed,
     json_field,
     money,
+    net_value,
     position,
     ratio,
     route_label,
@@ -12,8 +14,10 @@ from flowloom.functions.columns import (
 )
 
 __all__ = [
+    "fixed",
     "json_field",
     "money",
+    "net_value",
     "position",
     "ratio",
     "route_label",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,28 @@ def money(col: Column) -> Column:
     return col.cast("decimal(38,4)")
 
 
+def fixed(number: Column, scale: int) -> Column:
+    """A double as decimal(18, scale), by way of a long.
+
+    Casting doubles to decimals goes through text for every row; rounding to a
+    whole number of the smallest unit first is several times as fast.
+    """
+    units = F.rint(number * 10**scale).cast("bigint").cast("decimal(18,0)")
+    return _scaled(units, scale)
+
+
+def _scaled(units: Column, scale: int) -> Column:
+    unit = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale + 1},{scale})")
+    return (units * unit).cast(f"decimal(18,{scale})")
+
+
+def net_value(price: Column, discount: Column) -> Column:
+    """``price * (1 - discount)`` as decimal(18,4), both given to the cent and per cent."""
+    cents = F.rint(price * 100).cast("bigint")
+    per_cent = 100 - F.rint(discount * 100).cast("bigint")
+    return _scaled((cents * per_cent).cast("decimal(18,0)"), 4)
+
+
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
     """Quotient as a rounded double, NULL where ``whole`` is zero."""
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)
@@ -24,7 +48,7 @@ def seconds(ts: Column) -> Column:
 
 
 def position(col: Column, dtype: T.DataType) -> Column:
-    """A double that never decreases as ``col`` grows, finite for every value."""
+    """A double that never decreases as ``col`` grows, finite for every value but NULL."""
     if isinstance(dtype, T.TimestampNTZType):
         number = seconds(col).cast("double")
     elif isinstance(dtype, T.TimestampType):
@@ -34,7 +58,9 @@ def position(col: Column, dtype: T.DataType) -> Column:
     else:
         number = col.cast("double")
     # NaN sorts above every number, so least() also turns it into the bound.
-    return F.greatest(F.least(number, F.lit(1e300)), F.lit(-1e300))
+    # Both functions skip NULL, which has to stay NULL.
+    bounded = F.greatest(F.least(number, F.lit(1e300)), F.lit(-1e300))
+    return F.when(number.isNotNull(), bounded)
 
 
 def json_field(props: Column, path: str, dtype: str) -> Column:

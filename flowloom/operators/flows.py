@@ -7,7 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions import json_field, route_label, time_parts, value_band
+from flowloom.functions import (
+    fixed,
+    json_field,
+    net_value,
+    route_label,
+    time_parts,
+    value_band,
+)
 from flowloom.sources import scan
 
 
@@ -41,13 +48,8 @@ def flow_facts(
         "l_orderkey",
         "l_suppkey",
         *(["l_partkey"] if asset else []),
-        F.col("l_quantity").cast("decimal(18,2)").alias("qty"),
-        (
-            F.col("l_extendedprice").cast("decimal(18,2)")
-            * (1 - F.col("l_discount").cast("decimal(4,2)"))
-        )
-        .cast("decimal(18,4)")
-        .alias("value"),
+        fixed(F.col("l_quantity"), 2).alias("qty"),
+        net_value(F.col("l_extendedprice"), F.col("l_discount")).alias("value"),
     )
     order = t("orders", pred=orders).select(
         F.col("o_orderkey").alias("l_orderkey"),

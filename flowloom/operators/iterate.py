@@ -146,8 +146,9 @@ def connected_components(
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .distinct()
     )
+    # Neither star operation adds links, so the first count holds as a bound.
+    n_links = links.count()
     for _ in range(give_up):
-        n_links = links.count()
         sym = links.select(
             F.explode(
                 F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -164,7 +165,7 @@ def connected_components(
             F.struct(F.col("src"), F.col("least").alias("dst")),
         )
         links = state.step(
-            _pull_to_least(large, rows_per_task, large.count())
+            _pull_to_least(large, rows_per_task, n_links)
             .select(F.explode(to_least).alias("x"))
             .select("x.src", "x.dst")
             .filter("src <> dst")

@@ -102,11 +102,13 @@ def with_chunks(
     )
     pieces = F.col("_parts") * OVERSPLIT
     share = F.try_divide(pos - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    chunk = F.least(pieces - 1, F.floor(share * pieces).cast("int"))
+    # least() skips NULL, so NULL positions and groups of one value go to piece 0 here.
+    piece = F.least(pieces - 1, F.floor(share * pieces).cast("int"))
+    chunk = F.when(F.col("_hot") & share.isNotNull(), piece).otherwise(0)
     return (
         _join_hot(df, hot.select(*keys, "_parts", "_lo", "_hi"), keys, "left")
         .withColumn("_hot", F.col("_parts").isNotNull())
-        .withColumn("_chunk", F.when(F.col("_hot"), F.coalesce(chunk, F.lit(0))).otherwise(0))
+        .withColumn("_chunk", chunk)
         .drop("_parts", "_lo", "_hi")
     )
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions import money, ratio
+from flowloom.functions import fixed, money, ratio
 from flowloom.operators.lineage import cut
 from flowloom.operators.spread import join_spread, running
 
@@ -133,7 +133,7 @@ def time_bucket(events: DataFrame, width: str, by: Sequence[str] = ()) -> DataFr
         events.groupBy(*by, F.window("ts", width).alias("_w"))
         .agg(
             F.count(F.lit(1)).alias("n_events"),
-            F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(38,2)").alias("sum_value"),
+            F.sum(fixed(F.col("value"), 2)).cast("decimal(38,2)").alias("sum_value"),
         )
         .select(*by, F.col("_w.start").alias("bucket_start"), "n_events", "sum_value")
     )

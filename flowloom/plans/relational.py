@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.functions import money
+from flowloom.functions import fixed, money
 from flowloom.operators import aggregates as agg
 from flowloom.operators import flows as fl
 from flowloom.operators import graph
@@ -237,7 +237,7 @@ def join_inner(spark, sf_dir):
         .groupBy("c_mktsegment", "o_orderstatus")
         .agg(
             F.count(F.lit(1)).alias("n_orders"),
-            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total_price"),
+            F.sum(fixed(F.col("o_totalprice"), 2)).cast("decimal(38,2)").alias("total_price"),
         )
     )
 
@@ -338,7 +338,7 @@ def band_clicks_before_purchase(spark, sf_dir):
     purchases = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicks = events.filter("event_type = 'click'").select("user_id", "ts", "value")
     return joins.band_totals(
-        purchases, clicks, "user_id", "ts", "12 HOURS", F.col("value").cast("decimal(18,2)")
+        purchases, clicks, "user_id", "ts", "12 HOURS", fixed(F.col("value"), 2)
     ).withColumn("sum_in_band", F.col("sum_in_band").cast("decimal(38,2)"))
 
 
@@ -389,7 +389,7 @@ def cube_flag_status(spark, sf_dir):
     line = scan(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("p_partkey"),
         "l_returnflag",
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("value"),
+        fixed(F.col("l_extendedprice"), 2).alias("value"),
     )
     part = scan(spark, sf_dir, "part", ["p_partkey", "p_brand"])
     return agg.cubed(line.join(part, "p_partkey"), ["l_returnflag", "p_brand"])

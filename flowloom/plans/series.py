@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.functions import money
+from flowloom.functions import fixed, money
 from flowloom.operators import flows as fl
 from flowloom.operators import windows as win
 from flowloom.plans.registry import FLOWS, PLAIN_FLOWS, query, with_sql
@@ -98,7 +98,7 @@ def rolling_7_days(spark, sf_dir):
 def rolling_6_hours(spark, sf_dir):
     events = scan(spark, sf_dir, "events", ["event_id", "user_id", "ts", "value"])
     return win.rolling_time(
-        events, "user_id", "6 HOURS", F.col("value").cast("decimal(18,2)")
+        events, "user_id", "6 HOURS", fixed(F.col("value"), 2)
     ).select(
         "event_id",
         "user_id",

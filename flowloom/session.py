@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", name: str = "flowloom", **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
