@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import money
+from flowloom.operators.lineage import cut
 from flowloom.operators.spread import running
 
 
@@ -77,7 +78,7 @@ def quantiles(
     show which value stands at a rank, and one more aggregation picks the two
     ranks around each quantile.  No group is held in memory.
     """
-    counted = (
+    counted = cut(
         df.filter(F.col(col).isNotNull())
         .groupBy(by, col)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -89,6 +90,7 @@ def quantiles(
         sums={"_end": F.col("_n")},
         totals={"_all": F.col("_n")},
         rows_per_task=rows_per_task,
+        total=counted.count(),
     )
     start = F.col("_end") - F.col("_n")
 

@@ -37,11 +37,14 @@ def strong_edges(
     e: DataFrame, min_share: float, rows_per_task: int | None = None
 ) -> DataFrame:
     """Edges that carry at least ``min_share`` of what their source sends."""
+    e = cut(e)
     sent = e.groupBy("src").agg(
         F.sum("weight").cast("double").alias("_sent"), F.count(F.lit(1)).alias("_rows")
     )
     hot = hot_keys(sent, ["src"], rows_per_task, counted=True)
-    joined = join_spread(e, sent.drop("_rows"), "src", hot=hot)
+    joined = join_spread(
+        e, sent.drop("_rows"), "src", rows_per_task=rows_per_task, hot=hot, total=e.count()
+    )
     return joined.filter(F.col("weight").cast("double") >= F.col("_sent") * min_share).select(
         *e.columns
     )
@@ -140,15 +143,16 @@ def graph_stats(e: DataFrame) -> DataFrame:
     )
 
 
-def _common_neighbours(e: DataFrame, rows_per_task: int | None) -> DataFrame:
+def _common_neighbours(pairs: DataFrame, rows_per_task: int | None) -> DataFrame:
     """``(lo, hi, common)``: every triangle once, as a later vertex common to an edge.
 
+    ``pairs`` holds the distinct pairs ``a < b`` as a written table.
+
     Edges point from the vertex of lower degree to the one of higher degree.  A
     vertex then has at most ``sqrt(2 * edges)`` successors, hubs included, so
     the successor lists are short enough to travel with an edge, and lists are
     intersected instead of forming all pairs of neighbours.
     """
-    pairs = cut(undirected(e).select("a", "b"))
     n = pairs.count()
     degree = cut(
         pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -177,7 +181,7 @@ def _common_neighbours(e: DataFrame, rows_per_task: int | None) -> DataFrame:
 
 def triangle_count(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Number of triangles of the undirected graph."""
-    found = _common_neighbours(e, rows_per_task)
+    found = _common_neighbours(cut(undirected(e).select("a", "b")), rows_per_task)
     return found.agg(
         F.coalesce(F.sum(F.size("common")), F.lit(0)).cast("bigint").alias("n_triangles")
     )
@@ -185,7 +189,8 @@ def triangle_count(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
 
 def clustering(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Degree, triangles and local clustering of each vertex; 0 below degree two."""
-    found = _common_neighbours(e, rows_per_task).filter(F.size("common") > 0)
+    pairs = cut(undirected(e).select("a", "b"))
+    found = _common_neighbours(pairs, rows_per_task).filter(F.size("common") > 0)
     n = F.size("common").cast("bigint")
     corners = F.concat(
         F.array(
@@ -199,7 +204,7 @@ def clustering(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     triangles = found.select(F.explode(corners).alias("c")).select(
         "c.node", F.lit(0).cast("bigint").alias("d"), "c.t"
     )
-    degree = undirected(e).select(
+    degree = pairs.select(
         F.explode(F.array("a", "b")).alias("node"),
         F.lit(1).cast("bigint").alias("d"),
         F.lit(0).cast("bigint").alias("t"),
@@ -221,10 +226,12 @@ def projection_strength(bip: DataFrame, rows_per_task: int | None = None) -> Dat
     pairs), but the weights at a receiver add up to the other receivers of its
     senders, which takes one count per sender.
     """
-    links = bip.select("sender", "receiver").distinct()
+    links = cut(bip.select("sender", "receiver").distinct())
     reach = links.groupBy("sender").agg(F.count(F.lit(1)).alias("_rows"))
     hot = hot_keys(reach, ["sender"], rows_per_task, counted=True)
-    joined = join_spread(links, reach, "sender", hot=hot)
+    joined = join_spread(
+        links, reach, "sender", rows_per_task=rows_per_task, hot=hot, total=links.count()
+    )
     return joined.groupBy("receiver").agg(
         F.count(F.lit(1)).alias("n_senders"),
         F.sum(F.when(F.col("_rows") > 1, 1).otherwise(0)).alias("n_shared_senders"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.lineage import cut
 from flowloom.operators.spread import running
 
 
@@ -36,6 +37,7 @@ def both_ways(e: DataFrame) -> DataFrame:
     keeps edges with ``src < dst``, the backward side the others.  Edges from a
     place to itself are left out.
     """
+    e = cut(e)
     forward = e.filter("src < dst").select(
         F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("forward")
     )

@@ -3,8 +3,11 @@
 A loop writes the state of each round as a parquet table and reads on from it.
 The plan then has the same size in every round, a lost executor costs tasks of
 the current round only, and Spark knows the size of what it reads, so that it
-can broadcast a small table and shuffle a large one.  Operators that go through
-their input several times write it once for the same reasons.
+can broadcast a small table and shuffle a large one.
+
+Operators that go through their input several times write it once.  Spark reuses
+a shuffle only where both readers need exactly the same columns, so without the
+table the joins behind an edge list would run again for every reader.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = True
+    return out, path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -27,8 +32,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a new table and return a scan of it."""
-    return _written(df)[0]
+    """Write ``df`` to a new table and return a scan of it, unless it is such a scan already."""
+    return df if vars(df).get("_written") else _written(df)[0]
 
 
 class Rounds:

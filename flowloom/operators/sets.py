@@ -29,12 +29,14 @@ def lost(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def turnover(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Kept, new and lost rows between two periods, in one frame."""
-    return (
-        kept(a, b).withColumn("status", F.lit("kept"))
-        .unionByName(lost(b, a).withColumn("status", F.lit("new")))
-        .unionByName(lost(a, b).withColumn("status", F.lit("lost")))
-    )
+    """Which rows were kept, are new or were lost between two periods.
+
+    Says in one aggregation what the two set operations would say in three.
+    """
+    marked = a.withColumn("_p", F.lit(1)).unionByName(b.withColumn("_p", F.lit(2)))
+    first, last = F.min("_p"), F.max("_p")
+    status = F.when(last == 1, "lost").when(first == 2, "new").otherwise("kept")
+    return marked.groupBy(*a.columns).agg(status.alias("status"))
 
 
 def intersect_all(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ def fill_gaps(
 
     The bounds default to the first and last period of the whole frame.
     """
+    daily = cut(daily)
     lo = daily.agg(F.min("period")).scalar() if lo is None else lo
     hi = daily.agg(F.max("period")).scalar() if hi is None else hi
     spine = (
@@ -220,6 +221,7 @@ def top_n_plus_other(
     The rest is the total of the group less its largest rows, so only those
     are ever ranked.
     """
+    df = cut(df)
     order = [F.col("total_value").desc_nulls_last(), F.col(label).asc_nulls_first()]
     top = top_n(df, group, order, n).select(*group, label, "total_value")
     sums = (

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from flowloom.functions import money
 from flowloom.operators import flows as fl
 from flowloom.operators import graph, iterate
+from flowloom.operators import windows as win
+from flowloom.operators.lineage import cut
 from flowloom.plans.registry import EDGES, PLAIN_FLOWS, TRADE, query, strong, with_sql
 from flowloom.sources import scan
 
@@ -25,9 +27,17 @@ def _trade(spark, sf_dir):
 
 NATIONS_SQL = (PLAIN_FLOWS, EDGES)
 TRADE_SQL = (PLAIN_FLOWS, TRADE)
-MAIN_ROUTES = 0.06
 MAIN_PARTNERS = 0.15
 
+MAIN_ROUTES_SQL = """strong AS MATERIALIZED (SELECT src, dst, weight FROM edges
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC NULLS LAST, dst) <= 6)"""
+
+
+def _main_routes(spark, sf_dir):
+    """The six destinations each nation sends most to: a sparse graph at any scale."""
+    order = [F.col("weight").desc_nulls_last(), F.col("dst").asc()]
+    return win.top_n(_nations(spark, sf_dir), ["src"], order, 6).select("src", "dst", "weight")
+
 
 @query("edges", with_sql(*NATIONS_SQL, select="SELECT * FROM edges"))
 def edges(spark, sf_dir):
@@ -76,31 +86,31 @@ def net_flow(spark, sf_dir):
     "reciprocity",
     with_sql(
         *NATIONS_SQL,
-        strong(MAIN_ROUTES),
+        MAIN_ROUTES_SQL,
         select="""SELECT count(*) AS n_edges, count(r.src) AS n_mutual,
-                 round(count(r.src) / count(*), 6) AS reciprocity
+                 round(count(r.src) / nullif(count(*), 0), 6) AS reciprocity
           FROM strong e LEFT JOIN strong r ON r.src = e.dst AND r.dst = e.src
           WHERE e.src <> e.dst""",
     ),
 )
 def reciprocity(spark, sf_dir):
-    return graph.reciprocity(graph.strong_edges(_nations(spark, sf_dir), MAIN_ROUTES))
+    return graph.reciprocity(_main_routes(spark, sf_dir))
 
 
 @query(
     "graph_stats",
     with_sql(
         *NATIONS_SQL,
-        strong(MAIN_ROUTES),
+        MAIN_ROUTES_SQL,
         """stats AS (SELECT (SELECT count(*) FROM (SELECT src FROM strong UNION SELECT dst FROM strong))
                AS n_nodes, count(*) AS n_edges, count(*) FILTER (src = dst) AS n_self_loops
              FROM strong)""",
         select="""SELECT *, round(CAST(n_edges - n_self_loops AS DOUBLE)
-                 / (n_nodes * (n_nodes - 1)), 6) AS density FROM stats""",
+                 / nullif(n_nodes * (n_nodes - 1), 0), 6) AS density FROM stats""",
     ),
 )
 def graph_stats(spark, sf_dir):
-    return graph.graph_stats(graph.strong_edges(_nations(spark, sf_dir), MAIN_ROUTES))
+    return graph.graph_stats(_main_routes(spark, sf_dir))
 
 
 # ---- searches and components -----------------------------------------------
@@ -126,15 +136,9 @@ def _bfs_sql(rounds: int) -> list[str]:
     return steps
 
 
-def _top_sender(spark, sf_dir):
-    return (
-        _plain(spark, sf_dir)
-        .groupBy("sender")
-        .agg(F.sum("value").alias("v"))
-        .orderBy(F.col("v").desc(), "sender")
-        .limit(1)
-        .select((F.col("sender") * 2).alias("node"))
-    )
+def _top_sender(trade):
+    sent = trade.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("v"))
+    return win.top_k(sent, [F.col("v").desc(), F.col("node").asc()], 1).select("node")
 
 
 @query(
@@ -143,8 +147,9 @@ def _top_sender(spark, sf_dir):
              select="SELECT node, level FROM l3"),
 )
 def k_hop(spark, sf_dir):
-    near = iterate.both_directions(graph.strong_edges(_trade(spark, sf_dir), 0.1))
-    return iterate.k_hop(near, _top_sender(spark, sf_dir), 3)
+    trade = cut(_trade(spark, sf_dir))
+    near = iterate.both_directions(graph.strong_edges(trade, 0.1))
+    return iterate.k_hop(near, _top_sender(trade), 3)
 
 
 @query(
@@ -153,8 +158,9 @@ def k_hop(spark, sf_dir):
              select="SELECT node, level FROM l24"),
 )
 def bfs_levels(spark, sf_dir):
-    near = iterate.both_directions(graph.strong_edges(_trade(spark, sf_dir), 0.1))
-    return iterate.bfs_levels(near, _top_sender(spark, sf_dir))
+    trade = cut(_trade(spark, sf_dir))
+    near = iterate.both_directions(graph.strong_edges(trade, 0.1))
+    return iterate.bfs_levels(near, _top_sender(trade))
 
 
 def _components_sql(source: str, rounds: int) -> list[str]:
@@ -175,8 +181,8 @@ def _components_sql(source: str, rounds: int) -> list[str]:
 
 @query(
     "connected_components",
-    with_sql(*TRADE_SQL, strong(MAIN_PARTNERS), *_components_sql("strong", 24),
-             select="SELECT node, component FROM c24"),
+    with_sql(*TRADE_SQL, strong(MAIN_PARTNERS), *_components_sql("strong", 60),
+             select="SELECT node, component FROM c60"),
 )
 def connected_components(spark, sf_dir):
     return iterate.connected_components(graph.strong_edges(_trade(spark, sf_dir), MAIN_PARTNERS))
@@ -252,11 +258,11 @@ def _hits_sql(rounds: int) -> list[str]:
 
 @query(
     "hits",
-    with_sql(*NATIONS_SQL, strong(MAIN_ROUTES), *_hits_sql(5),
+    with_sql(*NATIONS_SQL, MAIN_ROUTES_SQL, *_hits_sql(5),
              select="SELECT node, round(hub, 8) AS hub, round(authority, 8) AS authority FROM h5"),
 )
 def hits(spark, sf_dir):
-    scores = iterate.hits(graph.strong_edges(_nations(spark, sf_dir), MAIN_ROUTES), rounds=5)
+    scores = iterate.hits(_main_routes(spark, sf_dir), rounds=5)
     return scores.select(
         "node", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority")
     )
@@ -274,11 +280,11 @@ TRIANGLES = """triangles AS MATERIALIZED (
 
 @query(
     "triangle_count",
-    with_sql(*NATIONS_SQL, strong(MAIN_ROUTES), PAIRS.format("strong"), TRIANGLES,
+    with_sql(*NATIONS_SQL, MAIN_ROUTES_SQL, PAIRS.format("strong"), TRIANGLES,
              select="SELECT count(*) AS n_triangles FROM triangles"),
 )
 def triangle_count(spark, sf_dir):
-    return graph.triangle_count(graph.strong_edges(_nations(spark, sf_dir), MAIN_ROUTES))
+    return graph.triangle_count(_main_routes(spark, sf_dir))
 
 
 @query(
@@ -294,7 +300,7 @@ def triangle_count_all(spark, sf_dir):
     "clustering",
     with_sql(
         *NATIONS_SQL,
-        strong(MAIN_ROUTES),
+        MAIN_ROUTES_SQL,
         PAIRS.format("strong"),
         TRIANGLES,
         select="""SELECT node, degree, coalesce(t, 0) AS triangles,
@@ -307,7 +313,7 @@ def triangle_count_all(spark, sf_dir):
     ),
 )
 def clustering(spark, sf_dir):
-    return graph.clustering(graph.strong_edges(_nations(spark, sf_dir), MAIN_ROUTES))
+    return graph.clustering(_main_routes(spark, sf_dir))
 
 
 def _core_sql(k: int, rounds: int) -> list[str]:
@@ -398,10 +404,14 @@ def projection_strength(spark, sf_dir):
     ),
 )
 def shared_senders_of_rank_neighbours(spark, sf_dir):
-    f = _plain(spark, sf_dir)
-    earned = f.groupBy("dst", "receiver").agg(money(F.sum("value")).alias("total_value"))
+    dealt = cut(
+        _plain(spark, sf_dir)
+        .groupBy("dst", "receiver", "sender")
+        .agg(money(F.sum("value")).alias("value"))
+    )
+    earned = dealt.groupBy("dst", "receiver").agg(money(F.sum("value")).alias("total_value"))
     pairs = graph.next_in_rank(earned, "dst", "total_value", "receiver")
-    return graph.shared_senders(f, pairs)
+    return graph.shared_senders(dealt, pairs)
 
 
 @query(
@@ -421,7 +431,7 @@ def transitions(spark, sf_dir):
     "sankey_links",
     with_sql(
         *NATIONS_SQL,
-        strong(MAIN_ROUTES),
+        MAIN_ROUTES_SQL,
         """sources AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS source_id
           FROM (SELECT DISTINCT src FROM strong))""",
         """targets AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1
@@ -431,4 +441,4 @@ def transitions(spark, sf_dir):
     ),
 )
 def sankey_links(spark, sf_dir):
-    return graph.sankey_links(graph.strong_edges(_nations(spark, sf_dir), MAIN_ROUTES))
+    return graph.sankey_links(_main_routes(spark, sf_dir))
