@@ -91,8 +91,8 @@ def bfs_levels(
     """
     out = Adjacency.of(e.select("src", "dst").filter("src <> dst"), "src", rows_per_task)
     state = Rounds()
-    seen = state.step(seeds.select("node").distinct().withColumn("level", F.lit(0)))
-    n_new = n_seen = seen.count()
+    seen = state.step(seeds.select("node").distinct().withColumn("level", F.lit(0)), n=F.count(F.lit(1)))
+    n_new = state.facts["n"]
     level = 0
     while n_new and (max_rounds is None or level < max_rounds):
         if level == give_up:
@@ -104,10 +104,10 @@ def bfs_levels(
             F.col("dst").alias("node"), F.lit(level).alias("level")
         )
         seen = state.step(
-            seen.unionByName(reached).groupBy("node").agg(F.min("level").alias("level"))
+            seen.unionByName(reached).groupBy("node").agg(F.min("level").alias("level")),
+            n=F.count_if(F.col("level") == level),
         )
-        total = seen.count()
-        n_new, n_seen = total - n_seen, total
+        n_new = state.facts["n"]
     return seen
 
 
@@ -144,22 +144,25 @@ def connected_components(
     links = state.step(
         e.filter("src <> dst")
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        .distinct()
+        .distinct(),
+        n=F.count(F.lit(1)),
     )
     # Neither star operation adds links, so the first count holds as a bound.
-    n_links = links.count()
+    n_links = state.facts["n"]
     for _ in range(give_up):
         sym = links.select(
             F.explode(
                 F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
             ).alias("x")
         ).select("x.src", "x.dst")
-        large = half.step(
+        large = (
             _pull_to_least(sym, rows_per_task, 2 * n_links)
             .filter("dst > src")
             .select(F.col("dst").alias("src"), F.least("src", "least").alias("dst"))
             .distinct()
         )
+        if not fits_one_task(n_links, rows_per_task):
+            large = half.step(large)
         to_least = F.array(
             F.struct(F.col("dst").alias("src"), F.col("least").alias("dst")),
             F.struct(F.col("src"), F.col("least").alias("dst")),
@@ -213,7 +216,8 @@ def pagerank(
     out = Adjacency.of(shares, "src", rows_per_task)
     # A vertex row carries whether it sends anything, so that the mass of those
     # that do not is one sum per round.
-    nodes = cut(
+    state, known = Rounds(), Rounds()
+    nodes = known.step(
         e.select(
             F.explode(
                 F.array(
@@ -223,15 +227,15 @@ def pagerank(
             ).alias("x")
         )
         .groupBy("x.node")
-        .agg((F.sum("x.w") > 0).alias("sends"))
+        .agg((F.sum("x.w") > 0).alias("sends")),
+        n=F.count(F.lit(1)),
+        idle=F.count_if(~F.col("sends")),
     )
-    n = nodes.count()
+    n, n_idle = known.facts["n"], known.facts["idle"]
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    n_idle = nodes.filter("NOT sends").count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     idle = n_idle / n
-    state = Rounds()
     for _ in range(rounds):
         received = out.join(
             ranks.filter("sends").select(F.col("node").alias("src"), "rank"), n
@@ -247,10 +251,10 @@ def pagerank(
             .agg(
                 F.max("sends").alias("sends"),
                 ((1 - damping) / n + damping * (F.sum("got") + idle / n)).alias("rank"),
-            )
+            ),
+            idle=F.sum(F.when(F.col("sends"), 0.0).otherwise(F.col("rank"))),
         )
-        if n_idle:
-            idle = ranks.filter("NOT sends").agg(F.sum("rank")).first()[0]
+        idle = state.facts["idle"]
     return ranks.select("node", "rank")
 
 
@@ -267,10 +271,11 @@ def k_core(
         degree = counted.step(
             pairs.select(F.explode(F.array("a", "b")).alias("node"))
             .groupBy("node")
-            .agg(F.count(F.lit(1)).alias("core_degree"))
+            .agg(F.count(F.lit(1)).alias("core_degree")),
+            low=F.count_if(F.col("core_degree") < k),
         )
         low = degree.filter(F.col("core_degree") < k).select("node")
-        n_low = low.count()
+        n_low = counted.facts["low"]
         if n_low == 0:
             return degree
         for end in ("a", "b"):
@@ -341,10 +346,11 @@ def hits(
             .unionByName(hub.select("node", F.col("score").alias("hub"), zero.alias("authority")))
             .unionByName(authority.select("node", zero.alias("hub"), F.col("score").alias("authority")))
             .groupBy("node")
-            .agg(F.sum("hub").alias("hub"), F.sum("authority").alias("authority"))
+            .agg(F.sum("hub").alias("hub"), F.sum("authority").alias("authority")),
+            hub=F.sum("hub"),
+            authority=F.sum("authority"),
         )
-        hub_sum, authority_sum = scores.agg(F.sum("hub"), F.sum("authority")).first()
-        hub_sum, authority_sum = hub_sum or 1.0, authority_sum or 1.0
+        hub_sum, authority_sum = (state.facts[s] or 1.0 for s in ("hub", "authority"))
     return scores.select(
         "node",
         (F.col("hub") / hub_sum).alias("hub"),

@@ -12,7 +12,7 @@ table the joins behind an edge list would run again for every reader.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from flowloom.sources.sinks import scratch_path
 
@@ -37,13 +37,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Rounds:
-    """The state of a loop; writing the next state removes the one before."""
+    """The state of a loop; writing the next state removes the one before.
+
+    ``facts`` holds the figures asked for with the last step.  They are
+    gathered while the state is written, so they cost no further job.
+    """
 
     def __init__(self) -> None:
         self._path: str | None = None
+        self.facts: dict[str, object] = {}
 
-    def step(self, df: DataFrame) -> DataFrame:
+    def step(self, df: DataFrame, **facts: Column) -> DataFrame:
+        seen = Observation()
+        if facts:
+            df = df.observe(seen, *[c.alias(name) for name, c in facts.items()])
         out, path = _written(df)
+        self.facts = seen.get if facts else {}
         if self._path is not None:
             _remove(df.sparkSession, self._path)
         self._path = path
