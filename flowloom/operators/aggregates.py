@@ -29,17 +29,26 @@ def _levels(keys: Sequence[str]) -> list[Column]:
 
 
 def _totals() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n_flows"), money(F.sum("value")).alias("total_value")]
+    return [F.sum("_n").alias("n_flows"), money(F.sum("_v")).alias("total_value")]
+
+
+def _finest(f: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals at the finest level, which all coarser ones add up from.
+
+    Grouping sets copy their input once per set; this way they copy groups
+    instead of flows.
+    """
+    return f.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_v"))
 
 
 def rolled_up(f: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Totals at every prefix of ``keys``; ``all_k`` is 1 where ``k`` is summed over."""
-    return f.rollup(*keys).agg(*_levels(keys), *_totals())
+    return _finest(f, keys).rollup(*keys).agg(*_levels(keys), *_totals())
 
 
 def cubed(f: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Totals at every subset of ``keys``."""
-    return f.cube(*keys).agg(*_levels(keys), *_totals())
+    return _finest(f, keys).cube(*keys).agg(*_levels(keys), *_totals())
 
 
 def grouped_by_sets(
@@ -47,7 +56,8 @@ def grouped_by_sets(
 ) -> DataFrame:
     """Totals at the chosen subsets of ``keys``."""
     chosen = [[F.col(c) for c in s] for s in sets]
-    return f.groupingSets(chosen, *[F.col(k) for k in keys]).agg(*_levels(keys), *_totals())
+    grouped = _finest(f, keys).groupingSets(chosen, *[F.col(k) for k in keys])
+    return grouped.agg(*_levels(keys), *_totals())
 
 
 def route_matrix(f: DataFrame, places: Sequence[int]) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from flowloom.operators.graph import undirected
 from flowloom.operators.lineage import Rounds, cut
 from flowloom.operators.spread import (
+    BROADCAST_ROWS,
     copy_rows,
     fits_one_task,
     hot_keys,
@@ -27,8 +28,6 @@ from flowloom.operators.spread import (
     salt_rows,
 )
 
-BROADCAST_ROWS = 500_000
-
 
 class NotConverged(RuntimeError):
     """The allowed number of rounds was not enough."""

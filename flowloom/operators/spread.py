@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from flowloom.functions.columns import position
 
 ROWS_PER_TASK = 1_000_000
+# Counted tables of up to this many rows are broadcast, larger ones shuffled.
+BROADCAST_ROWS = 500_000
 MAX_HOT = 50_000
 # A hot group is cut finer than its row count asks for, since pieces cover
 # equal stretches of the order column and those are not equally full.

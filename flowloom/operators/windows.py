@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import fixed, money, ratio
 from flowloom.operators.lineage import cut
-from flowloom.operators.spread import join_spread, running
+from flowloom.operators.spread import BROADCAST_ROWS, join_spread, running
 
 
 def resample(f: DataFrame, unit: str, by: Sequence[str] = ()) -> DataFrame:
@@ -140,22 +140,56 @@ def time_bucket(events: DataFrame, width: str, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def top_n(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, method: str = "row_number"
-) -> DataFrame:
-    """The first ``n`` rows, ranks or dense ranks of each group.
+def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group in a total order.
 
-    The bound on the rank lets Spark cut each group before the shuffle.
+    The bound on the row number lets Spark cut each group before the shuffle.
     """
-    rank = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}[method]
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("place", rank().over(w)).filter(F.col("place") <= n)
+    return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+def top_ranks(
+    df: DataFrame,
+    group: Sequence[str],
+    col: str,
+    n: int,
+    dense: bool = False,
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """All rows of each group whose ``rank`` (or ``dense_rank``) by ``col``, greatest first, is up to ``n``.
+
+    Any number of rows may tie, so rows are not ranked themselves: the ``n``
+    greatest distinct values of each group are, with their row counts, and the
+    rows that hold one of those values are kept.
+    """
+    order = F.col(col).desc_nulls_last()
+    values = df.groupBy(*group, col).agg(F.count(F.lit(1)).alias("_n"))
+    first = top_n(values, group, [order], n)
+    w = Window.partitionBy(*group).orderBy(order)
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("place") if dense else (before + 1).cast("int")
+    wanted = cut(
+        first.withColumn("place", place).filter(F.col("place") <= n).select(*group, col, "place")
+    )
+    keys = [*group, col]
+    if wanted.count() > BROADCAST_ROWS:
+        return join_spread(cut(df), wanted, keys, rows_per_task=rows_per_task, nulls_match=True)
+    named = wanted.withColumnsRenamed({k: f"_w_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(named[f"_w_{k}"])
+    return df.join(F.broadcast(named), same).drop(*[f"_w_{k}" for k in keys])
 
 
-def share(df: DataFrame, group: Sequence[str]) -> DataFrame:
+def share(df: DataFrame, group: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
     """Share of each row of an aggregated frame in the value of its group."""
-    total = F.sum("total_value").over(Window.partitionBy(*group))
-    return df.withColumn("share", ratio(F.col("total_value"), total))
+    df = cut(df)
+    totals = df.groupBy(*group).agg(F.sum("total_value").alias("_whole"))
+    joined = join_spread(
+        df, totals, group, rows_per_task=rows_per_task, nulls_match=True, total=df.count()
+    )
+    return joined.select(*df.columns, ratio(F.col("total_value"), F.col("_whole")).alias("share"))
 
 
 def concentration(df: DataFrame, group: Sequence[str]) -> DataFrame:

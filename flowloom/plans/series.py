@@ -173,7 +173,7 @@ def top_receivers_per_source(spark, sf_dir):
 )
 def rank_largest_quantities(spark, sf_dir):
     f = _plain(spark, sf_dir).select("src", "receiver", "qty")
-    return win.top_n(f, ["src"], [F.col("qty").desc_nulls_last()], 2, "dense_rank")
+    return win.top_ranks(f, ["src"], "qty", 2, dense=True)
 
 
 @query(

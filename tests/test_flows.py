@@ -188,9 +188,29 @@ def test_period_change_starts_with_null_and_survives_zero(f):
 def test_top_n_ranks_keep_ties(spark):
     df = spark.createDataFrame([(1, 5), (1, 5), (1, 4), (1, 3), (2, 9)], "g int, total_value int")
     order = [F.col("total_value").desc()]
-    assert windows.top_n(df, ["g"], order, 1, "rank").count() == 3
-    assert windows.top_n(df, ["g"], order, 2, "dense_rank").count() == 4
     assert windows.top_n(df, ["g"], order, 1).count() == 2
+    assert windows.top_ranks(df, ["g"], "total_value", 1).count() == 3
+
+
+@pytest.mark.parametrize("dense", [True, False])
+@pytest.mark.parametrize("small", [True, False])
+def test_top_ranks_equal_builtin_functions(spark, monkeypatch, dense, small):
+    if not small:
+        monkeypatch.setattr(windows, "BROADCAST_ROWS", 0)
+    data = [(i % 4 or None, None if i % 9 == 0 else i % 6, i) for i in range(80)]
+    df = spark.createDataFrame(data, "g int, v int, id int")
+    rank = F.dense_rank if dense else F.rank
+    place = rank().over(Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last()))
+    want = df.withColumn("place", place).filter("place <= 8")
+    got = windows.top_ranks(df, ["g"], "v", 8, dense, rows_per_task=3)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("limit", [1, None])
+def test_shares_of_a_source_sum_to_one(f, limit):
+    routes = f.groupBy("src", "dst").agg(F.sum("value").cast("decimal(38,4)").alias("total_value"))
+    got = {(r["src"], r["dst"]): r["share"] for r in windows.share(routes, ["src"], limit).collect()}
+    assert got == {(1, 2): 1.0, (2, 1): 1.0, (2, 2): 0.0, (3, 1): None, (3, 3): 1.0}
 
 
 def test_top_plus_other_keeps_the_total(f):
