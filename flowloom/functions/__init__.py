@@ -5,6 +5,7 @@ from flowloom.functions.columns import (
     json_field,
     money,
     net_value,
+    period_start,
     position,
     ratio,
     route_label,
@@ -18,6 +19,7 @@ __all__ = [
     "json_field",
     "money",
     "net_value",
+    "period_start",
     "position",
     "ratio",
     "route_label",

@@ -47,6 +47,20 @@ def seconds(ts: Column) -> Column:
     return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def period_start(ts: Column, unit: str) -> Column:
+    """Start of the period of a wall-clock timestamp, as one again.
+
+    ``date_trunc`` goes by way of the session time zone; dates do not.
+    """
+    if unit == "day":
+        start = ts.cast("date")
+    elif unit in ("week", "month", "quarter", "year"):
+        start = F.trunc(ts, unit)
+    else:
+        start = F.date_trunc(unit, ts)
+    return start.cast("timestamp_ntz")
+
+
 def position(col: Column, dtype: T.DataType) -> Column:
     """A double that never decreases as ``col`` grows, finite for every value but NULL."""
     if isinstance(dtype, T.TimestampNTZType):

@@ -12,15 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions import fixed, money, ratio
+from flowloom.functions import fixed, money, period_start, ratio
 from flowloom.operators.lineage import cut
 from flowloom.operators.spread import BROADCAST_ROWS, join_spread, running
 
 
 def resample(f: DataFrame, unit: str, by: Sequence[str] = ()) -> DataFrame:
     """Flows and value per period and group."""
-    period = F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz").alias("period")
-    return f.groupBy(*by, period).agg(
+    return f.groupBy(*by, period_start(F.col("ts"), unit).alias("period")).agg(
         F.count(F.lit(1)).alias("n_flows"), money(F.sum("value")).alias("total_value")
     )
 
