@@ -11,6 +11,7 @@ import os
 import sys
 import time
 
+from flowloom.operators.lineage import clear
 from flowloom.plans import QUERIES
 from flowloom.session import local_session
 
@@ -61,9 +62,10 @@ def main() -> None:
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
-        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf") or 0),
     }
     print(json.dumps(line), flush=True)
+    clear(spark)
     spark.stop()
 
 

@@ -17,9 +17,14 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from flowloom.sources.sinks import scratch_path
 
 
+# Paths of the tables written by this process and not yet removed.
+_tables: set[str] = set()
+
+
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, "step")
+    _tables.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = True
@@ -29,6 +34,15 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _tables.discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables this process has written; frames that read them end here."""
+    paths = sorted(_tables)
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
 
 
 def cut(df: DataFrame) -> DataFrame:

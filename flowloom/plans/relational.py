@@ -191,11 +191,19 @@ def json_field(spark, sf_dir):
     "assets_per_route",
     with_sql(
         FLOWS,
-        select="SELECT src, dst, list_sort(list(DISTINCT asset)) AS assets FROM flows GROUP BY src, dst",
+        select="""SELECT src, dst, count(DISTINCT asset) AS n_assets,
+                 array_to_string(list_sort(list(DISTINCT asset)), ',') AS assets
+          FROM flows GROUP BY src, dst""",
     ),
 )
 def assets_per_route(spark, sf_dir):
-    return fl.assets_per_route(flows(spark, sf_dir))
+    """The arrays as text, with their lengths."""
+    return fl.assets_per_route(flows(spark, sf_dir)).select(
+        "src",
+        "dst",
+        F.size("assets").cast("bigint").alias("n_assets"),
+        F.concat_ws(",", "assets").alias("assets"),
+    )
 
 
 @query(

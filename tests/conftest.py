@@ -10,7 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from flowloom.session import local_session
 
-    return local_session("8", "flowloom-tests")
+    session = local_session("8", "flowloom-tests")
+    yield session
+    from flowloom.operators.lineage import clear
+
+    clear(session)
 
 
 @pytest.fixture(scope="session")

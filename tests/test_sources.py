@@ -74,6 +74,17 @@ def test_rounds_remove_the_state_before(spark):
         first.collect()
 
 
+def test_clear_removes_what_was_written(spark, monkeypatch):
+    from flowloom.operators import lineage
+
+    monkeypatch.setattr(lineage, "_tables", set())
+    df = cut(spark.range(3))
+    assert cut(df) is df
+    assert lineage.clear(spark) == 1
+    with pytest.raises(Exception):
+        df.collect()
+
+
 def test_warehouse_scan_asks_for_parallel_range_reads():
     """No warehouse can be reached here, so only the request is checked."""
 
