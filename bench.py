@@ -57,12 +57,13 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         seconds[name] = round(min(times[1:] or times), 3)
+    scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     line = {
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
-        "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf") or 0),
+        "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
     }
     print(json.dumps(line), flush=True)
     clear(spark)

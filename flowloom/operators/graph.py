@@ -41,9 +41,10 @@ def strong_edges(
     sent = e.groupBy("src").agg(
         F.sum("weight").cast("double").alias("_sent"), F.count(F.lit(1)).alias("_rows")
     )
-    hot = hot_keys(sent, ["src"], rows_per_task, counted=True)
+    n = e.count()
+    hot = hot_keys(sent, ["src"], rows_per_task, counted=True, total=n)
     joined = join_spread(
-        e, sent.drop("_rows"), "src", rows_per_task=rows_per_task, hot=hot, total=e.count()
+        e, sent.drop("_rows"), "src", rows_per_task=rows_per_task, hot=hot, total=n
     )
     return joined.filter(F.col("weight").cast("double") >= F.col("_sent") * min_share).select(
         *e.columns
@@ -228,9 +229,10 @@ def projection_strength(bip: DataFrame, rows_per_task: int | None = None) -> Dat
     """
     links = cut(bip.select("sender", "receiver").distinct())
     reach = links.groupBy("sender").agg(F.count(F.lit(1)).alias("_rows"))
-    hot = hot_keys(reach, ["sender"], rows_per_task, counted=True)
+    n = links.count()
+    hot = hot_keys(reach, ["sender"], rows_per_task, counted=True, total=n)
     joined = join_spread(
-        links, reach, "sender", rows_per_task=rows_per_task, hot=hot, total=links.count()
+        links, reach, "sender", rows_per_task=rows_per_task, hot=hot, total=n
     )
     return joined.groupBy("receiver").agg(
         F.count(F.lit(1)).alias("n_senders"),

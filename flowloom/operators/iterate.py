@@ -44,9 +44,10 @@ class Adjacency:
     @classmethod
     def of(cls, e: DataFrame, key: str, rows_per_task: int | None = None) -> Adjacency:
         e = cut(e)
-        if fits_one_task(e.count(), rows_per_task):
+        n = e.count()
+        if fits_one_task(n, rows_per_task):
             return cls(key, e, None)
-        hot = cut(hot_keys(e, [key], rows_per_task).select(key, "_parts"))
+        hot = cut(hot_keys(e, [key], rows_per_task, total=n).select(key, "_parts"))
         return cls(key, salt_rows(e, [key], hot), hot)
 
     def join(self, nodes: DataFrame, n_nodes: int) -> DataFrame:
@@ -122,7 +123,7 @@ def _pull_to_least(e: DataFrame, rows_per_task: int | None, total: int) -> DataF
     least = e.groupBy("src").agg(F.min("dst").alias("least"), F.count(F.lit(1)).alias("_rows"))
     if fits_one_task(total, rows_per_task):
         return e.join(least.drop("_rows"), "src")
-    hot = hot_keys(least, ["src"], rows_per_task, counted=True)
+    hot = hot_keys(least, ["src"], rows_per_task, counted=True, total=total)
     return join_spread(e, least.drop("_rows"), "src", hot=hot)
 
 
@@ -206,7 +207,7 @@ def pagerank(
     sent = e.groupBy("src").agg(F.sum(weight).alias("_sent"), F.count(F.lit(1)).alias("_rows"))
     sent = sent.filter("_sent > 0")
     n_edges = e.count()
-    hot = hot_keys(sent, ["src"], rows_per_task, counted=True)
+    hot = hot_keys(sent, ["src"], rows_per_task, counted=True, total=n_edges)
     shares = join_spread(
         e, sent.drop("_rows"), "src", rows_per_task=rows_per_task, hot=hot, total=n_edges
     ).select(

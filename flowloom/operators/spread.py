@@ -62,18 +62,25 @@ def hot_keys(
     keys: Sequence[str],
     rows_per_task: int | None = None,
     counted: bool = False,
+    total: int | None = None,
     **extra: Column,
 ) -> DataFrame:
     """Keys whose rows overfill one task, with ``_rows``, ``_parts`` and ``extra`` aggregates.
 
     ``counted`` says that ``df`` already holds one row per key with ``_rows``.
+    A ``total`` that is not given is counted, which reads no column of a scan.
     """
     floor = float(rows_per_task or ROWS_PER_TASK)
     counts = df if counted else df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in extra.items()]
     )
-    total = counts.agg(F.sum("_rows")).scalar().cast("double")
-    limit = F.greatest(F.lit(floor), total / MAX_HOT)
+    if total is not None:
+        rows = F.lit(total)
+    elif counted:
+        rows = df.agg(F.sum("_rows")).scalar()
+    else:
+        rows = df.agg(F.count(F.lit(1))).scalar()
+    limit = F.greatest(F.lit(floor), rows.cast("double") / MAX_HOT)
     return (
         counts.withColumn("_limit", limit)
         .filter(F.col("_rows") > F.col("_limit"))
@@ -87,6 +94,7 @@ def with_chunks(
     keys: Sequence[str],
     order_col: str,
     rows_per_task: int | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Number the consecutive pieces of each group along ``order_col``.
 
@@ -99,6 +107,7 @@ def with_chunks(
         df,
         keys,
         rows_per_task,
+        total=total,
         _lo=F.min(pos),
         _hi=F.max(pos),
     )
@@ -143,7 +152,7 @@ def running(
         {f"_in_{n}": c for n, c in (sums | lasts | totals).items()}
     )
     small = fits_one_task(total, rows_per_task)
-    rows = prepared if small else with_chunks(prepared, keys, order[0], rows_per_task)
+    rows = prepared if small else with_chunks(prepared, keys, order[0], rows_per_task, total)
     piece = [*keys] if small else [*keys, "_chunk"]
     ordered = Window.partitionBy(*piece).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     end = Window.currentRow if inclusive else -1
@@ -241,7 +250,7 @@ def join_spread(
     if fits_one_task(total, rows_per_task):
         left, right, keys = big, small, on
     else:
-        hot = hot_keys(big, on, rows_per_task) if hot is None else hot
+        hot = hot_keys(big, on, rows_per_task, total=total) if hot is None else hot
         left, right, keys = salt_rows(big, on, hot), copy_rows(small, on, hot), [*on, "_salt"]
     if not nulls_match:
         return left.join(right, keys, how).drop("_salt")
