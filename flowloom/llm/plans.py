@@ -1,6 +1,12 @@
 """The queries of this package and their SQL, for the driver's contract."""
 
 from flowloom.llm.common import ORACLES, QUERIES
-from flowloom.llm import token_counts  # noqa: F401  (registers)
+from flowloom.llm import (  # noqa: F401  (they register)
+    decontaminate,
+    line_dedup,
+    mixing,
+    quality_rules,
+    token_counts,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
