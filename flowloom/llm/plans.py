@@ -5,6 +5,7 @@ from flowloom.llm import (  # noqa: F401  (they register)
     decontaminate,
     line_dedup,
     mixing,
+    near_dedup,
     quality_rules,
     token_counts,
 )
