@@ -2,12 +2,16 @@
 
 from flowloom.llm.common import ORACLES, QUERIES
 from flowloom.llm import (  # noqa: F401  (they register)
+    chat_format,
     decontaminate,
+    language_id,
     line_dedup,
     mixing,
     near_dedup,
     quality_rules,
     token_counts,
+    toxicity,
+    warc_zip,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
