@@ -20,7 +20,7 @@ HEADLINES = [
     "route_summary",
     "enrich_flows",
     "rollup_region_nation",
-    "cube_flag_status",
+    "cube_flag_brand",
     "assets_per_route",
     "dedup_latest",
     "join_left",

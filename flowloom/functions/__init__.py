@@ -6,7 +6,6 @@ from flowloom.functions.columns import (
     money,
     net_value,
     period_start,
-    position,
     ratio,
     route_label,
     seconds,
@@ -20,7 +19,6 @@ __all__ = [
     "money",
     "net_value",
     "period_start",
-    "position",
     "ratio",
     "route_label",
     "seconds",

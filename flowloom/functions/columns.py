@@ -6,7 +6,6 @@ from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def money(col: Column) -> Column:
@@ -14,13 +13,19 @@ def money(col: Column) -> Column:
     return col.cast("decimal(38,4)")
 
 
+def _whole(number: Column) -> Column:
+    """The nearest long, halves away from zero."""
+    return (F.signum(number) * F.floor(F.abs(number) + 0.5)).cast("bigint")
+
+
 def fixed(number: Column, scale: int) -> Column:
     """A double as decimal(18, scale), by way of a long.
 
     Casting doubles to decimals goes through text for every row; rounding to a
-    whole number of the smallest unit first is several times as fast.
+    whole number of the smallest unit first is several times as fast.  Halves
+    are rounded away from zero, as a cast does.
     """
-    units = F.rint(number * 10**scale).cast("bigint").cast("decimal(18,0)")
+    units = _whole(number * 10**scale).cast("decimal(18,0)")
     return _scaled(units, scale)
 
 
@@ -31,8 +36,8 @@ def _scaled(units: Column, scale: int) -> Column:
 
 def net_value(price: Column, discount: Column) -> Column:
     """``price * (1 - discount)`` as decimal(18,4), both given to the cent and per cent."""
-    cents = F.rint(price * 100).cast("bigint")
-    per_cent = 100 - F.rint(discount * 100).cast("bigint")
+    cents = _whole(price * 100)
+    per_cent = 100 - _whole(discount * 100)
     return _scaled((cents * per_cent).cast("decimal(18,0)"), 4)
 
 
@@ -61,22 +66,6 @@ def period_start(ts: Column, unit: str) -> Column:
     return start.cast("timestamp_ntz")
 
 
-def position(col: Column, dtype: T.DataType) -> Column:
-    """A double that never decreases as ``col`` grows, finite for every value but NULL."""
-    if isinstance(dtype, T.TimestampNTZType):
-        number = seconds(col).cast("double")
-    elif isinstance(dtype, T.TimestampType):
-        number = F.unix_seconds(col).cast("double")
-    elif isinstance(dtype, T.DateType):
-        number = F.unix_date(col).cast("double")
-    else:
-        number = col.cast("double")
-    # NaN sorts above every number, so least() also turns it into the bound.
-    # Both functions skip NULL, which has to stay NULL.
-    bounded = F.greatest(F.least(number, F.lit(1e300)), F.lit(-1e300))
-    return F.when(number.isNotNull(), bounded)
-
-
 def json_field(props: Column, path: str, dtype: str) -> Column:
     """One typed field of a JSON text; NULL if the text or the field is bad."""
     return F.get_json_object(props, path).try_cast(dtype)

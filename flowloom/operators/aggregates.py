@@ -60,13 +60,27 @@ def grouped_by_sets(
     return grouped.agg(*_levels(keys), *_totals())
 
 
+def listed(dimension: DataFrame, key: str, most: int = 1000) -> list:
+    """The keys of a small dimension; a table too large to be columns is an error."""
+    keys = [r[0] for r in dimension.select(key).distinct().orderBy(key).limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} values of {key}")
+    return keys
+
+
 def route_matrix(f: DataFrame, places: Sequence[int]) -> DataFrame:
-    """Number of flows, one row per source and one column per destination."""
-    wide = f.groupBy("src").pivot("dst", list(places)).agg(F.count(F.lit(1)))
-    return wide.select(
-        "src",
-        *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).cast("bigint").alias(f"to_{p}") for p in places],
+    """Number of flows, one row per source and one column per destination.
+
+    ``to_other`` counts the flows to no place of the list, so rows add up.
+    """
+    n = F.count(F.lit(1))
+    wide = f.groupBy("src").agg(
+        *[F.count_if(F.col("dst") == p).alias(f"to_{p}") for p in places], n.alias("to_other")
     )
+    rest = F.col("to_other")
+    for p in places:
+        rest = rest - F.col(f"to_{p}")
+    return wide.withColumn("to_other", rest)
 
 
 def melt(wide: DataFrame, ids: Sequence[str], name: str, value: str) -> DataFrame:
@@ -125,7 +139,10 @@ def distinct_senders(f: DataFrame, by: str) -> DataFrame:
     return f.groupBy(by).agg(F.count_distinct("sender").alias("n_senders"))
 
 
-def approx_distinct_senders(f: DataFrame, by: str, rsd: float = 0.02) -> DataFrame:
+SKETCH_RSD = 0.02
+
+
+def approx_distinct_senders(f: DataFrame, by: str, rsd: float = SKETCH_RSD) -> DataFrame:
     """Sketched number of distinct senders per group."""
     return f.groupBy(by).agg(F.approx_count_distinct("sender", rsd).alias("n_senders_approx"))
 

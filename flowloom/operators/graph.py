@@ -219,6 +219,28 @@ def clustering(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     )
 
 
+def handovers(f: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """Receivers that follow each other in the flows of a sender, with how often they do.
+
+    Flows of a sender go by time and, where that ties, by receiver.
+    """
+    stops = cut(f.select("sender", "ts", "receiver").distinct())
+    return (
+        running(
+            stops,
+            ["sender"],
+            ["ts", "receiver"],
+            lasts={"src": F.col("receiver")},
+            inclusive=False,
+            rows_per_task=rows_per_task,
+            total=stops.count(),
+        )
+        .filter("src <> receiver AND sender IS NOT NULL")
+        .groupBy("src", F.col("receiver").alias("dst"))
+        .agg(money(F.count(F.lit(1))).alias("weight"))
+    )
+
+
 def projection_strength(bip: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Weighted degree of each receiver in the receiver-to-receiver projection.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.graph import undirected
-from flowloom.operators.lineage import Rounds, cut
+from flowloom.operators.lineage import Levels, Rounds, cut
 from flowloom.operators.spread import (
     BROADCAST_ROWS,
     copy_rows,
@@ -48,7 +48,8 @@ class Adjacency:
         if fits_one_task(n, rows_per_task):
             return cls(key, e, None)
         hot = cut(hot_keys(e, [key], rows_per_task, total=n).select(key, "_parts"))
-        return cls(key, salt_rows(e, [key], hot), hot)
+        # Written with their salts, so that the loop does not make them again.
+        return cls(key, cut(salt_rows(e, [key], hot)), hot)
 
     def join(self, nodes: DataFrame, n_nodes: int) -> DataFrame:
         """Edges with the columns of ``nodes``, which has the key column of this end."""
@@ -90,25 +91,20 @@ def bfs_levels(
     until no new vertex turns up.
     """
     out = Adjacency.of(e.select("src", "dst").filter("src <> dst"), "src", rows_per_task)
-    state = Rounds()
-    seen = state.step(seeds.select("node").distinct().withColumn("level", F.lit(0)), n=F.count(F.lit(1)))
-    n_new = state.facts["n"]
+    # A round writes its new vertices next to those of the rounds before.
+    levels = Levels(e.sparkSession, "node " + e.schema["src"].dataType.simpleString() + ", level int")
+    n_new = levels.append(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     level = 0
     while n_new and (max_rounds is None or level < max_rounds):
         if level == give_up:
             raise NotConverged(f"vertices still turn up after {give_up} rounds")
-        front = seen.filter(F.col("level") == level).select(F.col("node").alias("src"))
+        front = levels.rows(level).select(F.col("node").alias("src"))
         level += 1
-        # One aggregation both drops duplicates and tells old vertices from new.
-        reached = out.join(front, n_new).select(
-            F.col("dst").alias("node"), F.lit(level).alias("level")
-        )
-        seen = state.step(
-            seen.unionByName(reached).groupBy("node").agg(F.min("level").alias("level")),
-            n=F.count_if(F.col("level") == level),
+        reached = out.join(front, n_new).select(F.col("dst").alias("node")).distinct()
+        n_new = levels.append(
+            reached.join(levels.rows(), "node", "left_anti").withColumn("level", F.lit(level))
         )
-        n_new = state.facts["n"]
-    return seen
+    return levels.rows()
 
 
 def k_hop(
@@ -196,11 +192,17 @@ def connected_components(
 
 
 def pagerank(
-    e: DataFrame, damping: float = 0.85, rounds: int = 10, rows_per_task: int | None = None
+    e: DataFrame,
+    damping: float = 0.85,
+    rounds: int = 10,
+    rows_per_task: int | None = None,
+    tol: float | None = None,
 ) -> DataFrame:
-    """Weighted PageRank after a fixed number of rounds.
+    """Weighted PageRank.
 
-    The rank of vertices without outgoing weight is shared out evenly.
+    The rank of vertices without outgoing weight is shared out evenly.  With
+    ``tol`` the loop ends when the ranks change by less in sum, and raises if
+    ``rounds`` do not suffice; without, it takes exactly ``rounds``.
     """
     e = cut(e.select("src", "dst", "weight"))
     weight = F.col("weight").cast("double")
@@ -244,17 +246,26 @@ def pagerank(
             (F.col("rank") * F.col("share")).alias("got"),
             F.lit(None).cast("boolean").alias("sends"),
         )
-        base = nodes.select("node", F.lit(0.0).alias("got"), "sends")
+        was = F.lit(0.0) if tol is None else F.col("rank")
+        base = ranks.select("node", F.lit(0.0).alias("got"), "sends", was.alias("was"))
         ranks = state.step(
-            received.unionByName(base)
+            received.withColumn("was", F.lit(0.0))
+            .unionByName(base)
             .groupBy("node")
             .agg(
                 F.max("sends").alias("sends"),
                 ((1 - damping) / n + damping * (F.sum("got") + idle / n)).alias("rank"),
+                F.sum("was").alias("was"),
             ),
             idle=F.sum(F.when(F.col("sends"), 0.0).otherwise(F.col("rank"))),
+            moved=F.sum(F.abs(F.col("rank") - F.col("was"))),
         )
         idle = state.facts["idle"]
+        if tol is not None and state.facts["moved"] < tol:
+            break
+    else:
+        if tol is not None:
+            raise NotConverged(f"ranks still change after {rounds} rounds")
     return ranks.select("node", "rank")
 
 
@@ -266,7 +277,7 @@ def k_core(
     Each round removes every vertex below ``k`` at once.
     """
     left, counted = Rounds(), Rounds()
-    pairs = left.step(undirected(e).select("a", "b"))
+    pairs = left.step(undirected(e).select("a", "b"), n=F.count(F.lit(1)))
     for _ in range(give_up):
         degree = counted.step(
             pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -284,8 +295,10 @@ def k_core(
                 pairs = pairs.join(gone, end, "left_anti")
             else:
                 stay = degree.filter(F.col("core_degree") >= k).select(F.col("node").alias(end))
-                pairs = join_spread(pairs, stay, end, rows_per_task=rows_per_task)
-        pairs = left.step(pairs)
+                pairs = join_spread(
+                    pairs, stay, end, rows_per_task=rows_per_task, total=left.facts["n"]
+                )
+        pairs = left.step(pairs, n=F.count(F.lit(1)))
     raise NotConverged(f"vertices still drop out after {give_up} rounds")
 
 
@@ -310,19 +323,24 @@ def label_propagation(
             .agg(F.count(F.lit(1)).alias("votes"))
         )
         own = nodes.select("node", F.col("node").alias("label"), F.lit(0).cast("bigint").alias("votes"))
-        best = F.max(F.struct("votes", (-F.col("label")).alias("less")))
+        first = F.struct((-F.col("votes")).alias("fewer"), "label")
         labels = state.step(
-            votes.unionByName(own)
-            .groupBy("node")
-            .agg((-best["less"]).alias("label"))
+            votes.unionByName(own).groupBy("node").agg(F.min_by("label", first).alias("label"))
         )
     return labels
 
 
 def hits(
-    e: DataFrame, rounds: int = 5, rows_per_task: int | None = None
+    e: DataFrame,
+    rounds: int = 5,
+    rows_per_task: int | None = None,
+    tol: float | None = None,
 ) -> DataFrame:
-    """Hub and authority scores, each summing to 1, after a fixed number of rounds."""
+    """Hub and authority scores, each summing to 1.
+
+    With ``tol`` the loop ends when the hub scores change by less in sum, and
+    raises if ``rounds`` do not suffice; without, it takes exactly ``rounds``.
+    """
     pairs = cut(e.select("src", "dst").distinct())
     by_src = Adjacency.of(pairs, "src", rows_per_task)
     by_dst = Adjacency.of(pairs, "dst", rows_per_task)
@@ -341,16 +359,30 @@ def hits(
         sent_back = by_dst.join(authority.withColumnsRenamed({"node": "dst", "score": "s"}), n)
         hub = gather(sent_back, "src", F.col("s"))
         zero = F.lit(0.0)
+        was = zero if tol is None else F.col("hub") / hub_sum
         scores = state.step(
-            nodes.select("node", zero.alias("hub"), zero.alias("authority"))
-            .unionByName(hub.select("node", F.col("score").alias("hub"), zero.alias("authority")))
-            .unionByName(authority.select("node", zero.alias("hub"), F.col("score").alias("authority")))
+            scores.select("node", zero.alias("hub"), zero.alias("authority"), was.alias("was"))
+            .unionByName(
+                hub.select("node", F.col("score").alias("hub"), zero.alias("authority"), zero.alias("was"))
+            )
+            .unionByName(
+                authority.select(
+                    "node", zero.alias("hub"), F.col("score").alias("authority"), zero.alias("was")
+                )
+            )
             .groupBy("node")
-            .agg(F.sum("hub").alias("hub"), F.sum("authority").alias("authority")),
+            .agg(*[F.sum(c).alias(c) for c in ("hub", "authority", "was")]),
             hub=F.sum("hub"),
             authority=F.sum("authority"),
         )
         hub_sum, authority_sum = (state.facts[s] or 1.0 for s in ("hub", "authority"))
+        if tol is not None:
+            moved = scores.agg(F.sum(F.abs(F.col("hub") / hub_sum - F.col("was")))).first()[0]
+            if (moved or 0.0) < tol:
+                break
+    else:
+        if tol is not None:
+            raise NotConverged(f"scores still change after {rounds} rounds")
     return scores.select(
         "node",
         (F.col("hub") / hub_sum).alias("hub"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.lineage import cut
-from flowloom.operators.spread import running
+from flowloom.operators.spread import exact_sum, running
 
 
 def equi_join(
@@ -30,8 +30,8 @@ def inactive(who: DataFrame, f: DataFrame, key: str) -> DataFrame:
     return who.join(f.select(key).distinct(), key, "left_anti")
 
 
-def both_ways(e: DataFrame) -> DataFrame:
-    """Each unordered pair of places once, with the weight of either direction.
+def both_ways(e: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Each unordered pair of places once, per key in ``also``, with the weight of either direction.
 
     A full outer join of the edge list with its own reverse: the forward side
     keeps edges with ``src < dst``, the backward side the others.  Edges from a
@@ -39,15 +39,16 @@ def both_ways(e: DataFrame) -> DataFrame:
     """
     e = cut(e)
     forward = e.filter("src < dst").select(
-        F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("forward")
+        F.col("src").alias("a"), F.col("dst").alias("b"), *also, F.col("weight").alias("forward")
     )
     backward = e.filter("src > dst").select(
-        F.col("dst").alias("a"), F.col("src").alias("b"), F.col("weight").alias("backward")
+        F.col("dst").alias("a"), F.col("src").alias("b"), *also, F.col("weight").alias("backward")
     )
     zero = F.lit(0).cast(e.schema["weight"].dataType)
-    return forward.join(backward, ["a", "b"], "full").select(
+    return forward.join(backward, ["a", "b", *also], "full").select(
         "a",
         "b",
+        *also,
         F.coalesce("forward", zero).alias("forward"),
         F.coalesce("backward", zero).alias("backward"),
     )
@@ -66,8 +67,10 @@ def asof(
 
     Rows of both sides go into one sequence per key, and the latest right row
     is carried along it: linear in the rows, no pairs are formed.  Right rows
-    that tie in time are told apart by ``tie``, the greatest wins.
+    that tie in time are told apart by ``tie``, the greatest wins.  Rows without
+    a key or a time match nothing.
     """
+    right = right.filter(F.col(by).isNotNull() & F.col(on).isNotNull())
     taken = [c for c in right.columns if c != by]
     lefts = left.select("*", F.lit(0).alias("_side"), F.lit(None).alias("_row"))
     rights = right.select(
@@ -100,8 +103,10 @@ def band_totals(
 
     The band is ``[on - span, on)``.  Matching pairs are never formed: a right
     row enters the running total at its time and leaves it ``span`` later, so a
-    key with many rows costs as much as many keys with few.
+    key with many rows costs as much as many keys with few.  What enters must
+    leave without a trace, so ``value`` has to be a decimal or an integer.
     """
+    exact_sum(right, value)
     width = F.expr(f"INTERVAL {span}")
     lefts = left.select(
         "*", F.lit(0).alias("_side"), F.lit(None).alias("_v"), F.lit(0).alias("_n")

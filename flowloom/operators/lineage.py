@@ -12,42 +12,78 @@ table the joins behind an edge list would run again for every reader.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
-from flowloom.sources.sinks import scratch_path
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from flowloom.sources.sinks import forget, known_paths, scratch_path
 
-# Paths of the tables written by this process and not yet removed.
-_tables: set[str] = set()
+# Frames that only scan a written table.
+_scans: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, "step")
-    _tables.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written = True
+    _scans[out] = path
     return out, path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    _tables.discard(path)
+    forget(path)
 
 
 def clear(spark: SparkSession) -> int:
-    """Remove the tables this process has written; frames that read them end here."""
-    paths = sorted(_tables)
+    """Remove what this process has written to the shared folder; frames that read it end here."""
+    paths = known_paths()
     for path in paths:
         _remove(spark, path)
     return len(paths)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what was written to the shared folder inside.
+
+    Results that read such tables have to be used up before the end.
+    """
+    before = set(known_paths())
+    try:
+        yield
+    finally:
+        for path in known_paths():
+            if path not in before:
+                _remove(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new table and return a scan of it, unless it is such a scan already."""
-    return df if vars(df).get("_written") else _written(df)[0]
+    return df if df in _scans else _written(df)[0]
+
+
+class Levels:
+    """A growing table of rows numbered by ``level``; a round adds rows and rewrites none."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self._spark, self._schema, self._paths = spark, schema, []
+
+    def append(self, df: DataFrame) -> int:
+        """Write the rows of the next level and return how many there are."""
+        seen = Observation()
+        self._paths.append(_written(df.observe(seen, F.count(F.lit(1)).alias("n")))[1])
+        return seen.get["n"]
+
+    def rows(self, level: int | None = None) -> DataFrame:
+        """The rows of one level, or all."""
+        paths = self._paths if level is None else [self._paths[level]]
+        return self._spark.read.schema(self._schema).parquet(*paths)
 
 
 class Rounds:

@@ -26,16 +26,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from flowloom.functions.columns import position
+from pyspark.sql import types as T
 
 ROWS_PER_TASK = 1_000_000
 # Counted tables of up to this many rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 500_000
 MAX_HOT = 50_000
-# A hot group is cut finer than its row count asks for, since pieces cover
-# equal stretches of the order column and those are not equally full.
+# A hot group is cut finer than its row count asks for, as pieces are only about
+# equally full; so many rows are drawn for each piece to find where it ends.
 OVERSPLIT = 4
+PER_PIECE = 20
+
+
+def exact_sum(df: DataFrame, value: Column) -> None:
+    """Raise unless sums of ``value`` are exact, whatever is added and taken away again."""
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    if not isinstance(kind, (T.DecimalType, T.IntegralType)):
+        raise TypeError(f"{kind.simpleString()} sums lose digits: cast to a decimal first")
 
 
 def fits_one_task(total: int | None, rows_per_task: int | None) -> bool:
@@ -92,35 +99,41 @@ def hot_keys(
 def with_chunks(
     df: DataFrame,
     keys: Sequence[str],
-    order_col: str,
+    order: Sequence[str],
     rows_per_task: int | None = None,
     total: int | None = None,
 ) -> DataFrame:
-    """Number the consecutive pieces of each group along ``order_col``.
+    """Number the consecutive pieces of each group along ``order``.
 
     Adds ``_chunk``, 0 for every row of a group that fits one task, and
-    ``_hot``.  Rows with equal ``order_col`` share a piece, and pieces follow
-    the ascending order with NULLs first.
+    ``_hot``.  Cut points are taken from the data: about ``PER_PIECE`` rows for
+    each piece, drawn by a hash of the row, whose values are sorted and divided
+    evenly.  So pieces hold about equally many rows however the values lie, and
+    any type that can be ordered will do.  Rows that tie in the whole order
+    share a piece; pieces follow the ascending order with NULLs first.
     """
-    pos = position(F.col(order_col), df.schema[order_col].dataType)
-    hot = hot_keys(
-        df,
-        keys,
-        rows_per_task,
-        total=total,
-        _lo=F.min(pos),
-        _hi=F.max(pos),
-    )
+    spot = F.struct(*order)
+    hot = hot_keys(df, keys, rows_per_task, total=total)
     pieces = F.col("_parts") * OVERSPLIT
-    share = F.try_divide(pos - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    # least() skips NULL, so NULL positions and groups of one value go to piece 0 here.
-    piece = F.least(pieces - 1, F.floor(share * pieces).cast("int"))
-    chunk = F.when(F.col("_hot") & share.isNotNull(), piece).otherwise(0)
+    drawn = F.xxhash64(*df.columns, F.lit(1)) / F.lit(2.0**64) + 0.5
+    place = F.expr(
+        f"transform(sequence(1, _parts * {OVERSPLIT} - 1),"
+        f" i -> element_at(_spots, CAST(ceil(i * size(_spots) / (_parts * {OVERSPLIT}D)) AS INT)))"
+    )
+    bounds = (
+        _join_hot(df, hot.select(*keys, "_parts", "_rows"), keys, "inner")
+        .filter(drawn < pieces * PER_PIECE / F.col("_rows"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(spot)).alias("_spots"), F.first("_parts").alias("_parts"))
+        .select(*keys, F.array_distinct(place).alias("_bounds"))
+    )
+    before = F.size(F.filter("_bounds", lambda bound: bound < spot))
+    marked = _join_hot(df, hot.select(*keys, F.lit(True).alias("_hot")), keys, "left")
     return (
-        _join_hot(df, hot.select(*keys, "_parts", "_lo", "_hi"), keys, "left")
-        .withColumn("_hot", F.col("_parts").isNotNull())
-        .withColumn("_chunk", chunk)
-        .drop("_parts", "_lo", "_hi")
+        _join_hot(marked, bounds, keys, "left")
+        .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        .withColumn("_chunk", F.when(F.col("_bounds").isNull(), 0).otherwise(before))
+        .drop("_bounds")
     )
 
 
@@ -138,7 +151,7 @@ def running(
 ) -> DataFrame:
     """Running values per group, in two levels so that no group needs one task.
 
-    ``order`` is ascending, NULLs first; groups are cut along its first column.
+    ``order`` is ascending, NULLs first; large groups are cut along it.
     ``sums`` adds running sums of non-NULL expressions, ``lasts`` the latest
     non-NULL value so far, ``totals`` sums over the whole group.  ``peers``
     counts rows that tie in the order as one step, as a RANGE frame does.
@@ -152,7 +165,7 @@ def running(
         {f"_in_{n}": c for n, c in (sums | lasts | totals).items()}
     )
     small = fits_one_task(total, rows_per_task)
-    rows = prepared if small else with_chunks(prepared, keys, order[0], rows_per_task, total)
+    rows = prepared if small else with_chunks(prepared, keys, order, rows_per_task, total)
     piece = [*keys] if small else [*keys, "_chunk"]
     ordered = Window.partitionBy(*piece).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     end = Window.currentRow if inclusive else -1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import fixed, money, period_start, ratio
 from flowloom.operators.lineage import cut
-from flowloom.operators.spread import BROADCAST_ROWS, join_spread, running
+from flowloom.operators.spread import BROADCAST_ROWS, exact_sum, join_spread, running
 
 
 def resample(f: DataFrame, unit: str, by: Sequence[str] = ()) -> DataFrame:
@@ -89,8 +89,10 @@ def rolling_time(
     """Rows and total of the same group within ``span`` up to each row, ties included.
 
     Each row enters a running total at its time and leaves it right after
-    ``span``, which costs the same however many rows fall into the span.
+    ``span``, which costs the same however many rows fall into the span.  What
+    enters must leave without a trace: ``value`` has to be a decimal or integer.
     """
+    exact_sum(events, value)
     width = F.expr(f"INTERVAL {span}")
     enter = events.withColumns(
         {
@@ -266,7 +268,13 @@ def top_n_plus_other(
         .agg(money(F.sum("total_value")).alias("total_value"), F.sum("_n").alias("_n"))
     )
     rest = sums.filter("_n > 0").select(*group, F.lit(other).alias(label), "total_value")
-    return top.withColumn("total_value", money(F.col("total_value"))).unionByName(rest)
+    # A label that reads like the rest is counted with it.
+    return (
+        top.withColumn("total_value", money(F.col("total_value")))
+        .unionByName(rest)
+        .groupBy(*group, label)
+        .agg(money(F.sum("total_value")).alias("total_value"))
+    )
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

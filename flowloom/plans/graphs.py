@@ -29,14 +29,18 @@ NATIONS_SQL = (PLAIN_FLOWS, EDGES)
 TRADE_SQL = (PLAIN_FLOWS, TRADE)
 MAIN_PARTNERS = 0.15
 
-MAIN_ROUTES_SQL = """strong AS MATERIALIZED (SELECT src, dst, weight FROM edges
-  QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC NULLS LAST, dst) <= 6)"""
+# Receivers that follow each other in the flows of a sender: a graph with triangles that
+# grows with the data.
+HANDOVER = """edges AS MATERIALIZED (
+  SELECT src, receiver AS dst, CAST(count(*) AS DECIMAL(38,4)) AS weight FROM (
+    SELECT receiver, lag(receiver) OVER (PARTITION BY sender ORDER BY ts, receiver) AS src
+    FROM (SELECT DISTINCT sender, ts, receiver FROM flows))
+  WHERE src <> receiver GROUP BY ALL)"""
+HANDOVER_SQL = (PLAIN_FLOWS, HANDOVER)
 
 
-def _main_routes(spark, sf_dir):
-    """The six destinations each nation sends most to: a sparse graph at any scale."""
-    order = [F.col("weight").desc_nulls_last(), F.col("dst").asc()]
-    return win.top_n(_nations(spark, sf_dir), ["src"], order, 6).select("src", "dst", "weight")
+def _handovers(spark, sf_dir):
+    return graph.handovers(_plain(spark, sf_dir))
 
 
 @query("edges", with_sql(*NATIONS_SQL, select="SELECT * FROM edges"))
@@ -86,31 +90,29 @@ def net_flow(spark, sf_dir):
     "reciprocity",
     with_sql(
         *NATIONS_SQL,
-        MAIN_ROUTES_SQL,
         select="""SELECT count(*) AS n_edges, count(r.src) AS n_mutual,
                  round(count(r.src) / nullif(count(*), 0), 6) AS reciprocity
-          FROM strong e LEFT JOIN strong r ON r.src = e.dst AND r.dst = e.src
+          FROM edges e LEFT JOIN edges r ON r.src = e.dst AND r.dst = e.src
           WHERE e.src <> e.dst""",
     ),
 )
 def reciprocity(spark, sf_dir):
-    return graph.reciprocity(_main_routes(spark, sf_dir))
+    return graph.reciprocity(_nations(spark, sf_dir))
 
 
 @query(
     "graph_stats",
     with_sql(
-        *NATIONS_SQL,
-        MAIN_ROUTES_SQL,
-        """stats AS (SELECT (SELECT count(*) FROM (SELECT src FROM strong UNION SELECT dst FROM strong))
+        *TRADE_SQL,
+        """stats AS (SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges))
                AS n_nodes, count(*) AS n_edges, count(*) FILTER (src = dst) AS n_self_loops
-             FROM strong)""",
+             FROM edges)""",
         select="""SELECT *, round(CAST(n_edges - n_self_loops AS DOUBLE)
                  / nullif(n_nodes * (n_nodes - 1), 0), 6) AS density FROM stats""",
     ),
 )
 def graph_stats(spark, sf_dir):
-    return graph.graph_stats(_main_routes(spark, sf_dir))
+    return graph.graph_stats(_trade(spark, sf_dir))
 
 
 # ---- searches and components -----------------------------------------------
@@ -124,16 +126,11 @@ BOTH_WAYS = """near AS MATERIALIZED (
 sym AS MATERIALIZED (SELECT x AS src, y AS dst FROM near UNION ALL SELECT y, x FROM near)"""
 
 
-def _bfs_sql(rounds: int) -> list[str]:
-    steps = ["l0 AS MATERIALIZED (SELECT node, 0 AS level FROM seed)"]
-    for i in range(1, rounds + 1):
-        steps.append(
-            f"""l{i} AS MATERIALIZED (SELECT node, min(level) AS level FROM (
-                  SELECT node, level FROM l{i - 1}
-                  UNION ALL SELECT dst, {i} FROM l{i - 1} JOIN sym ON src = node
-                            WHERE level = {i - 1}) GROUP BY node)"""
-        )
-    return steps
+BFS = """bfs(node, level) USING KEY (node) AS (
+  SELECT node, 0 FROM seed
+  UNION
+  SELECT dst, min(level) + 1 FROM bfs JOIN sym ON src = node
+  WHERE NOT EXISTS (FROM recurring.bfs r WHERE r.node = dst){0} GROUP BY dst)"""
 
 
 def _top_sender(trade):
@@ -143,54 +140,45 @@ def _top_sender(trade):
 
 @query(
     "k_hop",
-    with_sql(*TRADE_SQL, TOP_SENDER, strong(0.1), BOTH_WAYS.format("strong"), *_bfs_sql(3),
-             select="SELECT node, level FROM l3"),
+    with_sql(*TRADE_SQL, TOP_SENDER, BOTH_WAYS.format("edges"), BFS.format(" AND level < 3"),
+             select="SELECT node, level FROM bfs", recursive=True),
 )
 def k_hop(spark, sf_dir):
     trade = cut(_trade(spark, sf_dir))
-    near = iterate.both_directions(graph.strong_edges(trade, 0.1))
-    return iterate.k_hop(near, _top_sender(trade), 3)
+    return iterate.k_hop(iterate.both_directions(trade), _top_sender(trade), 3)
 
 
 @query(
     "bfs_levels",
-    with_sql(*TRADE_SQL, TOP_SENDER, strong(0.1), BOTH_WAYS.format("strong"), *_bfs_sql(24),
-             select="SELECT node, level FROM l24"),
+    with_sql(*TRADE_SQL, TOP_SENDER, BOTH_WAYS.format("edges"), BFS.format(""),
+             select="SELECT node, level FROM bfs", recursive=True),
 )
 def bfs_levels(spark, sf_dir):
     trade = cut(_trade(spark, sf_dir))
-    near = iterate.both_directions(graph.strong_edges(trade, 0.1))
-    return iterate.bfs_levels(near, _top_sender(trade))
+    return iterate.bfs_levels(iterate.both_directions(trade), _top_sender(trade))
 
 
-def _components_sql(source: str, rounds: int) -> list[str]:
-    steps = [
-        BOTH_WAYS.format(source),
-        f"""c0 AS MATERIALIZED (SELECT DISTINCT unnest([src, dst]) AS node, node AS component
-          FROM {source})""",
-    ]
-    for i in range(1, rounds + 1):
-        steps.append(
-            f"""c{i} AS MATERIALIZED (SELECT node, min(component) AS component FROM (
-                  SELECT node, component FROM c{i - 1}
-                  UNION ALL SELECT dst, component FROM c{i - 1} JOIN sym ON src = node)
-                GROUP BY node)"""
-        )
-    return steps
+COMPONENTS = """parts(node, component) USING KEY (node) AS (
+  SELECT DISTINCT node, node FROM (SELECT unnest([src, dst]) AS node FROM edges)
+  UNION
+  SELECT dst, min(p.component) FROM parts p JOIN sym ON src = p.node
+  JOIN recurring.parts r ON r.node = dst GROUP BY dst, r.component
+  HAVING min(p.component) < r.component)"""
 
 
 @query(
     "connected_components",
-    with_sql(*TRADE_SQL, strong(MAIN_PARTNERS), *_components_sql("strong", 60),
-             select="SELECT node, component FROM c60"),
+    with_sql(*HANDOVER_SQL, BOTH_WAYS.format("edges"), COMPONENTS,
+             select="SELECT node, component FROM parts", recursive=True),
 )
 def connected_components(spark, sf_dir):
-    return iterate.connected_components(graph.strong_edges(_trade(spark, sf_dir), MAIN_PARTNERS))
+    return iterate.connected_components(_handovers(spark, sf_dir))
 
 
 @query(
     "connected_components_all",
-    with_sql(*TRADE_SQL, *_components_sql("edges", 8), select="SELECT node, component FROM c8"),
+    with_sql(*TRADE_SQL, BOTH_WAYS.format("edges"), COMPONENTS,
+             select="SELECT node, component FROM parts", recursive=True),
 )
 def connected_components_all(spark, sf_dir):
     return iterate.connected_components(_trade(spark, sf_dir))
@@ -239,14 +227,14 @@ def pagerank_trade(spark, sf_dir):
 
 def _hits_sql(rounds: int) -> list[str]:
     steps = [
-        "nodes AS MATERIALIZED (SELECT src AS node FROM strong UNION SELECT dst FROM strong)",
+        "nodes AS MATERIALIZED (SELECT src AS node FROM edges UNION SELECT dst FROM edges)",
         "h0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS hub, 0.0::DOUBLE AS authority FROM nodes)",
     ]
     for i in range(1, rounds + 1):
         steps += [
-            f"""a{i} AS MATERIALIZED (SELECT dst AS node, sum(hub) AS s FROM strong
+            f"""a{i} AS MATERIALIZED (SELECT dst AS node, sum(hub) AS s FROM edges
                   JOIN h{i - 1} ON node = src GROUP BY dst)""",
-            f"""b{i} AS MATERIALIZED (SELECT src AS node, sum(s) AS s FROM strong
+            f"""b{i} AS MATERIALIZED (SELECT src AS node, sum(s) AS s FROM edges
                   JOIN a{i} ON node = dst GROUP BY src)""",
             f"""h{i} AS MATERIALIZED (SELECT node,
                   coalesce(b.s, 0) / (SELECT sum(s) FROM b{i}) AS hub,
@@ -258,13 +246,13 @@ def _hits_sql(rounds: int) -> list[str]:
 
 @query(
     "hits",
-    with_sql(*NATIONS_SQL, MAIN_ROUTES_SQL, *_hits_sql(5),
-             select="SELECT node, round(hub, 8) AS hub, round(authority, 8) AS authority FROM h5"),
+    with_sql(*TRADE_SQL, *_hits_sql(5),
+             select="SELECT node, round(hub, 10) AS hub, round(authority, 10) AS authority FROM h5"),
 )
 def hits(spark, sf_dir):
-    scores = iterate.hits(_main_routes(spark, sf_dir), rounds=5)
+    scores = iterate.hits(_trade(spark, sf_dir), rounds=5)
     return scores.select(
-        "node", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority")
+        "node", F.round("hub", 10).alias("hub"), F.round("authority", 10).alias("authority")
     )
 
 
@@ -280,11 +268,11 @@ TRIANGLES = """triangles AS MATERIALIZED (
 
 @query(
     "triangle_count",
-    with_sql(*NATIONS_SQL, MAIN_ROUTES_SQL, PAIRS.format("strong"), TRIANGLES,
+    with_sql(*HANDOVER_SQL, PAIRS.format("edges"), TRIANGLES,
              select="SELECT count(*) AS n_triangles FROM triangles"),
 )
 def triangle_count(spark, sf_dir):
-    return graph.triangle_count(_main_routes(spark, sf_dir))
+    return graph.triangle_count(_handovers(spark, sf_dir))
 
 
 @query(
@@ -299,9 +287,8 @@ def triangle_count_all(spark, sf_dir):
 @query(
     "clustering",
     with_sql(
-        *NATIONS_SQL,
-        MAIN_ROUTES_SQL,
-        PAIRS.format("strong"),
+        *HANDOVER_SQL,
+        PAIRS.format("edges"),
         TRIANGLES,
         select="""SELECT node, degree, coalesce(t, 0) AS triangles,
                  CASE WHEN degree < 2 THEN 0.0
@@ -313,11 +300,11 @@ def triangle_count_all(spark, sf_dir):
     ),
 )
 def clustering(spark, sf_dir):
-    return graph.clustering(_main_routes(spark, sf_dir))
+    return graph.clustering(_handovers(spark, sf_dir))
 
 
 def _core_sql(k: int, rounds: int) -> list[str]:
-    steps = [PAIRS.format("strong"), "p0 AS MATERIALIZED (SELECT a, b FROM pairs)"]
+    steps = [PAIRS.format("edges"), "p0 AS MATERIALIZED (SELECT a, b FROM pairs)"]
     for i in range(1, rounds + 1):
         prev = f"p{i - 1}"
         steps.append(
@@ -334,20 +321,19 @@ def _core_sql(k: int, rounds: int) -> list[str]:
     "k_core",
     with_sql(
         *TRADE_SQL,
-        strong(0.05),
-        *_core_sql(6, 24),
+        *_core_sql(30, 24),
         select="""SELECT node, count(*) AS core_degree
           FROM (SELECT unnest([a, b]) AS node FROM p24) GROUP BY node""",
     ),
 )
 def k_core(spark, sf_dir):
-    return iterate.k_core(graph.strong_edges(_trade(spark, sf_dir), 0.05), 6)
+    return iterate.k_core(_trade(spark, sf_dir), 30)
 
 
 def _labels_sql(rounds: int) -> list[str]:
     steps = [
-        BOTH_WAYS.format("strong"),
-        "s0 AS MATERIALIZED (SELECT DISTINCT unnest([src, dst]) AS node, node AS label FROM strong)",
+        BOTH_WAYS.format("edges"),
+        "s0 AS MATERIALIZED (SELECT DISTINCT unnest([src, dst]) AS node, node AS label FROM edges)",
     ]
     for i in range(1, rounds + 1):
         steps.append(
@@ -362,10 +348,10 @@ def _labels_sql(rounds: int) -> list[str]:
 
 @query(
     "label_propagation",
-    with_sql(*TRADE_SQL, strong(0.1), *_labels_sql(5), select="SELECT node, label FROM s5"),
+    with_sql(*TRADE_SQL, *_labels_sql(5), select="SELECT node, label FROM s5"),
 )
 def label_propagation(spark, sf_dir):
-    return iterate.label_propagation(graph.strong_edges(_trade(spark, sf_dir), 0.1), rounds=5)
+    return iterate.label_propagation(_trade(spark, sf_dir), rounds=5)
 
 
 # ---- bipartite, sequences, charts ------------------------------------------
@@ -430,15 +416,14 @@ def transitions(spark, sf_dir):
 @query(
     "sankey_links",
     with_sql(
-        *NATIONS_SQL,
-        MAIN_ROUTES_SQL,
+        *TRADE_SQL,
         """sources AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS source_id
-          FROM (SELECT DISTINCT src FROM strong))""",
+          FROM (SELECT DISTINCT src FROM edges))""",
         """targets AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1
-             + (SELECT count(*) FROM sources) AS target_id FROM (SELECT DISTINCT dst FROM strong))""",
-        select="""SELECT source_id, target_id, src, dst, weight FROM strong
+             + (SELECT count(*) FROM sources) AS target_id FROM (SELECT DISTINCT dst FROM edges))""",
+        select="""SELECT source_id, target_id, src, dst, weight FROM edges
           JOIN sources USING (src) JOIN targets USING (dst)""",
     ),
 )
 def sankey_links(spark, sf_dir):
-    return graph.sankey_links(_main_routes(spark, sf_dir))
+    return graph.sankey_links(_trade(spark, sf_dir))

@@ -69,5 +69,5 @@ def strong(share: float) -> str:
           >= CAST(sum(weight) OVER (PARTITION BY src) AS DOUBLE) * {share})"""
 
 
-def with_sql(*ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+def with_sql(*ctes: str, select: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + select

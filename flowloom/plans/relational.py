@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.functions import fixed, money
+from flowloom.functions import fixed, money, period_start
 from flowloom.operators import aggregates as agg
 from flowloom.operators import flows as fl
-from flowloom.operators import graph
 from flowloom.operators import joins, sets
-from flowloom.plans.registry import EDGES, FLOWS, PLAIN_FLOWS, query, with_sql
+from flowloom.operators.lineage import cut
+from flowloom.plans.registry import FLOWS, PLAIN_FLOWS, query, with_sql
 from flowloom.sources import read_partition, scan, scratch_path, sql, write_partitioned
 
 TOTALS = "count(*) AS n_flows, CAST(sum(value) AS DECIMAL(38,4)) AS total_value"
@@ -303,18 +303,26 @@ def anti_inactive_senders(spark, sf_dir):
 @query(
     "full_outer_both_ways",
     with_sql(
-        FLOWS,
-        "picked AS (SELECT src, dst, value FROM flows WHERE asset = 'Brand#7')",
-        EDGES.replace("FROM flows", "FROM picked"),
+        PLAIN_FLOWS,
+        """months AS MATERIALIZED (
+          SELECT src, dst, date_trunc('month', ts)::TIMESTAMP AS month,
+                 CAST(sum(value) AS DECIMAL(38,4)) AS weight FROM flows GROUP BY ALL)""",
         select="""SELECT coalesce(f.src, r.dst) AS a, coalesce(f.dst, r.src) AS b,
+                 coalesce(f.month, r.month) AS month,
                  coalesce(f.weight, 0) AS forward, coalesce(r.weight, 0) AS backward
-          FROM (SELECT * FROM edges WHERE src < dst) f
-          FULL JOIN (SELECT * FROM edges WHERE src > dst) r ON f.src = r.dst AND f.dst = r.src""",
+          FROM (SELECT * FROM months WHERE src < dst) f
+          FULL JOIN (SELECT * FROM months WHERE src > dst) r
+            ON f.src = r.dst AND f.dst = r.src AND f.month = r.month""",
     ),
 )
 def full_outer_both_ways(spark, sf_dir):
-    picked = fl.filter_flows(flows(spark, sf_dir), assets=["Brand#7"])
-    return joins.both_ways(graph.edges(picked))
+    month = period_start(F.col("ts"), "month").alias("month")
+    months = (
+        flows(spark, sf_dir, asset=False)
+        .groupBy("src", "dst", month)
+        .agg(money(F.sum("value")).alias("weight"))
+    )
+    return joins.both_ways(months, ["month"])
 
 
 @query(
@@ -387,13 +395,13 @@ def rollup_region_nation(spark, sf_dir):
 
 
 @query(
-    "cube_flag_status",
+    "cube_flag_brand",
     f"""SELECT l_returnflag, p_brand, CAST(grouping(l_returnflag) AS INTEGER) AS all_l_returnflag,
                CAST(grouping(p_brand) AS INTEGER) AS all_p_brand, count(*) AS n_flows,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,4)) AS total_value
         FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY CUBE (l_returnflag, p_brand)""",
 )
-def cube_flag_status(spark, sf_dir):
+def cube_flag_brand(spark, sf_dir):
     line = scan(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("p_partkey"),
         "l_returnflag",
@@ -419,7 +427,14 @@ def grouping_sets(spark, sf_dir):
     )
 
 
+def _matrix(spark, sf_dir):
+    places = scan(spark, sf_dir, "nation", ["n_nationkey"])
+    return agg.route_matrix(flows(spark, sf_dir, asset=False), agg.listed(places, "n_nationkey"))
+
+
+# The places of ``nation``, which is the same at every scale; SQL needs them spelled out.
 PLACES = range(25)
+ELSEWHERE = "dst IS NULL OR dst NOT IN (SELECT n_nationkey FROM nation)"
 
 
 @query(
@@ -428,26 +443,26 @@ PLACES = range(25)
         PLAIN_FLOWS,
         select="SELECT src, "
         + ", ".join(f"count(*) FILTER (dst = {p}) AS to_{p}" for p in PLACES)
-        + " FROM flows GROUP BY src",
+        + f", count(*) FILTER ({ELSEWHERE}) AS to_other FROM flows GROUP BY src",
     ),
 )
 def route_matrix(spark, sf_dir):
-    return agg.route_matrix(flows(spark, sf_dir, asset=False), PLACES)
+    return _matrix(spark, sf_dir)
 
 
 @query(
     "melt_matrix",
     with_sql(
         PLAIN_FLOWS,
-        select="""SELECT src, 'to_' || n_nationkey AS route, coalesce(n, 0) AS n_flows
+        select=f"""SELECT src, 'to_' || n_nationkey AS route, coalesce(n, 0) AS n_flows
           FROM (SELECT DISTINCT src FROM flows) JOIN nation ON true
           LEFT JOIN (SELECT src AS s, dst, count(*) AS n FROM flows GROUP BY ALL)
-            ON s = src AND dst = n_nationkey""",
+            ON s = src AND dst = n_nationkey
+          UNION ALL SELECT src, 'to_other', count(*) FILTER ({ELSEWHERE}) FROM flows GROUP BY src""",
     ),
 )
 def melt_matrix(spark, sf_dir):
-    wide = agg.route_matrix(flows(spark, sf_dir, asset=False), PLACES)
-    return agg.melt(wide, ["src"], "route", "n_flows")
+    return agg.melt(_matrix(spark, sf_dir), ["src"], "route", "n_flows")
 
 
 @query(
@@ -475,9 +490,23 @@ def distinct_senders(spark, sf_dir):
     return agg.distinct_senders(flows(spark, sf_dir, asset=False), "dst")
 
 
-@query("approx_distinct_senders")
+@query(
+    "approx_distinct_senders",
+    with_sql(
+        PLAIN_FLOWS,
+        select="""SELECT dst, count(DISTINCT sender) AS n_senders, true AS within_bound
+          FROM flows GROUP BY dst""",
+    ),
+)
 def approx_distinct_senders(spark, sf_dir):
-    return agg.approx_distinct_senders(flows(spark, sf_dir, asset=False), "dst")
+    """The exact number, and whether the sketch is within four times its standard error."""
+    dealt = cut(flows(spark, sf_dir, asset=False).select("dst", "sender"))
+    exact = agg.distinct_senders(dealt, "dst")
+    near = agg.approx_distinct_senders(dealt, "dst")
+    off = F.abs(F.col("n_senders_approx") - F.col("n_senders"))
+    return exact.join(near, "dst").select(
+        "dst", "n_senders", (off <= 4 * agg.SKETCH_RSD * F.col("n_senders")).alias("within_bound")
+    )
 
 
 @query(

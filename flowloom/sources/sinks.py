@@ -29,9 +29,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Paths given out by this process and not yet removed.
+_paths: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for one intermediate table."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.add(path)
+    return path
+
+
+def known_paths() -> list[str]:
+    """The scratch paths that may hold something."""
+    return sorted(_paths)
+
+
+def forget(path: str) -> None:
+    _paths.discard(path)
 
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:

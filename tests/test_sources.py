@@ -76,8 +76,9 @@ def test_rounds_remove_the_state_before(spark):
 
 def test_clear_removes_what_was_written(spark, monkeypatch):
     from flowloom.operators import lineage
+    from flowloom.sources import sinks
 
-    monkeypatch.setattr(lineage, "_tables", set())
+    monkeypatch.setattr(sinks, "_paths", set())
     df = cut(spark.range(3))
     assert cut(df) is df
     assert lineage.clear(spark) == 1
@@ -107,3 +108,19 @@ def test_warehouse_scan_asks_for_parallel_range_reads():
     assert got.name == "jdbc"
     assert got.kw["dbtable"] == "(SELECT * FROM t) q"
     assert (got.kw["partitionColumn"], got.kw["numPartitions"]) == ("id", "8")
+
+
+def test_scope_leaves_nothing_behind(spark, sf_dir):
+    from flowloom.operators.lineage import scratch
+    from flowloom.plans import QUERIES
+    from flowloom.sources import sinks
+
+    before = sinks.known_paths()
+    with scratch(spark):
+        assert QUERIES["partitioned_roundtrip"](spark, sf_dir).count() > 0
+        assert len(sinks.known_paths()) > len(before)
+        made = [p for p in sinks.known_paths() if p not in before]
+    assert sinks.known_paths() == before
+    for path in made:
+        with pytest.raises(Exception):
+            spark.read.parquet(path)

@@ -36,7 +36,7 @@ def test_hot_keys_finds_only_large_groups(rows):
 
 
 def test_chunks_follow_the_order(rows):
-    cut = with_chunks(rows, ["k"], "at", LIMIT)
+    cut = with_chunks(rows, ["k"], ["at", "id"], LIMIT)
     assert cut.count() == rows.count()
     per_key = {}
     for r in cut.filter("at is not null").collect():
@@ -110,3 +110,23 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, at double, id int, v int")
     assert running(df, ["k"], ["at"], sums={"s": F.col("v")}).count() == 0
     assert join_spread(df, df.select("k", F.col("v").alias("w")), "k").count() == 0
+
+
+@pytest.mark.parametrize("shape", ["outlier", "heavy tail", "ties", "strings", "decimals", "dates"])
+def test_pieces_hold_about_equal_rows(spark, shape):
+    n, limit = 20_000, 1000
+    base = spark.range(n).withColumn("k", F.lit(1))
+    at = {
+        "outlier": F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") / n),
+        "heavy tail": F.exp(F.col("id") / 400),
+        "ties": F.floor(F.col("id") / 10_000),
+        "strings": F.format_string("same start %06d", "id"),
+        "decimals": (F.col("id") + F.lit("12345678901234567890123456789").cast("decimal(38,0)")).cast("decimal(38,0)"),
+        "dates": F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("id") / 100).cast("int")),
+    }[shape]
+    df = base.withColumn("at", at)
+    sizes = [r["count"] for r in with_chunks(df, ["k"], ["at", "id"], limit).groupBy("_chunk").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * limit
+    got = running(df, ["k"], ["at", "id"], sums={"s": F.lit(1)}, rows_per_task=limit)
+    want = df.withColumn("s", F.row_number().over(Window.partitionBy("k").orderBy("at", "id")))
+    assert got.join(want, ["id", "s"]).count() == n
