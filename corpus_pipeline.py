@@ -54,7 +54,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("begin").alias("first_word"), F.col("end").alias("last_word"),
     )
     # Rows of equal id and text have equal keys; each was placed by itself.
-    return taken.join(keyed(docs).dropDuplicates(KEYS), KEYS).drop(*KEYS)
+    own = keyed(docs).drop(*[c for c in taken.columns if c not in KEYS]).dropDuplicates(KEYS)
+    return taken.join(own, KEYS).drop(*KEYS)
 
 
 STAGES = [

@@ -152,7 +152,10 @@ def cut_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
     Words and gaps alternate in a text; a gap goes with the word before it.
     """
     found = cut(
-        hits(docs, items).filter("size(spans) > 0").select(*KEYS, "spans")
+        hits(docs, items)
+        .filter("size(spans) > 0")
+        .select(*KEYS, F.col("spans").alias("__spans"))
+        .dropDuplicates(KEYS)
     )
     tokens = F.expr(
         rf"regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -161,12 +164,12 @@ def cut_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     kept = F.array_join(
         F.expr(
-            "filter(__tokens, (x, i) -> NOT exists(spans, s -> i + 1 >= s.start AND i + 1 < s.start + s.n))"
+            "filter(__tokens, (x, i) -> NOT exists(__spans, s -> i + 1 >= s.start AND i + 1 < s.start + s.n))"
         ),
         "",
     )
     joined = keyed(docs).join(found, KEYS, "left").withColumn("__tokens", tokens)
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, kept))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(lead, kept))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

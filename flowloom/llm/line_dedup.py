@@ -183,17 +183,17 @@ def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
 
 def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """``docs`` without later repeated runs in ``text``, with ``n_lines`` before and ``n_removed``."""
-    gone = cut(repeated_lines(docs, run, gram))
+    gone = cut(repeated_lines(docs, run, gram)).withColumnRenamed("gone", "__gone")
     rows = keyed(docs).join(gone, KEYS, "left")
     left = F.array_join(
-        F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"
+        F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n"
     )
     body = F.coalesce(F.col("text"), F.lit(""))
     return rows.select(
         *[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")],
         (F.regexp_count(body, F.lit("\n")) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text"),
     )
 
 

@@ -160,13 +160,14 @@ def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     first verdict can be given.
     """
     rows = cut(failures(figures(docs)))
+    return _verdict(rows, limit).select(*rows.columns, "kept").drop(*RULES, "n_lines")
+
+
+def _verdict(rows: DataFrame, limit: float) -> DataFrame:
+    """Written ``rows`` of ``failures`` with ``kept``."""
     hosts = host_verdicts(rows, limit).select("source", "host_rejected")
-    return (
-        rows.join(hosts, "source", "left")
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
-        .select(*rows.columns, "kept")
-        .drop(*RULES, "n_lines")
-    )
+    rejected = F.coalesce("host_rejected", F.lit(False))
+    return rows.join(hosts, "source", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def keep_good(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -176,7 +177,8 @@ def keep_good(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     aside = docs.select(
         *[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("text"), F.col("source")
     )
-    return judge(aside, limit).filter("kept").select(
+    rows = cut(failures(figures(aside)).select(*names, "source", *RULES, "base_failed"))
+    return _verdict(rows, limit).filter("kept").select(
         *[F.col(n).alias(c) for c, n in zip(docs.columns, names)]
     )
 
@@ -241,8 +243,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = cut(failures(figures(docs)).drop("text"))
-    hosts = host_verdicts(rows).select("source", "host_rejected")
-    return rows.join(hosts, "source", "left").select(
-        "doc_id", *names, "base_failed",
-        (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"),
-    )
+    return _verdict(rows, LIMIT).select("doc_id", *names, "base_failed", "kept")
