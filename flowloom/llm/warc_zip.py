@@ -1,7 +1,7 @@
 """WARC records kept in ZIP packages, and a reader that takes them out by range.
 
-A package is a ZIP file with one stored member of WARC records and one stored
-index of where each record begins.  Tasks write packages of about ``PACKAGE``
+A package is a ZIP file with one stored member of WARC records, each compressed
+by itself, and one stored index of where each record begins.  Tasks write packages of about ``PACKAGE``
 bytes straight to the shared folder and hand back their paths; what the written
 list of paths names is the truth, so a task that ran twice leaves a file that
 nobody reads.
@@ -15,15 +15,15 @@ Of pages with equal payloads of at least ``least_bytes`` bytes the one with the
 largest id is the response and the others revisit it.
 
 * NULL html is an empty payload.  A NULL page id ranks lowest; a page of NULL
-  id is a response only where all its copies are.  A NULL url leaves the target out.
-* Pages equal in id and payload: one of them is the response, the others
-  revisit it, so ``refers_to`` is then their own id.
+  id is a response only where all its copies have none.  A NULL url leaves the target out.
+* Pages equal in id and payload are alike: all are responses, or all revisits.
 * An empty table gives no package and no record.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -41,7 +41,9 @@ from flowloom.operators.lineage import cut
 from flowloom.sources.sinks import scratch_path
 
 PACKAGE = 64_000_000
-RECORDS = "archive/data.warc"
+LEVEL = 3
+BROADCAST_HOMES = 500_000
+RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,8 +58,8 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id: int | None, row: int) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+def _urn(page_id: int | None, digest: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
 
 
 def _page_of(urn: str | None) -> int | None:
@@ -65,17 +67,19 @@ def _page_of(urn: str | None) -> int | None:
     return int(part) if part else None
 
 
-def make_record(page_id, row, url, payload: bytes, digest: str, home: tuple | None) -> bytes:
-    """One record; ``home`` is the (page_id, row) that a revisit refers to."""
+def make_record(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, home: tuple | None
+) -> bytes:
+    """One record; ``home`` holds the id of the page that a revisit refers to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n"
     block = http.encode() + (payload if home is None else b"")
     head = ["WARC/1.1", f"WARC-Type: {'response' if home is None else 'revisit'}"]
-    head.append(f"WARC-Record-ID: {_urn(page_id, row)}")
+    head.append(f"WARC-Record-ID: {_urn(page_id, digest)}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head += [f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if home is not None:
-        head += [f"WARC-Refers-To: {_urn(*home)}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {_urn(home[0], digest)}", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -107,6 +111,7 @@ class _Package:
         self.size, self.index = 0, []
 
     def add(self, key: str, record: bytes) -> None:
+        record = gzip.compress(record, compresslevel=LEVEL, mtime=0)
         self.member.write(record)
         self.index.append(f"{key} {json.dumps({'offset': self.size, 'length': len(record), 'filename': RECORDS})}")
         self.size += len(record)
@@ -124,33 +129,31 @@ def write_packages(
 ) -> DataFrame:
     """Write all pages; returns the written list of packages: ``path`` and ``records``."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = cut(
-        pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-        .withColumn("sha1", F.sha1("payload"))
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-    # Largest id first, then the first row; NULL ids rank lowest.
-    rank = F.struct("page_id", (-F.col("row")).alias("back"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")
+    ).withColumns({"sha1": F.sha1("payload"), "n": F.length("payload")})
     homes = cut(
-        rows.filter(F.length("payload") >= least_bytes)
-        .groupBy("sha1", F.length("payload").alias("n"))
-        .agg(F.max(rank).alias("home"), F.count(F.lit(1)).alias("copies"))
+        rows.filter(F.col("n") >= least_bytes)
+        .groupBy("sha1", "n")
+        .agg(F.max("page_id").alias("home"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1")
-        .select("sha1", "n", F.col("home.page_id").alias("home_id"), (-F.col("home.back")).alias("home_row"))
+        .withColumn("repeated", F.lit(True))
+        .drop("copies")
+    )
+    # A row is about 100 bytes.  A longer list is shuffled, with the pages.
+    known = F.broadcast(homes) if homes.count() <= BROADCAST_HOMES else homes
+    marked = rows.join(known, ["sha1", "n"], "left").withColumn(
+        "revisit", F.coalesce("repeated", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("home"))
     )
-    marked = rows.withColumn("n", F.length("payload")).join(homes, ["sha1", "n"], "left").drop("n")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, current = [], None
         for batch in batches:
             for r in batch.to_pylist():
                 current = current or _Package(folder)
-                home = None
-                if r["home_row"] is not None and r["home_row"] != r["row"]:
-                    home = (r["home_id"], r["home_row"])
                 digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
-                record = make_record(r["page_id"], r["row"], r["url"], r["payload"], digest, home)
-                current.add(str(r["row"]), record)
+                home = (r["home"],) if r["revisit"] else None
+                current.add(digest, make_record(r["page_id"], r["url"], r["payload"], digest, home))
                 if current.size >= package:
                     done.append(current.close())
                     current = None
@@ -162,7 +165,8 @@ def write_packages(
                 [pa.array(paths), pa.array(counts, pa.int64())], ["path", "records"]
             )
 
-    return cut(marked.mapInArrow(write, "path string, records long"))
+    shown = marked.select("page_id", "url", "payload", "sha1", "home", "revisit")
+    return cut(shown.mapInArrow(write, "path string, records long"))
 
 
 class RangeReader:
@@ -282,7 +286,7 @@ def read_records(located: DataFrame, payloads: bool = True) -> DataFrame:
             for r in batch.to_pylist():
                 if r["path"] != path:
                     reader, path = RangeReader(r["path"]), r["path"]
-                found = parse_record(reader.read(r["offset"], r["length"]))
+                found = parse_record(gzip.decompress(reader.read(r["offset"], r["length"])))
                 warc, kind = found["warc"], found["warc"]["warc-type"]
                 digest = warc["warc-payload-digest"].partition(":")[2]
                 rows.append(
