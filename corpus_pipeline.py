@@ -55,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     # Rows of equal id and text have equal keys; each was placed by itself.
     own = keyed(docs).drop(*[c for c in taken.columns if c not in KEYS]).dropDuplicates(KEYS)
-    return taken.join(own, KEYS).drop(*KEYS)
+    return taken.join(own.hint("merge"), KEYS).drop(*KEYS)
 
 
 STAGES = [

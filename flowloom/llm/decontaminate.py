@@ -143,7 +143,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, unchanged."""
     bad = cut(contamination(docs, items).filter("contaminated").select(*KEYS).distinct())
-    return keyed(docs).join(bad, KEYS, "left_anti").select(*docs.columns)
+    # The list grows with the documents, so it is shuffled at every size.
+    return keyed(docs).join(bad.hint("merge"), KEYS, "left_anti").select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -184,7 +184,8 @@ def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
 def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """``docs`` without later repeated runs in ``text``, with ``n_lines`` before and ``n_removed``."""
     gone = cut(repeated_lines(docs, run, gram)).withColumnRenamed("gone", "__gone")
-    rows = keyed(docs).join(gone, KEYS, "left")
+    # The list grows with the documents, so it is shuffled at every size.
+    rows = keyed(docs).join(gone.hint("merge"), KEYS, "left")
     left = F.array_join(
         F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n"
     )

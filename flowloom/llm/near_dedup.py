@@ -397,7 +397,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataF
     """
     found = near_duplicates(docs, shingle, percent)
     gone = cut(found.filter("NOT kept").select(*KEYS).distinct())
-    stay = keyed(docs).join(gone, KEYS, "left_anti")
+    # The list grows with the documents, so it is shuffled at every size.
+    stay = keyed(docs).join(gone.hint("merge"), KEYS, "left_anti")
     twice = cut(
         found.filter("kept AND n_shingles > 0").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     )
