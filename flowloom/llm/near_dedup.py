@@ -15,7 +15,12 @@ chunks differ in at most one symbol.  A chunk with one symbol left out is a key;
 two chunks differ in at most one symbol exactly if they share such a key.  So
 all pairs within the distance share a key, in three different chunks.
 
-Equal sets are one class from the start.  Then, class by class:
+Equal sets are one class from the start.  A class that shares no more than it
+would need goes at once: shingles that none of the classes it shares a key with
+has are in no intersection, so a class with more than a fifth of them has no
+link, and a pair can only link if what both have alone leaves room for it.  This
+is exact, and it takes out the heavily edited copies that would otherwise meet
+all others of their group.  Then, class by class:
 
 1. Each key that several classes have gets a leader, and only (member, leader)
    pairs are compared: linear in the members, however many share the key.  A
@@ -43,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import KEYS, keyed, query, table
@@ -55,7 +60,7 @@ BITS = 16
 CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
 DISTANCE = 27
-CROWD = 64
+CROWD = 256
 PERCENT = 80
 # Words whose hash a worker remembers.
 REMEMBER = 500_000
@@ -192,18 +197,24 @@ def _second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _near(percent: int):
-    """Pairs of fitting size whose signatures are within the distance."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures are within the distance."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        differ = (_symbols(batch.column("data_a")) != _symbols(batch.column("data_b"))).sum(axis=1)
+        yield batch.select(["a", "b"]).filter(pa.array(differ <= DISTANCE))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            differ = (_symbols(batch.column("data_a")) != _symbols(batch.column("data_b"))).sum(axis=1)
-            near = pa.array(differ <= DISTANCE)
-            yield batch.select(["a", "b"]).filter(near)
 
-    return run
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 200):
+            part = batch.slice(k, 200)
+            raw = part.column("data").to_pylist()
+            hashes = np.frombuffer(b"".join(raw), np.int64)
+            ids = np.repeat(part.column("cid").to_numpy(), [len(x) // 8 for x in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids)], ["hash", "cid"])
 
 
 def _confirm(percent: int):
@@ -225,8 +236,8 @@ def _confirm(percent: int):
 class _Linker:
     """Confirms candidate pairs of classes and keeps the links and components so far."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> None:
-        self.docs, self.classes, self.shingle, self.percent = docs, classes, shingle, percent
+    def __init__(self, facts: DataFrame, sets: DataFrame, percent: int) -> None:
+        self.facts, self.sets, self.percent = facts, sets, percent
         self.links: list[DataFrame] = []
         self.parts: DataFrame | None = None
 
@@ -241,37 +252,24 @@ class _Linker:
             .drop("__part")
         )
 
+    def _side(self, end: str) -> DataFrame:
+        names = {"cid": end, "size": f"size_{end}", "alone": f"alone_{end}", "data": f"data_{end}"}
+        return self.facts.select(*[F.col(c).alias(n) for c, n in names.items()])
+
     def test(self, pairs: DataFrame) -> None:
         """Add the links among ``pairs`` (a, b), which are distinct and in different components."""
-        facts = self.classes.select("cid", "size", "data")
-        a = facts.select(*[F.col(c).alias(n) for c, n in (("cid", "a"), ("size", "size_a"), ("data", "data_a"))])
-        b = facts.select(*[F.col(c).alias(n) for c, n in (("cid", "b"), ("size", "size_b"), ("data", "data_b"))])
         sized = (
-            pairs.join(a, "a")
-            .join(b, "b")
-            .filter(100 * F.least("size_a", "size_b") >= self.percent * F.greatest("size_a", "size_b"))
+            pairs.join(self._side("a"), "a")
+            .join(self._side("b"), "b")
+            .filter(_may_link(self.percent))
             .select("a", "b", "data_a", "data_b")
         )
-        near = cut(sized.mapInArrow(_near(self.percent), "a long, b long"))
+        near = cut(sized.mapInArrow(_near, "a long, b long"))
         if near.isEmpty():
             return
-        wanted = (
-            near.select(F.explode(F.array("a", "b")).alias("cid"))
-            .distinct()
-            .join(self.classes.select("cid", *KEYS), "cid")
-        )
-        sets = cut(
-            keyed(self.docs)
-            .select(*KEYS, F.col("text").cast("binary").alias("text"))
-            .join(wanted, KEYS)
-            .select("cid", "text")
-            .mapInArrow(_sets(self.shingle, True), "cid long, size long, digest binary, data binary")
-            .select("cid", "data")
-        )
-        # Rows of equal id and text would give a set twice; a pair then only comes twice.
         links = cut(
-            near.join(sets.select(F.col("cid").alias("a"), F.col("data").alias("set_a")), "a")
-            .join(sets.select(F.col("cid").alias("b"), F.col("data").alias("set_b")), "b")
+            near.join(self.sets.select(F.col("cid").alias("a"), F.col("data").alias("set_a")), "a")
+            .join(self.sets.select(F.col("cid").alias("b"), F.col("data").alias("set_b")), "b")
             .mapInArrow(_confirm(self.percent), "a long, b long")
         )
         if links.isEmpty():
@@ -285,6 +283,42 @@ class _Linker:
         )
 
 
+def _may_link(percent: int) -> Column:
+    """Whether two classes can reach the similarity, by their sizes and what each has alone.
+
+    What only one of them has is in the union and not in what they share.
+    """
+    shared = F.least(F.col("size_a") - F.col("alone_a"), F.col("size_b") - F.col("alone_b"))
+    union = F.greatest(F.col("size_a") + F.col("alone_b"), F.col("size_b") + F.col("alone_a"))
+    return 100 * shared >= percent * union
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """``cid`` and ``data``, the whole set of each class, cut anew from one of its texts."""
+    found = (
+        keyed(docs)
+        .select(*KEYS, F.col("text").cast("binary").alias("text"))
+        .join(classes.select("cid", *KEYS).hint("merge"), KEYS)
+        .select("cid", "text")
+        .mapInArrow(_sets(shingle, True), "cid long, size long, digest binary, data binary")
+        .select("cid", "data")
+    )
+    # Rows of equal id and text give a set twice; a pair then only comes twice.
+    return cut(found)
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """``cid`` and ``alone``, how many of its shingles no other of the ``sets`` has."""
+    return (
+        sets.mapInArrow(_shingles, "hash long, cid long")
+        .groupBy("hash")
+        .agg(F.min("cid").alias("cid"), F.max("cid").alias("other"))
+        .filter("cid = other")
+        .groupBy("cid")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` per row, with the row keys."""
     rows = cut(
@@ -311,12 +345,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = PERCENT) -
     )
     spread = classes.select("cid", "data").mapInArrow(_spread_keys, "key long, cid long")
     shared = cut(
-        spread.groupBy("key")
+        spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    )
+    met = cut(spread.join(shared, "key"))
+    # Partners share a key, so all that can be shared is in the classes that do.
+    sets = _full_sets(docs, classes.join(met.select("cid").distinct(), "cid", "left_semi"), shingle)
+    facts = cut(
+        classes.select("cid", "size", "data")
+        .join(_alone(sets), "cid", "left")
+        .withColumn("alone", F.coalesce("alone", F.lit(0)))
+        .filter(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size"))
+    )
+    met = cut(met.join(facts.select("cid"), "cid"))
+    shared = cut(
+        met.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("leader"))
         .filter("n > 1")
     )
-    members = cut(spread.join(shared, "key"))
-    linker = _Linker(docs, classes, shingle, percent)
+    members = cut(met.join(shared, "key"))
+    linker = _Linker(facts, sets, percent)
     linker.test(
         members.filter("cid <> leader")
         .select(F.col("leader").alias("a"), F.col("cid").alias("b"))
@@ -363,16 +410,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = PERCENT) -
     )
     parts = cut(
         linker.component(divided.select("cid").distinct(), "cid", "part").join(
-            classes.select("cid", "size"), "cid"
+            facts.select("cid", "size", "alone"), "cid"
         )
     )
     placed = cut(divided.join(parts, "cid"))
-    x = placed.select("key", "sub", F.col("cid").alias("a"), F.col("part").alias("pa"), F.col("size").alias("sa"))
-    y = placed.select("key", "sub", F.col("cid").alias("b"), F.col("part").alias("pb"), F.col("size").alias("sb"))
-    fits = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
+
+    def side(end: str) -> DataFrame:
+        names = {"cid": end, "part": f"part_{end}", "size": f"size_{end}", "alone": f"alone_{end}"}
+        return placed.select("key", "sub", *[F.col(c).alias(n) for c, n in names.items()])
+
     linker.test(
-        x.join(y, ["key", "sub"])
-        .filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits)
+        side("a")
+        .join(side("b"), ["key", "sub"])
+        .filter((F.col("a") < F.col("b")) & F.expr("part_a <> part_b") & _may_link(percent))
         .select("a", "b")
         .distinct()
     )
