@@ -13,7 +13,7 @@ symbols are split into ``CHUNKS`` chunks.  If two signatures differ in at most
 
 chunks differ in at most one symbol.  A chunk with one symbol left out is a key;
 two chunks differ in at most one symbol exactly if they share such a key.  So
-all pairs within the distance share a key, in three different chunks.
+all pairs within the distance share keys, of three different chunks at least.
 
 Equal sets are one class from the start.  A class that shares no more than it
 would need goes at once: shingles that none of the classes it shares a key with
@@ -26,8 +26,8 @@ all others of their group.  Then, class by class:
    pairs are compared: linear in the members, however many share the key.  A
    second round takes other leaders, for members not yet joined to theirs.
 2. What is left are pairs in one key but in different components.  They are
-   joined exactly; keys of more than ``CROWD`` members are first divided by the
-   keys of a second chunk, which the bound above allows.
+   compared exactly, in blocks of ``BLOCK`` members, so that no key has to fit
+   one task; only pairs within the distance leave a task, each from one key.
 3. Pairs within the distance are confirmed on the full sets, and components of
    the confirmed links are formed in rounds.
 
@@ -60,7 +60,7 @@ BITS = 16
 CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
 DISTANCE = 27
-CROWD = 256
+BLOCK = 1000
 PERCENT = 80
 # Words whose hash a worker remembers.
 REMEMBER = 500_000
@@ -168,33 +168,66 @@ def _spread_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of crowded keys, once for every key of another chunk."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        all_keys = chunk_keys(_symbols(batch.column("data")))
-        per = CHUNK
-        first = batch.column("key").to_numpy().view(np.uint64)
-        cids, ns = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
-        keys, subs, ids = [], [], []
-        for row in range(len(first)):
-            if ns[row] <= CROWD:
-                sub = np.zeros(1, np.uint64)
-            else:
-                own = int(np.flatnonzero(all_keys[row] == first[row])[0]) // per
-                sub = np.delete(all_keys[row], slice(own * per, own * per + per))
-            subs.append(sub)
-            keys.append(np.repeat(first[row], len(sub)))
-            ids.append(np.repeat(cids[row], len(sub)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(keys).view(np.int64)),
-                pa.array(np.concatenate(subs).view(np.int64)),
-                pa.array(np.concatenate(ids)),
-            ],
-            ["key", "sub", "cid"],
-        )
+def _meet(a: dict, b: dict, same: bool, key: np.uint64, percent: int) -> Iterator[tuple]:
+    """Near pairs between two blocks of one key, each at the least key that it shares."""
+    for k in range(0, len(a["cid"]), 256):
+        x = {c: v[k : k + 256] for c, v in a.items()}
+        shared = np.minimum((x["size"] - x["alone"])[:, None], (b["size"] - b["alone"])[None])
+        union = np.maximum(x["size"][:, None] + b["alone"][None], b["size"][None] + x["alone"][:, None])
+        may = (x["part"][:, None] != b["part"][None]) & (100 * shared >= percent * union)
+        if same:  # each pair once
+            may &= x["cid"][:, None] < b["cid"][None]
+        left, right = np.nonzero(may)
+        for m in range(0, len(left), 50_000):
+            i, j = left[m : m + 50_000], right[m : m + 50_000]
+            near = (x["data"][i] != b["data"][j]).sum(axis=1) <= DISTANCE
+            i, j = i[near], j[near]
+            if len(i):
+                mine, theirs = chunk_keys(x["data"][i]), chunk_keys(b["data"][j])
+                first = np.where(mine == theirs, mine, ~np.uint64(0)).min(axis=1) == key
+                yield x["cid"][i][first], b["cid"][j][first]
+
+
+def _compare(percent: int):
+    """Near pairs of members of one key in different components.
+
+    Rows come sorted by key and pair of blocks (``one``, ``two``), of at most
+    some ``BLOCK`` members each; only one such group is held at a time.
+    """
+
+    def pairs(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(group)
+        cols = {c: rows[c].to_numpy() for c in ("cid", "part", "size", "alone")}
+        cols["data"] = _symbols(rows["data"])
+        own, one, two = (rows[c].to_numpy() for c in ("own", "one", "two"))
+        first, second = own == one[0], own == two[0]
+        a, b = ({c: v[m] for c, v in cols.items()} for m in (first, second))
+        key = rows["key"].to_numpy()[:1].view(np.uint64)[0]
+        for x, y in _meet(a, b, one[0] == two[0], key, percent):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy() for c in ("key", "one", "two")], axis=1)
+            edges = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            starts = [0, *edges.tolist()]
+            for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+                here = tuple(place[at])
+                if held and here != last:
+                    yield from pairs(held)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = here
+        if held:
+            yield from pairs(held)
+
+    return run
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +297,10 @@ class _Linker:
             .filter(_may_link(self.percent))
             .select("a", "b", "data_a", "data_b")
         )
-        near = cut(sized.mapInArrow(_near, "a long, b long"))
+        self.confirm(cut(sized.mapInArrow(_near, "a long, b long")))
+
+    def confirm(self, near: DataFrame) -> None:
+        """Add the links among pairs within the distance."""
         if near.isEmpty():
             return
         links = cut(
@@ -403,29 +439,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = PERCENT) -
             .select("key")
         )
         left = cut(left.join(cut(apart), "key"))
-    divided = cut(
-        left.select("key", "cid", "n")
-        .join(classes.select("cid", "data"), "cid")
-        .mapInArrow(_second_keys, "key long, sub long, cid long")
-    )
-    parts = cut(
-        linker.component(divided.select("cid").distinct(), "cid", "part").join(
-            facts.select("cid", "size", "alone"), "cid"
-        )
-    )
-    placed = cut(divided.join(parts, "cid"))
-
-    def side(end: str) -> DataFrame:
-        names = {"cid": end, "part": f"part_{end}", "size": f"size_{end}", "alone": f"alone_{end}"}
-        return placed.select("key", "sub", *[F.col(c).alias(n) for c, n in names.items()])
-
-    linker.test(
-        side("a")
-        .join(side("b"), ["key", "sub"])
-        .filter((F.col("a") < F.col("b")) & F.expr("part_a <> part_b") & _may_link(percent))
-        .select("a", "b")
-        .distinct()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    grouped = (
+        left.select("key", "cid", "part", blocks.alias("blocks"))
+        .join(facts, "cid")
+        .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        .withColumn("other", other)
+        .withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+        .select("key", "one", "two", "own", "cid", "part", "size", "alone", "data")
+        .repartition("key", "one", "two")
+        .sortWithinPartitions("key", "one", "two")
     )
+    linker.confirm(cut(grouped.mapInArrow(_compare(percent), "a long, b long")))
     whole = cut(linker.component(classes.select("digest", "cid", "least_id"), "cid", "part"))
     reach = cut(whole.groupBy("part").agg(F.min("least_id").alias("component_id")))
     by_digest = cut(whole.join(reach, "part").select("digest", "component_id"))

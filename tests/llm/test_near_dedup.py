@@ -61,9 +61,9 @@ def test_links_equal_brute_force(make):
         assert order(got) == order(brute(rows, n, 80))
 
 
-def test_crowded_keys_are_divided_without_loss(make, monkeypatch):
+def test_crowded_keys_are_compared_in_blocks_without_loss(make, monkeypatch):
     rows = copies(2, 3, 40)
-    monkeypatch.setattr(nd, "CROWD", 3)
+    monkeypatch.setattr(nd, "BLOCK", 3)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(make(rows)).collect()]
     assert order(got) == order(brute(rows, 4, 80))
 
