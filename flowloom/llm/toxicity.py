@@ -142,7 +142,8 @@ def learn_lexicon(texts: list[str], toxic: list[int], weights: list[float]) -> d
     stems = [Counter(), Counter()]
     endings: dict[str, set] = defaultdict(set)
     totals = [0.0, 0.0]
-    seen: Counter = Counter()
+    # Toxic texts with a word or stem, and (text, word) pairs with a stem.
+    seen, stemmed, forms = Counter(), Counter(), Counter()
     for text, label, weight in zip(texts, toxic, weights):
         totals[label] += weight
         own = set(_WORD.findall(text.lower()))
@@ -153,29 +154,32 @@ def learn_lexicon(texts: list[str], toxic: list[int], weights: list[float]) -> d
             stems[label][stem] += weight
         if label:
             seen.update(own)
-            seen.update(f"{s}*" for s in begin)
+            stemmed.update(begin)
             for w in own:
                 for n in STEMS:
                     if len(w) > n:
                         endings[w[:n]].add(w[n:])
-    least = max(5, 0.004 * sum(toxic))
+                        forms[w[:n]] += 1
+    least = max(4, 0.004 * sum(toxic))
 
     def odds(term: str, counts: list[Counter]) -> float:
         a = (counts[1][term] + 0.5) / (totals[1] + 1)
         b = (counts[0][term] + 0.5) / (totals[0] + 1)
         return math.log(a / b)
 
-    def marks(term: str, counts: list[Counter], n: int) -> bool:
-        return n >= least and counts[1][term] >= 0.9 * (counts[0][term] + counts[1][term])
+    def marks(term: str, counts: list[Counter]) -> bool:
+        return counts[1][term] >= 0.9 * (counts[0][term] + counts[1][term])
 
     terms: dict[str, tuple[bool, float]] = {}
     for stem in sorted(stems[1], key=lambda s: (len(s), s)):
         if any(stem[:n] in terms for n in STEMS if n < len(stem)):
             continue
-        if len(endings[stem]) >= 4 and marks(stem, stems, seen[f"{stem}*"]):
+        # A stem of many forms in few texts is as sure a sign as a word in many.
+        many = stemmed[stem] >= max(2, least / 2) and forms[stem] >= least + 2
+        if many and len(endings[stem]) >= 4 and marks(stem, stems):
             terms[stem] = (True, odds(stem, stems))
     for word in words[1]:
-        if len(word) >= SHORTEST and marks(word, words, seen[word]):
+        if len(word) >= SHORTEST and seen[word] >= least and marks(word, words):
             if not any(word[:n] in terms and terms[word[:n]][0] for n in STEMS):
                 terms[word] = (False, odds(word, words))
     return terms
@@ -226,11 +230,14 @@ class Model:
                 continue
             edits, term = hit
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-            counts["fuzzy" if edits else "exact", _quoted(text, *spans[i].span())] += 1
+            quoted = _quoted(text, *spans[i].span())
+            counts["fuzzy" if edits else "exact", quoted] += 1
             counts["reported"] += not REPORTING.isdisjoint(near)
             counts["aimed"] += not ADDRESSING.isdisjoint(near)
-            heaviest = max(heaviest, self.lexicon.weights[term] * (0.5 if edits else 1.0))
-        n = sum(counts[k, q] for k in ("exact", "fuzzy") for q in (False, True))
+            if not quoted:
+                heaviest = max(heaviest, self.lexicon.weights[term] * (0.5 if edits else 1.0))
+        open_ = counts["exact", False] + counts["fuzzy", False]
+        n = open_ + counts["exact", True] + counts["fuzzy", True]
         return [
             math.log1p(counts["exact", False]),
             math.log1p(counts["exact", True]),
@@ -240,7 +247,7 @@ class Model:
             counts["reported"] / n,
             counts["aimed"] / n,
             heaviest / 5,
-            min(5.0, 100 * n / len(words)),
+            min(5.0, 100 * open_ / len(words)),
         ]
 
     def score(self, text: str | None) -> float:
