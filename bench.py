@@ -40,6 +40,15 @@ HEADLINES = [
     "clustering",
     "connected_components",
     "pagerank_trade",
+    "hits",
+    "label_propagation",
+    "k_core",
+    "bfs_levels",
+    "sender_distribution",
+    "rank_largest_quantities",
+    "share_of_source",
+    "strong_edges",
+    "sankey_links",
 ]
 
 
