@@ -1,27 +1,33 @@
-"""Repeated passages across and within documents, by winnowing over lines.
-
-Lines that hold a word are hashed, without the white space around them.  A
-*window* is the shortest run of lines from some line on that reaches ``RUN``
-words; a *gram* is the shortest that reaches ``GRAM`` words.  Of the grams
-inside a window the one with the least hash is its fingerprint, so a passage of
-``RUN`` words or more leaves the same fingerprints wherever it occurs.
-
-1. Fingerprints are counted; only those that occur twice go on.
-2. Windows with such a fingerprint are joined to the first place where the same
-   window, all its lines, occurs: by document order, then position.  Joining to
-   the first place instead of to each other keeps this linear in the number of
-   occurrences, and loses nothing, as equal windows are equal everywhere.
-3. Each match is extended line by line, both ways, while the lines agree.
-4. The later run goes.  The first occurrence of a line is never removed, so no
-   line disappears from the corpus.
+"""Repeated passages across and within documents, by winnowing over words.
+
+A text is its words, whatever white space and line ends stand between them.  A
+*window* is ``RUN`` words in a row, a *gram* ``GRAM`` words.  Of the grams
+inside a window the one with the least hash is its fingerprint, so equal windows
+have equal fingerprints, wherever in a line they start or end.
+
+1. Fingerprints are counted, once for each place in a document; only those that
+   occur twice go on.
+2. Windows with such a fingerprint, one for every word they can start at, are
+   held against the first place where the same window occurs: by document order,
+   then position.  Comparing with the first place instead of with each other
+   keeps this linear in the number of occurrences, and loses nothing, as equal
+   windows are equal everywhere.
+3. The words of every later window go; a passage of ``RUN`` words or more is the
+   union of its windows, so it goes as a whole and nothing else does.  Within a
+   document a window that overlaps its first place stays.
+
+A line that loses all its words goes; one that loses some keeps the others.  The
+first occurrence of a window is not removed for its sake, so every word removed
+has an equal one earlier, in a passage of ``RUN`` equal words.
 
 Documents are ordered by ``doc_id`` (NULL last), then by a hash of the text.
-Rows equal in both count as one document and lose the same lines.  NULL and
+Rows equal in both count as one document and lose the same words.  NULL and
 empty texts stay as they are.  Columns of the same names are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,166 +41,302 @@ from flowloom.operators.lineage import cut
 
 RUN = 50
 GRAM = 20
+# Documents with one fingerprint that a task compares at once.
+GROUP = 1000
 
+# Word hashes kept per task, and the odd multiplier of the rolling hashes with its inverse.
+MEMO = 200_000
+_BASE = 0x9E3779B97F4A7C13
+_BACK = pow(_BASE, -1, 1 << 64)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+class _Powers:
+    """Powers of the multiplier and of its inverse, as many as the longest text so far needs."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 4096)
+            steps = [np.full(size, base, np.uint64) for base in (_BASE, _BACK)]
+            for x in steps:
+                x[0] = 1
+            self.up, self.down = (np.multiply.accumulate(x) for x in steps)
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = x + np.uint64(salt)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _signed(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
-
-
-def _ends(sums: np.ndarray, least: int) -> np.ndarray:
-    """For each first line the last line of the shortest run of ``least`` words; may be past the end."""
-    return np.searchsorted(sums[1:], sums[:-1] + least, side="left")
-
-
-def fingerprint(text: bytes, run: int, gram: int) -> tuple:
-    """Line hashes with their line numbers, and windows as (fingerprint, window, first, last)."""
-    hashes, counts, at = [], [], []
-    for k, line in enumerate(text.split(b"\n")):
-        n = len(line.split())
-        if n:
-            hashes.append(_signed(line.strip()))
-            counts.append(n)
-            at.append(k)
-    windows: list[tuple[int, int, int, int]] = []
-    sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    if sums[-1] >= run:
-        raw = np.array(hashes, np.int64)
-        n_lines = len(hashes)
-        gram_end, run_end = _ends(sums, gram), _ends(sums, run)
-        grams = [
-            _signed(raw[i : e + 1].tobytes()) if e < n_lines else None
-            for i, e in enumerate(gram_end.tolist())
-        ]
-        ends = gram_end.tolist()
-        for i, j in enumerate(run_end.tolist()):
-            if j >= n_lines:
-                break
-            least = min(grams[k] for k in range(i, j + 1) if ends[k] <= j)
-            windows.append((least, _signed(raw[i : j + 1].tobytes() + b"w"), i, j))
-    return hashes, at, windows
 
+def _rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all runs of ``size`` words."""
+    n = len(words)
+    up, down = _POWERS.upto(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * up, out=sums[1:])
+    return _mixed((sums[size:] - sums[: n + 1 - size]) * down[: n + 1 - size], size)
 
-def _lists(values: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, pa.list_(kind))
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row, from running minima of blocks both ways."""
+    n = len(values)
+    blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    blocks[:n] = values
+    blocks = blocks.reshape(-1, width)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[: n - width + 1], left[width - 1 : n])
+
+
+def fingerprint(text: bytes, run: int, gram: int, seen: dict) -> tuple | None:
+    """Hashes of words and grams, and the fingerprint of each window; None below ``run`` words."""
+    words = text.split()  # bytes are split at ASCII white space
+    if len(words) < run:
+        return None
+    hashes = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    grams = _rolled(hashes, gram)
+    return hashes, grams, _least(grams, run - gram + 1)
+
+
+def _long(values: np.ndarray) -> np.ndarray:
+    return values.view(np.int64)
+
+
+def _lists(parts: list[np.ndarray], sizes: list[np.ndarray], kind: type) -> pa.Array:
+    """One list for each of the sizes, from the values of all in a row."""
+    ends = np.cumsum(np.concatenate([[0], *sizes]))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, kind), *parts])))
+
+
+def _prints(run: int, gram: int):
+    """Fingerprints of documents, twice where a document has the gram in several places."""
 
-def _scan(run: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Hashes()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            out, sizes = [], []
             for value in batch.column("text"):
-                hashes, at, windows = fingerprint(value.as_py() or b"", run, gram)
-                parts = list(zip(*windows)) or [(), (), (), ()]
-                for col, x in zip(cols, [hashes, at, *parts]):
-                    col.append(list(x))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                found = fingerprint(value.as_py() or b"", run, gram, seen)
+                if found is None:
+                    sizes.append([0])
+                    continue
+                _, grams, prints = found
+                prints = np.unique(prints)
+                at = np.searchsorted(prints, grams).clip(max=len(prints) - 1)
+                places = np.bincount(at[prints[at] == grams], minlength=len(prints))
+                out += [_long(prints), _long(prints[places > 1])]
+                sizes.append([len(prints) + len(out[-1])])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in KEYS], _lists(out, sizes, np.int64)], [*KEYS, "prints"]
+            )
+
+    return scan
+
+
+def _windows(run: int, gram: int):
+    """A row for each repeated fingerprint of a document, with its windows and the words they start at."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Hashes()
+        for batch in batches:
+            windows, first, sizes, names, wide, rows = [], [], [], [], [], []
+            for k, value in enumerate(batch.column("text")):
+                hashes, _, prints = fingerprint(value.as_py(), run, gram, seen)
+                prints = _long(prints)
+                again, many = (
+                    batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("again", "many")
+                )
+                at = np.flatnonzero(np.isin(prints, again))
+                at = at[np.argsort(prints[at], kind="stable")]
+                name, n = np.unique(prints[at], return_counts=True)
+                windows.append(_long(_rolled(hashes, run))[at])
+                first.append(at.astype(np.int32))
+                sizes.append(n)
+                names.append(name)
+                wide.append(np.isin(name, many))
+                rows.append(np.full(len(name), k))
+            take = pa.array(np.concatenate([np.empty(0, np.int64), *rows]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c) for c in (*KEYS, "doc_id")],
-                    *[_lists(c, k) for c, k in zip(cols, kinds)],
+                    *[batch.column(c).take(take) for c in (*KEYS, "none")],
+                    pa.array(np.concatenate([np.empty(0, np.int64), *names])),
+                    pa.array(np.concatenate([np.empty(0, bool), *wide])),
+                    _lists(windows, sizes, np.int64),
+                    _lists(first, sizes, np.int32),
                 ],
-                [*KEYS, "doc_id", "hashes", "at", "prints", "windows", "first", "last"],
+                [*KEYS, "none", "print", "wide", "windows", "first"],
             )
 
     return scan
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line numbers to remove, from matched windows and the lines of both documents."""
-    for batch in batches:
-        gone = []
-        for r in batch.select(["mine", "theirs", "at", "hits"]).to_pylist():
-            mine, theirs, lost = r["mine"], r["theirs"], set()
-            for hit in r["hits"]:
-                i, j, other = hit["first"], hit["last"], hit["other"]
-                shift = other - i
-                while i > 0 and i + shift > 0 and mine[i - 1] == theirs[i - 1 + shift]:
-                    i -= 1
-                while (
-                    j + 1 < len(mine)
-                    and j + 1 + shift < len(theirs)
-                    and mine[j + 1] == theirs[j + 1 + shift]
-                ):
-                    j += 1
-                lost.update(range(i, j + 1))
-            gone.append([r["at"][k] for k in sorted(lost)])
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in KEYS], _lists(gone, pa.int32())], [*KEYS, "gone"]
-        )
+def _later(run: int):
+    """Where windows start that have an earlier equal one; rows come by fingerprint and document order."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, homes = None, {}
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("print", "none", *KEYS, "windows", "first")]
+            gone = []
+            for name, none, k1, k2, windows, first in zip(*cols):
+                if name != now:
+                    now, homes = name, {}
+                own, lost = (none, k1, k2), []
+                for window, i in zip(windows, first):
+                    home = homes.setdefault(window, (own, i))
+                    if home[0] != own or i >= home[1] + run:
+                        lost.append(i)
+                gone.append(lost)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in KEYS], pa.array(gone, pa.list_(pa.int32()))], [*KEYS, "gone"]
+            )
 
-def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """``__k1``, ``__k2`` and ``gone``, the line numbers (from 0) to remove; only documents that lose some."""
-    lines = cut(
-        keyed(docs)
-        .select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(
-            _scan(run, gram),
-            "__k1 long, __k2 long, doc_id long, hashes array<long>, at array<int>,"
-            " prints array<long>, windows array<long>, first array<int>, last array<int>",
-        )
+    return scan
+
+
+def without(text: str, starts: list[int], run: int) -> tuple[str, int]:
+    """``text`` without the ``run`` words from each of ``starts`` on, and how many lines lost words."""
+    starts, at = sorted(starts), 0
+    end = word = lost = 0
+    left = []
+    for line in text.split("\n"):
+        keep, hurt, any_word = [], False, False
+        # Where the part of the line begins that is kept, or None inside removed words.
+        begin, last = 0, 0
+        for m in _WORD.finditer(line):
+            any_word = True
+            while at < len(starts) and starts[at] <= word:
+                end = starts[at] + run
+                at += 1
+            if word < end:
+                if begin is not None:
+                    # White space before a removed passage stays, that behind it goes.
+                    keep.append(line[begin : m.start()])
+                    begin = None
+                hurt = True
+            else:
+                if begin is None:
+                    begin = m.start()
+                last = m.end()
+            word += 1
+        if not hurt:
+            left.append(line)
+            continue
+        lost += 1
+        if last:
+            keep.append(line[begin:] if begin is not None else "")
+            left.append("".join(keep) if begin is not None else "".join(keep).rstrip(" \t\x0b\x0c\r"))
+    return "\n".join(left), lost
+
+
+def repeated_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """``__k1``, ``__k2`` and ``gone``, the words (from 0) at which repeated windows start; only documents with some."""
+    texts = keyed(docs).select(
+        *KEYS, F.col("doc_id").isNull().alias("none"), F.col("text").cast("binary").alias("text")
     )
-    # A fingerprint that several windows of a document share counts once per place.
-    again = cut(
-        lines.select(F.explode("prints").alias("print"))
-        .groupBy("print")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("print")
+    prints = cut(
+        texts.select(*KEYS, "text")
+        .mapInArrow(_prints(run, gram), "__k1 long, __k2 long, prints array<long>")
+        .filter("size(prints) > 0")
+    ).select(*KEYS, F.explode("prints").alias("print"))
+    again = cut(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # All of these lists grow with the documents, so they are shuffled at every size.
+    hit = cut(
+        prints.join(again.hint("merge"), "print")
+        .groupBy(*KEYS)
+        .agg(
+            F.collect_set("print").alias("again"),
+            F.collect_set(F.when(F.col("n") > GROUP, F.col("print"))).alias("many"),
+        )
     )
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *KEYS, "first")
     places = cut(
-        lines.filter("size(prints) > 0")
-        .select(*KEYS, "doc_id", F.explode(F.arrays_zip("prints", "windows", "first", "last")).alias("x"))
-        .select(
-            *KEYS, "doc_id", F.col("x.prints").alias("print"), F.col("x.windows").alias("window"),
-            F.col("x.first").alias("first"), F.col("x.last").alias("last"),
+        texts.join(hit.hint("merge"), KEYS)
+        .select(*KEYS, "none", "text", "again", "many")
+        .mapInArrow(
+            _windows(run, gram),
+            "__k1 long, __k2 long, none boolean, print long, wide boolean, windows array<long>, first array<int>",
         )
-        .join(again, "print")
-        .drop("print")
     )
+    # Up to GROUP documents with a fingerprint are held against each other in one task.
+    few = (
+        places.filter("NOT wide")
+        .drop("wide")
+        .repartition("print")
+        .sortWithinPartitions("print", "none", *KEYS)
+        .mapInArrow(_later(run), "__k1 long, __k2 long, gone array<int>")
+        .filter("size(gone) > 0")
+    )
+    # Windows of more go by themselves: their first places are combined before the shuffle.
+    each = (
+        places.filter("wide")
+        .select(*KEYS, "none", F.explode(F.arrays_zip("windows", "first")).alias("x"))
+        .select(*KEYS, "none", F.col("x.windows").alias("window"), F.col("x.first").alias("first"))
+    )
+    order = F.struct("none", *KEYS, "first")
     firsts = cut(
-        places.groupBy("window")
+        each.groupBy("window")
         .agg(F.min(order).alias("home"), F.max(order).alias("end"))
         .filter("home < end")
         .select("window", "home")
     )
-    hits = (
-        places.join(firsts, "window")
-        .filter(order > F.col("home"))
-        .groupBy(*KEYS, F.col("home.__k1").alias("h1"), F.col("home.__k2").alias("h2"))
-        .agg(F.collect_set(F.struct("first", "last", F.col("home.first").alias("other"))).alias("hits"))
+    own = F.struct("none", *KEYS) == F.struct("home.none", *[f"home.{k}" for k in KEYS])
+    many = (
+        each.join(firsts.hint("merge"), "window")
+        .filter((order > F.col("home")) & (~own | (F.col("first") >= F.col("home.first") + run)))
+        .select(*KEYS, F.array("first").alias("gone"))
     )
-    # Rows of the same document hold the same lines; one of them is enough.
-    own = lines.select(*KEYS, F.col("hashes").alias("mine"), "at").dropDuplicates(KEYS)
-    home = lines.select(
-        F.col("__k1").alias("h1"), F.col("__k2").alias("h2"), F.col("hashes").alias("theirs")
-    ).dropDuplicates(["h1", "h2"])
     return (
-        cut(hits)
-        .join(home, ["h1", "h2"])
-        .join(own, KEYS)
-        .select(*KEYS, "mine", "theirs", "at", "hits")
-        .mapInArrow(_extend, "__k1 long, __k2 long, gone array<int>")
+        few.unionByName(many)
         .groupBy(*KEYS)
         .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     )
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """``docs`` without later repeated runs in ``text``, with ``n_lines`` before and ``n_removed``."""
-    gone = cut(repeated_lines(docs, run, gram)).withColumnRenamed("gone", "__gone")
+    """``docs`` without later repeated passages in ``text``, with ``n_lines`` before and ``n_removed``,
+    the number of lines that lost all or some of their words."""
+
+    @F.arrow_udf("struct<text: string, lost: int>")
+    def rest(text: pa.Array, gone: pa.Array) -> pa.Array:
+        done = [
+            None if t is None else without(t, g, run) for t, g in zip(text.to_pylist(), gone.to_pylist())
+        ]
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([d and d[0] for d in done], pa.string()),
+                pa.array([d and d[1] for d in done], pa.int32()),
+            ],
+            ["text", "lost"],
+        )
+
+    gone = cut(repeated_windows(docs, run, gram)).withColumnRenamed("gone", "__gone")
     # The list grows with the documents, so it is shuffled at every size.
     rows = keyed(docs).join(gone.hint("merge"), KEYS, "left")
-    left = F.array_join(
-        F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n"
-    )
+    hit = F.col("__gone").isNotNull()
+    rows = rows.withColumn("__rest", rest(F.when(hit, F.col("text")), F.col("__gone")))
     body = F.coalesce(F.col("text"), F.lit(""))
     return rows.select(
         *[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")],
         (F.regexp_count(body, F.lit("\n")) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.coalesce(F.col("__rest.lost"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(hit, F.col("__rest.text")).otherwise(F.col("text")).alias("text"),
     )
 
 

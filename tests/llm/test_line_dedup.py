@@ -87,3 +87,69 @@ def test_edges(edge, empty):
     assert (6, "one more line at the end") in texts and (None, "") in texts
     assert sorted(set(edge.columns) | {"n_lines", "n_removed"}) == sorted(ld.dedup_lines(edge).columns)
     assert ld.dedup_lines(empty).collect() == []
+
+
+def by_words(rows, run=50):
+    """Word positions removed per document: those of windows with an earlier equal one that they do not overlap."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    first, gone = {}, [set() for _ in rows]
+    for d in order:
+        words = (rows[d][1] or "").split()
+        for i in range(len(words) - run + 1):
+            e, other = first.setdefault(tuple(words[i : i + run]), (d, i))
+            if e != d or i >= other + run:
+                gone[d].update(range(i, i + run))
+    return gone
+
+
+def test_passages_inside_lines_go(make):
+    rng = random.Random(6)
+    passages = [line(rng, n).split() for n in (49, 50, 51, 52, 60, 90, 140)]
+    rows = []
+    for i in range(50):
+        words = line(rng, rng.randrange(30)).split()
+        for p in rng.sample(passages, 3):
+            words += p + line(rng, rng.randrange(1, 30)).split()
+        rows.append((i, "".join(w + ("\n" if rng.random() < 0.02 else " ") for w in words)))
+    gone = by_words(rows)
+    assert sum(map(len, gone)) > 3000
+    got = removed(make(rows))
+    for (i, text), lost in zip(rows, gone):
+        assert got[i][0].split() == [w for k, w in enumerate(text.split()) if k not in lost]
+        assert (got[i][1] > 0) == bool(lost)
+
+
+def test_a_passage_in_a_long_line_leaves_the_rest_of_it(make):
+    rng = random.Random(7)
+    p, a, b, c, d = (line(rng, n) for n in (51, 30, 31, 32, 33))
+    got = removed(make([(1, f"{a} {p} {b}"), (2, f"x\n{c}  {p} {d}\ny"), (3, f"{p} {c}\n{d} {p}")]))
+    assert got[1] == (f"{a} {p} {b}", 0)
+    assert got[2] == (f"x\n{c}  {d}\ny", 1)
+    assert got[3] == (f"{c}\n{d}", 2)
+
+
+def test_a_loop_keeps_its_first_window(make):
+    loop = " ".join(f"k{i % 3}" for i in range(200))
+    text, n = removed(make([(1, loop)]))[1]
+    assert n == 1 and 50 <= len(text.split()) < 53 and loop.startswith(text)
+
+
+def test_given_table_equals_brute_force_by_words(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    gone = by_words(rows)
+    got = {r["doc_id"]: r["text"] for r in ld.op9(spark, "/root/testdata/sf0.01").collect()}
+    for (i, text), lost in zip(rows, gone):
+        assert got[i].split() == [w for k, w in enumerate(text.split()) if k not in lost]
+
+
+def test_fingerprints_of_many_documents_give_the_same(make, monkeypatch):
+    rng = random.Random(8)
+    passages = [line(rng, n).split() for n in (50, 55, 80)]
+    rows = [
+        (i, " ".join(line(rng, 5).split() + rng.choice(passages)[rng.randrange(3) :] + rng.choice(passages)))
+        for i in range(30)
+    ]
+    monkeypatch.setattr(ld, "GROUP", 3)
+    got = removed(make(rows))
+    for (i, text), lost in zip(rows, by_words(rows)):
+        assert got[i][0].split() == [w for k, w in enumerate(text.split()) if k not in lost]
