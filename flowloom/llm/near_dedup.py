@@ -380,6 +380,11 @@ def _alone(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` per row, with the row keys."""
+    return _grouped(docs, shingle, percent).drop("part")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``part``, a number for each group, whether it has ids or not."""
     rows = cut(
         keyed(docs)
         .select(*KEYS, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -478,11 +483,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = PERCENT) -
     linker.confirm(cut(grouped.mapInArrow(_compare(percent), "a long, b long")))
     whole = cut(linker.component(classes.select("digest", "cid", "least_id"), "cid", "part"))
     reach = cut(whole.groupBy("part").agg(F.min("least_id").alias("component_id")))
-    by_digest = cut(whole.join(reach, "part").select("digest", "component_id"))
+    by_digest = cut(whole.join(reach, "part").select("digest", "part", "component_id"))
     # Documents without a set are their own component.
     linked = rows.filter("digest IS NOT NULL").join(by_digest, "digest")
-    alone = rows.filter("digest IS NULL").withColumn("component_id", F.col("doc_id"))
-    names = [*KEYS, "doc_id", F.col("size").alias("n_shingles"), "component_id"]
+    alone = rows.filter("digest IS NULL").withColumns(
+        {"component_id": F.col("doc_id"), "part": F.lit(None).cast("long")}
+    )
+    names = [*KEYS, "doc_id", F.col("size").alias("n_shingles"), "component_id", "part"]
     return (
         linked.select(*names)
         .unionByName(alone.select(*names))
@@ -491,12 +498,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = PERCENT) -
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with its own columns: the one of least ``doc_id``.
+    """One document of each group, with its own columns: the one of least ``doc_id``, NULL last.
 
+    Of different texts that share that id, or have none, the one of least key stays.
     Of rows equal in id and text one stays.  Documents without words all stay.
     """
-    found = near_duplicates(docs, shingle, percent)
-    gone = cut(found.filter("NOT kept").select(*KEYS).distinct())
+    found = _grouped(docs, shingle, percent)
+    left = cut(found.filter("NOT kept OR part IS NOT NULL").select(*KEYS, "part", "kept", "doc_id"))
+    gone = left.filter("NOT kept").select(*KEYS)
+    # Several texts of a group are left where ids are missing or shared.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEYS)
+    tied = cut(
+        left.filter("kept")
+        .groupBy("part")
+        .agg(F.min(order).alias("one"), F.max(order).alias("end"))
+        .filter("one < end")
+        .select("part", "one")
+    )
+    if not tied.isEmpty():
+        more = left.filter("kept").join(tied, "part").filter(order > F.col("one"))
+        gone = gone.unionByName(more.select(*KEYS))
+    gone = cut(gone.distinct())
     # The list grows with the documents, so it is shuffled at every size.
     stay = keyed(docs).join(gone.hint("merge"), KEYS, "left_anti")
     twice = cut(

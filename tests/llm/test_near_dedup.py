@@ -103,3 +103,12 @@ def test_keep_one(edge, empty):
 
 def test_keys_are_not_in_the_result(spark):
     assert not set(KEYS) & set(nd.op2(spark, "/root/testdata/sf0.001").columns)
+
+
+def test_one_stays_of_texts_without_ids_or_with_the_same(make):
+    text = [f"a{k}" for k in range(200)]
+    near = lambda k: " ".join(text[:k] + ["other"] + text[k + 1 :])
+    rows = [(None, near(k)) for k in (5, 90, 180)] + [(None, "quite another text"), (None, None), (None, "")]
+    left = [r["text"] for r in nd.keep_one(make(rows)).collect()]
+    assert len(left) == 4 and {"quite another text", None, ""} < set(left)
+    assert len(nd.keep_one(make([(3, near(5)), (3, near(90)), (4, near(180)), (None, near(60))])).collect()) == 1
