@@ -4,6 +4,7 @@ from flowloom.llm.common import ORACLES, QUERIES
 from flowloom.llm import (  # noqa: F401  (they register)
     chat_format,
     decontaminate,
+    fill_middle,
     language_id,
     line_dedup,
     mixing,
