@@ -10,6 +10,7 @@ from flowloom.llm import (  # noqa: F401  (they register)
     mixing,
     near_dedup,
     quality_rules,
+    sharding,
     token_counts,
     toxicity,
     warc_zip,
