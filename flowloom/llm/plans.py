@@ -11,6 +11,7 @@ from flowloom.llm import (  # noqa: F401  (they register)
     near_dedup,
     quality_rules,
     sharding,
+    spelling,
     token_counts,
     toxicity,
     warc_zip,
