@@ -1,34 +1,39 @@
-"""Repeated passages across and within documents, by winnowing over words.
+"""Repeated passages across and within documents, by winnowing over line hashes.
 
-A text is its words, whatever white space and line ends stand between them.  A
-*window* is ``RUN`` words in a row, a *gram* ``GRAM`` words.  Of the grams
-inside a window the one with the least hash is its fingerprint, so equal windows
-have equal fingerprints, wherever in a line they start or end.
+Where a line of the text ends says nothing about where a passage ends, so the lines
+that are hashed are not those of the text: a *line* here is ``LINE`` words in a row,
+beginning at any word, whatever white space stands between them.  Of the lines inside
+a *window* of ``RUN`` words the one with the least hash is its fingerprint, so equal
+windows have equal fingerprints.  Windows that follow each other and have the same
+fingerprint are a *stretch*: most texts have one for every fifteen words or so.
 
 1. Fingerprints are counted, once for each place in a document; only those that
    occur twice go on.
-2. Windows with such a fingerprint, one for every word they can start at, are
-   held against the first place where the same window occurs: by document order,
-   then position.  Comparing with the first place instead of with each other
-   keeps this linear in the number of occurrences, and loses nothing, as equal
-   windows are equal everywhere.
-3. The words of every later window go; a passage of ``RUN`` words or more is the
-   union of its windows, so it goes as a whole and nothing else does.  Within a
-   document a window that overlaps its first place stays.
-
-A line that loses all its words goes; one that loses some keeps the others.  The
-first occurrence of a window is not removed for its sake, so every word removed
-has an equal one earlier, in a passage of ``RUN`` equal words.
+2. The stretches of a repeated fingerprint are joined, in document order, then by
+   position.  Each is laid on the first one at the place of the fingerprint, and the
+   match is extended word by word both ways.  A match of ``RUN`` words or more is a
+   later repeated run and goes.
+3. Where the first place does not account for all of a stretch, its windows are held
+   against those of all earlier stretches, each window against the first place that
+   has it.  This is linear in the words, and nothing is lost: equal windows always
+   meet in their fingerprint.
+
+So a word goes exactly if it is in a window that occurs earlier; within a document
+the earlier one must not overlap.  A line of the text that loses all its words
+goes; one that loses some keeps the others.  The first occurrence of a window is not
+removed for its sake, so every run removed has an equal one earlier.
 
 Documents are ordered by ``doc_id`` (NULL last), then by a hash of the text.
 Rows equal in both count as one document and lose the same words.  NULL and
-empty texts stay as they are.  Columns of the same names are replaced.
+empty texts stay as they are.  Columns of the same names are replaced.  Words are
+told apart by 64 bits of hash in fingerprints and by 32 where matches are extended.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +45,12 @@ from flowloom.llm.common import KEYS, keyed, query, table
 from flowloom.operators.lineage import cut
 
 RUN = 50
-GRAM = 20
+LINE = 20
 # Documents with one fingerprint that a task compares at once.
 GROUP = 1000
 
+# Bytes of text that a task cuts into words at once, a longer text by itself.
+CHUNK_BYTES = 2_000_000
 # Word hashes kept per task, and the odd multiplier of the rolling hashes with its inverse.
 MEMO = 200_000
 _BASE = 0x9E3779B97F4A7C13
@@ -105,14 +112,53 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def fingerprint(text: bytes, run: int, gram: int, seen: dict) -> tuple | None:
-    """Hashes of words and grams, and the fingerprint of each window; None below ``run`` words."""
-    words = text.split()  # bytes are split at ASCII white space
-    if len(words) < run:
-        return None
-    hashes = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-    grams = _rolled(hashes, gram)
-    return hashes, grams, _least(grams, run - gram + 1)
+class Words:
+    """The word hashes of several texts in a row, and their windows by fingerprint."""
+
+    def __init__(self, texts: list[bytes], run: int, line: int, seen: dict) -> None:
+        split = [t.split() for t in texts]  # bytes are split at ASCII white space
+        kept = [len(w) >= run for w in split]
+        self.sizes = np.array([len(w) if k else 0 for w, k in zip(split, kept)], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        n = int(self.sizes.sum())
+        some = chain.from_iterable(w for w, k in zip(split, kept) if k)
+        self.hashes = np.fromiter(map(seen.__getitem__, some), np.uint64, n)
+        self._width = run - line + 1
+        if not n:
+            self.lines = self.prints = np.empty(0, np.uint64)
+            self.text = self.start = self.count = np.empty(0, np.int64)
+            return
+        self.lines = _rolled(self.hashes, line)
+        owner = np.repeat(np.arange(len(texts)), self.sizes)
+        windows = np.flatnonzero(owner[: n - run + 1] == owner[run - 1 :])
+        least, of = _least(self.lines, self._width)[windows], owner[windows]
+        new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (of[1:] != of[:-1])])
+        # A stretch: its fingerprint, its text, its first word and its number of windows.
+        self.prints, self.text = least[new], of[new]
+        self.start, self.count = windows[new], np.diff(np.r_[new, len(windows)])
+
+    def again(self) -> np.ndarray:
+        """Whether a stretch has its fingerprint in several places: no place is in more windows."""
+        return self.count > self._width
+
+    def anchors(self, which: np.ndarray) -> np.ndarray:
+        """Where in a stretch its fingerprint is found first."""
+        near = self.lines[self.start[which][:, None] + np.arange(self._width)]
+        return (near == self.prints[which][:, None]).argmax(axis=1)
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in parts of some bytes, with the number of the first."""
+    part, size, first = [], 0, 0
+    for k, value in enumerate(texts):
+        text = value.as_py() or b""
+        if part and size + len(text) > CHUNK_BYTES:
+            yield first, part
+            part, size, first = [], 0, k
+        part.append(text)
+        size += len(text)
+    if part:
+        yield first, part
 
 
 def _long(values: np.ndarray) -> np.ndarray:
@@ -125,24 +171,23 @@ def _lists(parts: list[np.ndarray], sizes: list[np.ndarray], kind: type) -> pa.A
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, kind), *parts])))
 
 
-def _prints(run: int, gram: int):
-    """Fingerprints of documents, twice where a document has the gram in several places."""
+def _prints(run: int, line: int):
+    """Fingerprints of documents, twice where a document has one in several places."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Hashes()
         for batch in batches:
             out, sizes = [], []
-            for value in batch.column("text"):
-                found = fingerprint(value.as_py() or b"", run, gram, seen)
-                if found is None:
-                    sizes.append([0])
-                    continue
-                _, grams, prints = found
-                prints = np.unique(prints)
-                at = np.searchsorted(prints, grams).clip(max=len(prints) - 1)
-                places = np.bincount(at[prints[at] == grams], minlength=len(prints))
-                out += [_long(prints), _long(prints[places > 1])]
-                sizes.append([len(prints) + len(out[-1])])
+            for _, texts in _chunks(batch.column("text")):
+                w = Words(texts, run, line, seen)
+                order = np.lexsort((w.prints, w.text))
+                text, prints, again = w.text[order], w.prints[order], w.again()[order]
+                first = np.r_[True, (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])][: len(prints)]
+                places = np.add.reduceat(1 + again.astype(np.int64), np.flatnonzero(first)) if len(prints) else first
+                text, prints = text[first], _long(prints[first])
+                twice = np.minimum(places, 2)
+                out.append(np.repeat(prints, twice))
+                sizes.append(np.bincount(text, weights=twice, minlength=len(texts)).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in KEYS], _lists(out, sizes, np.int64)], [*KEYS, "prints"]
             )
@@ -150,70 +195,133 @@ def _prints(run: int, gram: int):
     return scan
 
 
-def _windows(run: int, gram: int):
-    """A row for each repeated fingerprint of a document, with its windows and the words they start at."""
+def _stretches(run: int, line: int):
+    """A row for each stretch with a repeated fingerprint: its words, or its windows if ``wide``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Hashes()
         for batch in batches:
-            windows, first, sizes, names, wide, rows = [], [], [], [], [], []
-            for k, value in enumerate(batch.column("text")):
-                hashes, _, prints = fingerprint(value.as_py(), run, gram, seen)
-                prints = _long(prints)
-                again, many = (
-                    batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("again", "many")
-                )
-                at = np.flatnonzero(np.isin(prints, again))
-                at = at[np.argsort(prints[at], kind="stable")]
-                name, n = np.unique(prints[at], return_counts=True)
-                windows.append(_long(_rolled(hashes, run))[at])
-                first.append(at.astype(np.int32))
-                sizes.append(n)
-                names.append(name)
-                wide.append(np.isin(name, many))
-                rows.append(np.full(len(name), k))
-            take = pa.array(np.concatenate([np.empty(0, np.int64), *rows]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c).take(take) for c in (*KEYS, "none")],
-                    pa.array(np.concatenate([np.empty(0, np.int64), *names])),
-                    pa.array(np.concatenate([np.empty(0, bool), *wide])),
-                    _lists(windows, sizes, np.int64),
-                    _lists(first, sizes, np.int32),
-                ],
-                [*KEYS, "none", "print", "wide", "windows", "first"],
+            again, many = (
+                np.unique(batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                for c in ("again", "many")
             )
+            for at, texts in _chunks(batch.column("text")):
+                w = Words(texts, run, line, seen)
+                which = np.flatnonzero(np.isin(w.prints, again))
+                if not len(which):
+                    continue
+                start, count = w.start[which], w.count[which]
+                wide = np.isin(w.prints[which], many)
+                short = (w.hashes >> np.uint64(32)).astype(np.uint32)
+                whole = _long(_rolled(w.hashes, run)) if wide.any() else None
+                words, windows = [], []
+                for i, n, v in zip(start.tolist(), count.tolist(), wide.tolist()):
+                    words.append(None if v else short[i : i + n + run - 1].tobytes())
+                    windows.append(whole[i : i + n] if v else np.empty(0, np.int64))
+                take = pa.array(at + w.text[which])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c).take(take) for c in (*KEYS, "none")],
+                        pa.array(_long(w.prints[which])),
+                        pa.array(wide),
+                        pa.array((start - w.begins[w.text[which]]).astype(np.int32)),
+                        pa.array(w.anchors(which).astype(np.int32)),
+                        pa.array(words, pa.binary()),
+                        _lists(windows, [np.array([len(x) for x in windows], np.int64)], np.int64),
+                    ],
+                    [*KEYS, "none", "print", "wide", "first", "anchor", "words", "windows"],
+                )
 
     return scan
 
 
-def _later(run: int):
-    """Where windows start that have an earlier equal one; rows come by fingerprint and document order."""
+def extended(own: np.ndarray, anchor: int, home: np.ndarray, place: int) -> tuple[int, int]:
+    """From where to where ``own`` matches ``home`` when ``anchor`` lies on ``place``."""
+    left, right = min(anchor, place), min(len(own) - anchor, len(home) - place)
+    front = own[anchor - left : anchor][::-1] != home[place - left : place][::-1]
+    back = own[anchor : anchor + right] != home[place : place + right]
+    before = int(front.argmax()) if front.any() else left
+    after = int(back.argmax()) if back.any() else right
+    return anchor - before, anchor + after
+
+
+class _Group:
+    """The stretches of one fingerprint so far."""
+
+    def __init__(self, run: int, line: int) -> None:
+        self.run, self.width = run, run - line + 1
+        self.home: tuple | None = None
+        self.windows: dict | None = None
+
+    def _against_all(self, own: tuple, first: int, words: bytes) -> list[int]:
+        """First words of the windows that an earlier stretch has."""
+        lost = []
+        hashes = np.frombuffer(words, np.uint32).astype(np.uint64)
+        for i, window in enumerate(_rolled(hashes, self.run).tolist(), first):
+            doc, j = self.windows.setdefault(window, (own, i))
+            if doc != own or i >= j + self.run:
+                lost.append(i)
+        return lost
+
+    def add(self, own: tuple, first: int, anchor: int, words: bytes) -> list[tuple[int, int]]:
+        """What of the next stretch is a later run, as first word and end."""
+        size = len(words) // 4
+        loop = size - self.run + 1 > self.width
+        if self.home is None:
+            self.home = own, first, anchor, words
+            if not loop:
+                return []
+        doc, start, place, text = self.home
+        spans = []
+        if doc != own or first + anchor - start - place >= self.run:
+            if words == text and anchor == place:
+                return [(first, first + size)]
+            begin, end = extended(np.frombuffer(words, np.uint32), anchor, np.frombuffer(text, np.uint32), place)
+            if end - begin >= self.run:
+                spans.append((first + begin, first + end))
+                if end - begin == size:
+                    return spans
+        if self.windows is None:
+            self.windows = {}
+            if self.home[:2] != (own, first):
+                self._against_all(doc, start, text)
+        for i in self._against_all(own, first, words):
+            if spans and spans[-1][0] <= i <= spans[-1][1]:
+                spans[-1] = spans[-1][0], max(spans[-1][1], i + self.run)
+            else:
+                spans.append((i, i + self.run))
+        return spans
+
+
+def _later(run: int, line: int):
+    """Runs that occur earlier; rows come by fingerprint, document order and position."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, homes = None, {}
+        now, group = None, None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("print", "none", *KEYS, "windows", "first")]
-            gone = []
-            for name, none, k1, k2, windows, first in zip(*cols):
+            names = ("print", "none", *KEYS, "first", "anchor", "words")
+            rows, begins, ends = [], [], []
+            for k, (name, *own, first, anchor, words) in enumerate(
+                zip(*[batch.column(c).to_pylist() for c in names])
+            ):
                 if name != now:
-                    now, homes = name, {}
-                own, lost = (none, k1, k2), []
-                for window, i in zip(windows, first):
-                    home = homes.setdefault(window, (own, i))
-                    if home[0] != own or i >= home[1] + run:
-                        lost.append(i)
-                gone.append(lost)
+                    now, group = name, _Group(run, line)
+                for begin, end in group.add(tuple(own), first, anchor, words):
+                    rows.append(k)
+                    begins.append(begin)
+                    ends.append(end)
+            take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in KEYS], pa.array(gone, pa.list_(pa.int32()))], [*KEYS, "gone"]
+                [*[batch.column(c).take(take) for c in KEYS], pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
+                [*KEYS, "begin", "end"],
             )
 
     return scan
 
 
-def without(text: str, starts: list[int], run: int) -> tuple[str, int]:
-    """``text`` without the ``run`` words from each of ``starts`` on, and how many lines lost words."""
-    starts, at = sorted(starts), 0
+def without(text: str, begins: list[int], ends: list[int]) -> tuple[str, int]:
+    """``text`` without the words of these runs, given in order, and how many lines lost words."""
+    at = 0
     end = word = lost = 0
     left = []
     for line in text.split("\n"):
@@ -222,8 +330,8 @@ def without(text: str, starts: list[int], run: int) -> tuple[str, int]:
         begin, last = 0, 0
         for m in _WORD.finditer(line):
             any_word = True
-            while at < len(starts) and starts[at] <= word:
-                end = starts[at] + run
+            while at < len(begins) and begins[at] <= word:
+                end = max(end, ends[at])
                 at += 1
             if word < end:
                 if begin is not None:
@@ -246,14 +354,15 @@ def without(text: str, starts: list[int], run: int) -> tuple[str, int]:
     return "\n".join(left), lost
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """``__k1``, ``__k2`` and ``gone``, the words (from 0) at which repeated windows start; only documents with some."""
+def repeated_runs(docs: DataFrame, run: int = RUN, line: int = LINE) -> DataFrame:
+    """``__k1``, ``__k2`` and ``gone``, the runs of words to remove as structs of ``begin`` and
+    ``end`` (from 0, end excluded) in order; only documents with some."""
     texts = keyed(docs).select(
         *KEYS, F.col("doc_id").isNull().alias("none"), F.col("text").cast("binary").alias("text")
     )
     prints = cut(
         texts.select(*KEYS, "text")
-        .mapInArrow(_prints(run, gram), "__k1 long, __k2 long, prints array<long>")
+        .mapInArrow(_prints(run, line), "__k1 long, __k2 long, prints array<long>")
         .filter("size(prints) > 0")
     ).select(*KEYS, F.explode("prints").alias("print"))
     again = cut(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -266,28 +375,26 @@ def repeated_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataF
             F.collect_set(F.when(F.col("n") > GROUP, F.col("print"))).alias("many"),
         )
     )
-    places = cut(
+    stretches = cut(
         texts.join(hit.hint("merge"), KEYS)
         .select(*KEYS, "none", "text", "again", "many")
         .mapInArrow(
-            _windows(run, gram),
-            "__k1 long, __k2 long, none boolean, print long, wide boolean, windows array<long>, first array<int>",
+            _stretches(run, line),
+            "__k1 long, __k2 long, none boolean, print long, wide boolean, first int, anchor int,"
+            " words binary, windows array<long>",
         )
     )
     # Up to GROUP documents with a fingerprint are held against each other in one task.
     few = (
-        places.filter("NOT wide")
-        .drop("wide")
+        stretches.filter("NOT wide")
+        .select("print", "none", *KEYS, "first", "anchor", "words")
         .repartition("print")
-        .sortWithinPartitions("print", "none", *KEYS)
-        .mapInArrow(_later(run), "__k1 long, __k2 long, gone array<int>")
-        .filter("size(gone) > 0")
+        .sortWithinPartitions("print", "none", *KEYS, "first")
+        .mapInArrow(_later(run, line), "__k1 long, __k2 long, begin int, end int")
     )
     # Windows of more go by themselves: their first places are combined before the shuffle.
-    each = (
-        places.filter("wide")
-        .select(*KEYS, "none", F.explode(F.arrays_zip("windows", "first")).alias("x"))
-        .select(*KEYS, "none", F.col("x.windows").alias("window"), F.col("x.first").alias("first"))
+    each = stretches.filter("wide").select(*KEYS, "none", "first", F.posexplode("windows").alias("i", "window")).select(
+        *KEYS, "none", "window", (F.col("first") + F.col("i")).alias("first")
     )
     order = F.struct("none", *KEYS, "first")
     firsts = cut(
@@ -300,23 +407,24 @@ def repeated_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataF
     many = (
         each.join(firsts.hint("merge"), "window")
         .filter((order > F.col("home")) & (~own | (F.col("first") >= F.col("home.first") + run)))
-        .select(*KEYS, F.array("first").alias("gone"))
+        .select(*KEYS, F.col("first").alias("begin"), (F.col("first") + run).alias("end"))
     )
     return (
         few.unionByName(many)
         .groupBy(*KEYS)
-        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+        .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("gone"))
     )
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, line: int = LINE) -> DataFrame:
     """``docs`` without later repeated passages in ``text``, with ``n_lines`` before and ``n_removed``,
     the number of lines that lost all or some of their words."""
 
     @F.arrow_udf("struct<text: string, lost: int>")
-    def rest(text: pa.Array, gone: pa.Array) -> pa.Array:
+    def rest(text: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
         done = [
-            None if t is None else without(t, g, run) for t, g in zip(text.to_pylist(), gone.to_pylist())
+            None if t is None else without(t, b, e)
+            for t, b, e in zip(text.to_pylist(), begins.to_pylist(), ends.to_pylist())
         ]
         return pa.StructArray.from_arrays(
             [
@@ -326,11 +434,13 @@ def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
             ["text", "lost"],
         )
 
-    gone = cut(repeated_windows(docs, run, gram)).withColumnRenamed("gone", "__gone")
+    gone = cut(repeated_runs(docs, run, line)).withColumnRenamed("gone", "__gone")
     # The list grows with the documents, so it is shuffled at every size.
     rows = keyed(docs).join(gone.hint("merge"), KEYS, "left")
     hit = F.col("__gone").isNotNull()
-    rows = rows.withColumn("__rest", rest(F.when(hit, F.col("text")), F.col("__gone")))
+    rows = rows.withColumn(
+        "__rest", rest(F.when(hit, F.col("text")), F.col("__gone.begin"), F.col("__gone.end"))
+    )
     body = F.coalesce(F.col("text"), F.lit(""))
     return rows.select(
         *[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")],

@@ -3,37 +3,6 @@ import random
 from flowloom.llm import line_dedup as ld
 
 
-def brute(rows, run=50):
-    """Line numbers removed per document, by comparing every window with the first equal one."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
-    lines = []
-    for _, text in rows:
-        split = [(k, x.strip(), len(x.split())) for k, x in enumerate((text or "").split("\n"))]
-        lines.append([x for x in split if x[2]])
-    first, gone = {}, [set() for _ in rows]
-    for d in order:
-        own = lines[d]
-        for i in range(len(own)):
-            j, words = i, 0
-            while j < len(own) and words + own[j][2] < run:
-                words += own[j][2]
-                j += 1
-            if j == len(own):
-                break
-            window = tuple(x[1] for x in own[i : j + 1])
-            home = first.setdefault(window, (d, i))
-            if home == (d, i):
-                continue
-            e, other = home
-            a, b, shift = i, j, other - i
-            while a > 0 and a + shift > 0 and own[a - 1][1] == lines[e][a - 1 + shift][1]:
-                a -= 1
-            while b + 1 < len(own) and b + 1 + shift < len(lines[e]) and own[b + 1][1] == lines[e][b + 1 + shift][1]:
-                b += 1
-            gone[d].update(own[k][0] for k in range(a, b + 1))
-    return gone
-
-
 def removed(df, **kw):
     return {r["doc_id"]: (r["text"], r["n_removed"]) for r in ld.dedup_lines(df, **kw).collect()}
 
@@ -42,6 +11,10 @@ def line(rng, n):
     return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
 
 
+def kept_words(text, lost):
+    return [w for k, w in enumerate((text or "").split()) if k not in lost]
+
+
 def test_equals_brute_force_on_shuffled_passages(make):
     rng = random.Random(2)
     passages = [[line(rng, rng.choice([3, 13, 25, 60])) for _ in range(rng.randrange(1, 7))] for _ in range(8)]
@@ -55,11 +28,12 @@ def test_equals_brute_force_on_shuffled_passages(make):
             body += part[at : at + rng.randrange(1, 7)]
             body += rng.choice([[], [""], [common], [line(rng, 20)], ["  " + common + " "]])
         rows.append((i, "\n".join(body)))
-    gone = brute(rows)
-    assert sum(map(len, gone)) > 30
+    gone = by_words(rows)
+    assert sum(map(len, gone)) > 1000
     got = removed(make(rows))
     for (i, text), lost in zip(rows, gone):
-        assert got[i] == ("\n".join(x for k, x in enumerate(text.split("\n")) if k not in lost), len(lost))
+        assert got[i][0].split() == kept_words(text, lost)
+        assert (got[i][1] > 0) == bool(lost)
 
 
 def test_first_occurrence_stays_and_short_runs_stay(make):
@@ -70,13 +44,31 @@ def test_first_occurrence_stays_and_short_runs_stay(make):
     assert got[2] == got[4] == (short, 0)
 
 
-def test_no_line_disappears_from_the_corpus(spark):
+def earlier_runs(rows, run=50):
+    """The first place of every window of words, as document and position."""
+    first = {}
+    for d in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)):
+        words = (rows[d][1] or "").split()
+        for i in range(len(words) - run + 1):
+            first.setdefault(tuple(words[i : i + run]), (d, i))
+    return first
+
+
+def test_every_removed_run_still_stands_earlier_in_the_corpus(spark):
     sf = "/root/testdata/sf0.01"
-    before = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    after = ld.op9(spark, sf).collect()
-    lines = {x.strip() for r in before for x in r["text"].split("\n")}
-    left = {x.strip() for r in after for x in r["text"].split("\n")}
-    assert lines - {""} == left - {""} and len(after) == len(before)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    after = {r["doc_id"]: r["text"] for r in ld.op9(spark, sf).collect()}
+    first, gone = earlier_runs(rows), by_words(rows)
+    homes = {w: 0 for w, (d, i) in first.items() if not gone[d] & set(range(i, i + 50))}
+    assert len(after) == len(rows) and sum(map(len, gone)) > 1000
+    for (i, text), lost in zip(rows, gone):
+        words = (text or "").split()
+        assert after[i].split() == kept_words(text, lost)
+        for k in range(len(words) - 49):
+            if lost.issuperset(range(k, k + 50)) and tuple(words[k : k + 50]) in homes:
+                homes[tuple(words[k : k + 50])] += 1
+    # Runs were removed whose first place is untouched.
+    assert sum(n > 0 for n in homes.values()) > 100
 
 
 def test_edges(edge, empty):
@@ -153,3 +145,39 @@ def test_fingerprints_of_many_documents_give_the_same(make, monkeypatch):
     got = removed(make(rows))
     for (i, text), lost in zip(rows, by_words(rows)):
         assert got[i][0].split() == [w for k, w in enumerate(text.split()) if k not in lost]
+
+
+def test_stretches_that_meet_other_homes(make):
+    """A passage that shares a fingerprint with one document and its surroundings with another."""
+    rng = random.Random(9)
+    core = line(rng, 20).split()
+    sides = [(line(rng, 45).split(), line(rng, 45).split()) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        left, right = rng.choice(sides)[0], rng.choice(sides)[1]
+        words = line(rng, 3).split() + left[rng.randrange(40) :] + core + right[: rng.randrange(5, 45)] + line(rng, 3).split()
+        rows.append((i, " ".join(words)))
+    gone = by_words(rows)
+    assert sum(map(len, gone)) > 500
+    got = removed(make(rows))
+    for (i, text), lost in zip(rows, gone):
+        assert got[i][0].split() == kept_words(text, lost)
+
+
+def test_loops_across_documents(make):
+    loops = [" ".join(f"k{i % p}" for i in range(n)) for p, n in ((3, 300), (3, 90), (1, 400), (60, 260), (7, 52))]
+    rows = [(i, f"{a} x{i} {b}") for i, (a, b) in enumerate((a, b) for a in loops for b in loops)]
+    got = removed(make(rows))
+    for (i, text), lost in zip(rows, by_words(rows)):
+        assert got[i][0].split() == kept_words(text, lost)
+
+
+def test_matches_are_extended_both_ways():
+    import numpy as np
+
+    own, home = np.arange(100, dtype=np.uint32), np.arange(90, 200, dtype=np.uint32)
+    assert ld.extended(own, 95, home, 5) == (90, 100)
+    assert ld.extended(own, 95, own, 94) == (95, 95)
+    other = own.copy()
+    other[[10, 70]] = 1000
+    assert ld.extended(own, 40, other, 40) == (11, 70)
