@@ -33,15 +33,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import KEYS, keyed, query, table
+from flowloom.llm.wordhash import mixed, word_hashes
 from flowloom.operators.lineage import cut
 
 RUN = 50
@@ -51,21 +50,12 @@ GROUP = 1000
 
 # Bytes of text that a task cuts into words at once, a longer text by itself.
 CHUNK_BYTES = 2_000_000
-# Word hashes kept per task, and the odd multiplier of the rolling hashes with its inverse.
-MEMO = 200_000
+# The odd multiplier of the rolling hashes, with its inverse.
 _BASE = 0x9E3779B97F4A7C13
 _BACK = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 class _Powers:
     """Powers of the multiplier and of its inverse, as many as the longest text so far needs."""
 
@@ -85,20 +75,13 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = x + np.uint64(salt)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _rolled(words: np.ndarray, size: int) -> np.ndarray:
     """The hashes of all runs of ``size`` words."""
     n = len(words)
     up, down = _POWERS.upto(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * up, out=sums[1:])
-    return _mixed((sums[size:] - sums[: n + 1 - size]) * down[: n + 1 - size], size)
+    return mixed((sums[size:] - sums[: n + 1 - size]) * down[: n + 1 - size], size)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -115,14 +98,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 class Words:
     """The word hashes of several texts in a row, and their windows by fingerprint."""
 
-    def __init__(self, texts: list[bytes], run: int, line: int, seen: dict) -> None:
-        split = [t.split() for t in texts]  # bytes are split at ASCII white space
-        kept = [len(w) >= run for w in split]
-        self.sizes = np.array([len(w) if k else 0 for w, k in zip(split, kept)], np.int64)
+    def __init__(self, texts: list[bytes], run: int, line: int) -> None:
+        hashes, sizes = word_hashes(texts)
+        long = sizes >= run
+        self.hashes = hashes if long.all() else hashes[np.repeat(long, sizes)]
+        self.sizes = np.where(long, sizes, 0)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        n = int(self.sizes.sum())
-        some = chain.from_iterable(w for w, k in zip(split, kept) if k)
-        self.hashes = np.fromiter(map(seen.__getitem__, some), np.uint64, n)
+        n = len(self.hashes)
         self._width = run - line + 1
         if not n:
             self.lines = self.prints = np.empty(0, np.uint64)
@@ -175,11 +157,10 @@ def _prints(run: int, line: int):
     """Fingerprints of documents, twice where a document has one in several places."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Hashes()
         for batch in batches:
             out, sizes = [], []
             for _, texts in _chunks(batch.column("text")):
-                w = Words(texts, run, line, seen)
+                w = Words(texts, run, line)
                 order = np.lexsort((w.prints, w.text))
                 text, prints, again = w.text[order], w.prints[order], w.again()[order]
                 first = np.r_[True, (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])][: len(prints)]
@@ -199,14 +180,13 @@ def _stretches(run: int, line: int):
     """A row for each stretch with a repeated fingerprint: its words, or its windows if ``wide``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Hashes()
         for batch in batches:
             again, many = (
                 np.unique(batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
                 for c in ("again", "many")
             )
             for at, texts in _chunks(batch.column("text")):
-                w = Words(texts, run, line, seen)
+                w = Words(texts, run, line)
                 which = np.flatnonzero(np.isin(w.prints, again))
                 if not len(which):
                     continue
