@@ -13,6 +13,11 @@ from flowloom.functions import money, ratio
 from flowloom.operators.lineage import cut
 from flowloom.operators.spread import hot_keys, join_spread, running
 
+# Triangles: neighbours of a vertex that a row holds at once, and entries of
+# neighbour lists that a task reads.
+SLICE = 32
+ENTRIES_PER_TASK = 2_000_000
+
 
 def edges(f: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """One weighted edge per ordered pair."""
@@ -173,13 +178,31 @@ def _common_neighbours(pairs: DataFrame, rows_per_task: int | None) -> DataFrame
         .agg(F.collect_list("hi").alias("next"))
     )
     successors = cut(successors)
-    steps = successors.select("lo", "next", F.explode("next").alias("hi"))
     far = successors.select(F.col("lo").alias("hi"), F.col("next").alias("far"))
+    steps = _slices(successors).select("lo", "next", F.explode("part").alias("hi"))
     return join_spread(steps, far, "hi", rows_per_task=rows_per_task, total=n).select(
         "lo", "hi", F.array_intersect("next", "far").alias("common")
     )
 
 
+def _slices(successors: DataFrame) -> DataFrame:
+    """Successor lists with ``part``, up to ``SLICE`` of the list at a time, dealt out by work.
+
+    The work of a list is to be read once for each of its own entries.  Lists are few
+    bytes but much work, so tasks are counted in entries read, not in bytes.
+    """
+    length = F.size("next").cast("bigint")
+    work = successors.agg(F.sum(length * length)).first()[0] or 0
+    parts = F.expr(
+        f"transform(sequence(0, CAST((size(next) - 1) DIV {SLICE} AS INT)), i -> slice(next, i * {SLICE} + 1, {SLICE}))"
+    )
+    return (
+        successors.select("lo", "next", F.posexplode(parts).alias("number", "part"))
+        .repartition(int(work // ENTRIES_PER_TASK) + 1, "lo", "number")
+        .drop("number")
+    )
+
+
 def triangle_count(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Number of triangles of the undirected graph."""
     found = _common_neighbours(cut(undirected(e).select("a", "b")), rows_per_task)
@@ -192,18 +215,14 @@ def clustering(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Degree, triangles and local clustering of each vertex; 0 below degree two."""
     pairs = cut(undirected(e).select("a", "b"))
     found = _common_neighbours(pairs, rows_per_task).filter(F.size("common") > 0)
+    # Far corners one by one, then both ends of the edge with all its triangles.
     n = F.size("common").cast("bigint")
-    corners = F.concat(
-        F.array(
-            F.struct(F.col("lo").alias("node"), n.alias("t")),
-            F.struct(F.col("hi").alias("node"), n.alias("t")),
-        ),
-        F.transform(
-            "common", lambda x: F.struct(x.alias("node"), F.lit(1).cast("bigint").alias("t"))
-        ),
-    )
-    triangles = found.select(F.explode(corners).alias("c")).select(
-        "c.node", F.lit(0).cast("bigint").alias("d"), "c.t"
+    triangles = found.select(
+        n.alias("n"), F.posexplode(F.concat("common", F.array("lo", "hi"))).alias("at", "node")
+    ).select(
+        "node",
+        F.lit(0).cast("bigint").alias("d"),
+        F.when(F.col("at") < F.col("n"), F.lit(1).cast("bigint")).otherwise(F.col("n")).alias("t"),
     )
     degree = pairs.select(
         F.explode(F.array("a", "b")).alias("node"),

@@ -67,7 +67,10 @@ def _nodes(e: DataFrame) -> DataFrame:
 
 def both_directions(e: DataFrame) -> DataFrame:
     """Every undirected pair as two edges; no self-loops, no parallel edges."""
-    pairs = undirected(e)
+    return _two_ways(undirected(e))
+
+
+def _two_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         F.explode(
             F.array(
@@ -302,6 +305,113 @@ def k_core(
     raise NotConverged(f"vertices still drop out after {give_up} rounds")
 
 
+def _hanging(pairs: DataFrame, degree: DataFrame, rows_per_task: int | None) -> DataFrame:
+    """Vertices of the chains that end in a leaf, whole chains at once.
+
+    A chain is a component of vertices of degree one and two.
+    """
+    thin = cut(degree.filter("d <= 2"))
+    inside = pairs
+    for end in ("a", "b"):
+        inside = inside.join(thin.select(F.col("node").alias(end)), end, "left_semi")
+    links = inside.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    alone = thin.filter("d = 1").select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    chains = connected_components(links.unionByName(alone), rows_per_task=rows_per_task)
+    ends = (
+        chains.join(thin, "node").filter("d = 1").select("component").distinct()
+    )
+    return cut(chains.join(ends, "component", "left_semi").select("node"))
+
+
+def core_numbers(
+    e: DataFrame, give_up: int = 10_000, rows_per_task: int | None = None
+) -> DataFrame:
+    """The core number of each vertex of the undirected graph: the largest ``k`` with a k-core that holds it.
+
+    Every vertex starts from its degree and takes, round by round, the h-index of its
+    neighbours' values: the largest ``h`` such that ``h`` of them have ``h`` or more.  Values only
+    fall and settle at the core numbers, of all ``k`` at once; a vertex is computed
+    again only if a neighbour has fallen.  Neighbours count up to the value of the
+    vertex itself, so a hub is a count for each value and no list of neighbours.
+
+    Chains that end in a leaf would fall by one vertex a round.  They have core number 1 and
+    are taken off whole beforehand, until no leaf is left.
+
+    ``round`` is the round in which a vertex took its value, 0 if it kept its degree.
+    """
+    undone = cut(undirected(e).select("a", "b"))
+    all_nodes = cut(undone.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+
+    def degrees(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        return cut(ends.groupBy("node").agg(F.count(F.lit(1)).alias("d")))
+
+    degree = degrees(undone)
+    for _ in range(give_up):
+        if degree.filter("d = 1").isEmpty():
+            break
+        gone = _hanging(undone, degree, rows_per_task)
+        for end in ("a", "b"):
+            undone = undone.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+        undone = cut(undone)
+        degree = degrees(undone)
+    near = Adjacency.of(_two_ways(undone), "src", rows_per_task)
+    n = degree.count()
+    state = Rounds()
+    values = state.step(
+        degree.select("node", F.col("d").alias("core"), F.lit(0).alias("round")), n=F.count(F.lit(1))
+    )
+    fallen = n
+    for number in range(1, give_up + 1):
+        if not fallen:
+            break
+        told = near.join(values.select(F.col("node").alias("src"), F.col("core").alias("told"), "round"), n)
+        if number > 1:
+            again = told.filter(F.col("round") == number - 1).select(F.col("dst").alias("node")).distinct()
+            due = cut(values.join(again, "node", "left_semi"))
+        else:
+            due = values
+        # Seen from the other end every edge tells the value of its source.
+        counted = (
+            told.select(F.col("dst").alias("node"), "told")
+            .groupBy("node", "told")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .join(due.select("node", "core"), "node")
+            .groupBy("node", F.least("told", "core").alias("told"), "core")
+            .agg(F.sum("n").alias("n"))
+        )
+        # The counts from the top down: the h-index is the best of min(value, neighbours so far).
+        steps = F.reverse(F.sort_array(F.collect_list(F.struct("told", "n"))))
+        best = F.aggregate(
+            steps,
+            F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("h")),
+            lambda x, y: F.struct(
+                (x["seen"] + y["n"]).alias("seen"),
+                F.greatest(x["h"], F.least(y["told"], x["seen"] + y["n"])).alias("h"),
+            ),
+            lambda x: x["h"],
+        )
+        new = counted.groupBy("node").agg(best.alias("h"))
+        lower = F.col("h") < F.col("core")
+        values = state.step(
+            values.join(new, "node", "left").select(
+                "node",
+                F.when(lower, F.col("h")).otherwise(F.col("core")).alias("core"),
+                F.when(lower, F.lit(number)).otherwise(F.col("round")).alias("round"),
+            ),
+            fallen=F.count_if(F.col("round") == number),
+        )
+        fallen = state.facts["fallen"]
+    else:
+        raise NotConverged(f"core numbers still fall after {give_up} rounds")
+    settled = all_nodes.join(values, "node", "left")
+    return settled.select(
+        "node",
+        F.coalesce("core", F.lit(1)).cast("bigint").alias("core"),
+        F.coalesce("round", F.lit(0)).alias("round"),
+    )
+
+
 def label_propagation(
     e: DataFrame, rounds: int = 5, rows_per_task: int | None = None
 ) -> DataFrame:

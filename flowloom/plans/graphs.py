@@ -303,33 +303,58 @@ def clustering(spark, sf_dir):
     return graph.clustering(_handovers(spark, sf_dir))
 
 
-def _core_sql(k: int, rounds: int) -> list[str]:
-    steps = [PAIRS.format("edges"), "p0 AS MATERIALIZED (SELECT a, b FROM pairs)"]
-    for i in range(1, rounds + 1):
-        prev = f"p{i - 1}"
-        steps.append(
-            f"""p{i} AS MATERIALIZED (WITH stay AS MATERIALIZED (
-                  SELECT node FROM (SELECT unnest([a, b]) AS node FROM {prev})
-                  GROUP BY node HAVING count(*) >= {k})
-                SELECT a, b FROM {prev} WHERE a IN (SELECT node FROM stay)
-                                          AND b IN (SELECT node FROM stay))"""
-        )
-    return steps
+BOTH_ENDS = "ends AS MATERIALIZED (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs)"
+
+# Peeling: edges whose ends have fewer than k edges left go until none does.
+K_CORE = """peel AS (
+  SELECT 0 AS step, src, dst, NULL::BIGINT AS degree, true AS low FROM ends
+  UNION ALL
+  SELECT step + 1, src, dst, degree, bool_or(degree < {k}) OVER () FROM (
+    SELECT step, src, dst, count(*) OVER (PARTITION BY src) AS degree FROM (
+      SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY src) AS s, count(*) OVER (PARTITION BY dst) AS d FROM peel)
+      WHERE low AND s >= {k} AND d >= {k})))"""
 
 
 @query(
     "k_core",
     with_sql(
         *TRADE_SQL,
-        *_core_sql(30, 24),
-        select="""SELECT node, count(*) AS core_degree
-          FROM (SELECT unnest([a, b]) AS node FROM p24) GROUP BY node""",
+        PAIRS.format("edges"),
+        BOTH_ENDS,
+        K_CORE.format(k=30),
+        select="SELECT DISTINCT src AS node, degree AS core_degree FROM peel WHERE NOT low",
+        recursive=True,
     ),
 )
 def k_core(spark, sf_dir):
     return iterate.k_core(_trade(spark, sf_dir), 30)
 
 
+# All cores: where nothing is left to peel at k, whatever is there has core number k.
+ALL_CORES = """peel AS (
+  SELECT 1 AS k, src, dst FROM ends
+  UNION ALL
+  SELECT CASE WHEN low THEN k ELSE k + 1 END, src, dst FROM (
+    SELECT *, bool_or(s < k OR d < k) OVER () AS low FROM (
+      SELECT *, count(*) OVER (PARTITION BY src) AS s, count(*) OVER (PARTITION BY dst) AS d FROM peel))
+  WHERE s >= k AND d >= k)"""
+
+
+@query(
+    "core_numbers",
+    with_sql(
+        *TRADE_SQL,
+        PAIRS.format("edges"),
+        BOTH_ENDS,
+        ALL_CORES,
+        select="SELECT src AS node, CAST(max(k) - 1 AS BIGINT) AS core FROM peel GROUP BY src",
+        recursive=True,
+    ),
+)
+def core_numbers(spark, sf_dir):
+    return iterate.core_numbers(_trade(spark, sf_dir)).drop("round")
+
+
 def _labels_sql(rounds: int) -> list[str]:
     steps = [
         BOTH_WAYS.format("edges"),

@@ -238,3 +238,62 @@ def test_empty_graph(spark):
     assert iterate.k_core(e, 2).count() == 0
     assert iterate.label_propagation(e).count() == 0
     assert graph.triangle_count(e).first()[0] == 0
+
+
+def peeled(data):
+    """Core numbers by taking off the vertex of least degree."""
+    near = {}
+    for a, b, _ in data:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    core, k = {}, 0
+    while near:
+        v = min(near, key=lambda x: len(near[x]))
+        k = max(k, len(near[v]))
+        core[v] = k
+        for u in near.pop(v):
+            near[u].discard(v)
+    return core
+
+
+def test_core_numbers(e, data, limit):
+    rows = iterate.core_numbers(e, rows_per_task=limit).collect()
+    assert {r["node"]: r["core"] for r in rows} == peeled(data)
+    assert all(r["round"] >= 0 for r in rows)
+
+
+def test_core_numbers_of_hubs_and_cliques(spark):
+    data = [(a, b, 1.0) for a, b in combinations(range(12), 2)]
+    data += [(50, n, 1.0) for n in range(100, 400)] + [(n, n + 1, 1.0) for n in range(100, 399, 3)] + [(50, 3, 1.0)]
+    rows = iterate.core_numbers(spark.createDataFrame(data, SCHEMA)).collect()
+    assert {r["node"]: r["core"] for r in rows} == peeled(data)
+
+
+def test_core_numbers_of_a_long_chain_take_few_rounds(spark):
+    chain = [(n, n + 1, 1.0) for n in range(999)]
+    comb = [(2000 + n, 2001 + n, 1.0) for n in range(40)] + [(2000 + n, 3000 + n, 1.0) for n in range(0, 40, 3)]
+    ring = [(5000 + n, 5000 + (n + 1) % 50, 1.0) for n in range(50)] + [(5000, 6000, 1.0), (6000, 6001, 1.0)]
+    rows = iterate.core_numbers(spark.createDataFrame(chain + comb + ring, SCHEMA), give_up=12).collect()
+    assert {r["node"]: r["core"] for r in rows} == peeled(chain + comb + ring)
+
+
+def test_core_numbers_say_when_rounds_run_out(spark):
+    ladder = [(n, n + k, 1.0) for n in range(60) for k in (1, 2)]
+    with pytest.raises(iterate.NotConverged):
+        iterate.core_numbers(spark.createDataFrame(ladder, SCHEMA), give_up=2)
+    assert iterate.core_numbers(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_triangles_are_dealt_out_by_work(spark, monkeypatch):
+    """Lists of a few bytes are read in many tasks, each with about as many entries."""
+    monkeypatch.setattr(graph, "ENTRIES_PER_TASK", 20_000)
+    nodes = 120
+    lists = spark.createDataFrame(
+        [(v, list(range(v + 1, nodes))) for v in range(nodes - 1)], "lo bigint, next array<bigint>"
+    )
+    entries = F.sum(F.size("next") * F.size("part")).alias("work")
+    parts = graph._slices(lists).groupBy(F.spark_partition_id().alias("task")).agg(entries).collect()
+    work = sorted(r["work"] for r in parts)
+    assert len(work) > 20 and work[-1] <= 2.5 * work[len(work) // 2]
+    assert sum(work) == sum((nodes - 1 - v) ** 2 for v in range(nodes - 1))

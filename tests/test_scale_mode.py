@@ -16,6 +16,7 @@ NAMES = [
     "band_clicks_before_purchase",
     "clustering",
     "connected_components",
+    "core_numbers",
     "flow_facts",
     "full_outer_both_ways",
     "hits",
