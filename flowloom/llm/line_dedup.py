@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import KEYS, keyed, query, table
-from flowloom.llm.wordhash import mixed, word_hashes
+from flowloom.llm.wordhash import chunks, mixed, word_hashes
 from flowloom.operators.lineage import cut
 
 RUN = 50
@@ -48,8 +48,6 @@ LINE = 20
 # Documents with one fingerprint that a task compares at once.
 GROUP = 1000
 
-# Bytes of text that a task cuts into words at once, a longer text by itself.
-CHUNK_BYTES = 2_000_000
 # The odd multiplier of the rolling hashes, with its inverse.
 _BASE = 0x9E3779B97F4A7C13
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -129,20 +127,6 @@ class Words:
         return (near == self.prints[which][:, None]).argmax(axis=1)
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts in parts of some bytes, with the number of the first."""
-    part, size, first = [], 0, 0
-    for k, value in enumerate(texts):
-        text = value.as_py() or b""
-        if part and size + len(text) > CHUNK_BYTES:
-            yield first, part
-            part, size, first = [], 0, k
-        part.append(text)
-        size += len(text)
-    if part:
-        yield first, part
-
-
 def _long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -159,7 +143,7 @@ def _prints(run: int, line: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, sizes = [], []
-            for _, texts in _chunks(batch.column("text")):
+            for _, texts in chunks(batch.column("text")):
                 w = Words(texts, run, line)
                 order = np.lexsort((w.prints, w.text))
                 text, prints, again = w.text[order], w.prints[order], w.again()[order]
@@ -185,7 +169,7 @@ def _stretches(run: int, line: int):
                 np.unique(batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
                 for c in ("again", "many")
             )
-            for at, texts in _chunks(batch.column("text")):
+            for at, texts in chunks(batch.column("text")):
                 w = Words(texts, run, line)
                 which = np.flatnonzero(np.isin(w.prints, again))
                 if not len(which):

@@ -26,11 +26,13 @@ all others of their group.  Then, class by class:
    pairs are compared: linear in the members, however many share the key.  A
    second round takes other leaders, for members not yet joined to theirs.
 2. What is left are pairs in one key but in different components.  They are
-   compared exactly, in blocks of ``BLOCK`` members, so that no key has to fit
-   one task; only pairs within the distance leave a task, each from one key.
+   compared exactly, in blocks of ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles,
+   so that no key has to fit one task, each pair in one key.
    Such a pair is also held against ``MORE`` symbols: over all 256 a similarity
    of 0.8 differs in 51.2 on average, ``WIDE_DISTANCE`` is 4.3 deviations above.
-3. Pairs within the distance are confirmed on the full sets, and components of
+   Members that are in such a pair meet once more with their full sets, and only
+   links that join two components leave the task.
+3. Pairs with leaders are confirmed on the full sets too, and components of
    the confirmed links are formed in rounds.
 
 Links inside one component need no test, as classes and components are the
@@ -46,6 +48,7 @@ result.  No bucket, partner or candidate is capped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import KEYS, keyed, query, table
+from flowloom.llm.wordhash import chunks, word_hashes
 from flowloom.operators.iterate import connected_components
 from flowloom.operators.lineage import cut
 
@@ -67,8 +71,9 @@ MORE = 192
 WIDE_DISTANCE = 79
 BLOCK = 1000
 PERCENT = 80
-# Words whose hash a worker remembers.
-REMEMBER = 500_000
+# Members of a key that are held against each other at once: so many, or of so many
+# shingles together.
+BLOCK_SHINGLES = 2_000_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -80,25 +85,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: bytes, shingle: int, known: dict) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, ASCII letters in lower case."""
-    split = text.lower().split()
-    if not split:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
-    n = min(shingle, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = _mix(out + h[k : len(h) - n + 1 + k] * _M3)
-    return np.unique(out)
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, ASCII letters in lower case."""
+    words, counts = word_hashes([t.lower() for t in texts])
+    begins = np.cumsum(counts) - counts
+    runs = np.full(max(0, len(words) - shingle + 1), shingle, np.uint64)
+    for k in range(shingle):
+        runs = _mix(runs + words[k : len(runs) + k] * _M3)
+    found = []
+    for begin, n in zip(begins.tolist(), counts.tolist()):
+        if n >= shingle:
+            found.append(np.unique(runs[begin : begin + n - shingle + 1]))
+            continue
+        # Fewer words than a shingle: all of them are one.
+        short = np.full(min(n, 1), n, np.uint64)
+        for k in range(n):
+            short = _mix(short + words[begin + k] * _M3)
+        found.append(short)
+    return found
 
 
 def _seeds(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,11 +156,11 @@ def _sets(shingle: int, full: bool):
     """Per text the size and digest of its set, and the set or the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
         for batch in batches:
             sizes, digests, data = [], [], []
-            for value in batch.column("text"):
-                found = shingle_set(value.as_py() or b"", shingle, known)
+            for found in chain.from_iterable(
+                shingle_sets(texts, shingle) for _, texts in chunks(batch.column("text"))
+            ):
                 sizes.append(len(found))
                 raw = found.tobytes()
                 digests.append(xxhash.xxh3_128_digest(raw) if len(found) else None)
@@ -189,7 +193,7 @@ def _spread_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(a: dict, b: dict, same: bool, key: np.uint64, percent: int) -> Iterator[tuple]:
-    """Near pairs between two blocks of one key, each at the least key that it shares."""
+    """Places of near pairs in two blocks of one key, each pair at the least key that it shares."""
     for k in range(0, len(a["cid"]), 256):
         x = {c: v[k : k + 256] for c, v in a.items()}
         shared = np.minimum((x["size"] - x["alone"])[:, None], (b["size"] - b["alone"])[None])
@@ -208,28 +212,69 @@ def _meet(a: dict, b: dict, same: bool, key: np.uint64, percent: int) -> Iterato
             if len(i):
                 mine, theirs = chunk_keys(x["data"][i]), chunk_keys(b["data"][j])
                 first = np.where(mine == theirs, mine, ~np.uint64(0)).min(axis=1) == key
-                yield x["cid"][i][first], b["cid"][j][first]
+                yield i[first] + k, j[first]
+
+
+def _blocks(rows: pa.Table) -> tuple[dict, dict, bool, np.uint64, np.ndarray, np.ndarray]:
+    """The two blocks of a group, whether they are one, its key, and the rows of either."""
+    cols = {c: rows[c].to_numpy() for c in ("cid", "part", "size", "alone")}
+    cols["data"], cols["more"] = _symbols(rows["data"]), _symbols(rows["more"], MORE)
+    own, one, two = (rows[c].to_numpy() for c in ("own", "one", "two"))
+    left, right = np.flatnonzero(own == one[0]), np.flatnonzero(own == two[0])
+    a, b = ({c: v[m] for c, v in cols.items()} for m in (left, right))
+    return a, b, one[0] == two[0], rows["key"].to_numpy()[:1].view(np.uint64)[0], left, right
+
+
+def _in_pairs(percent: int):
+    """The members of a group that are in a near pair."""
 
+    def members(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b, same, key, left, right = _blocks(rows)
+        found = np.zeros(rows.num_rows, bool)
+        for i, j in _meet(a, b, same, key, percent):
+            found[left[i]] = found[right[j]] = True
+        kept = rows.select(["key", "one", "two", "own", "cid"]).filter(pa.array(found))
+        yield from kept.combine_chunks().to_batches()
 
-def _compare(percent: int):
-    """Near pairs of members of one key in different components.
+    return _by_group(members)
 
-    Rows come sorted by key and pair of blocks (``one``, ``two``), of at most
-    some ``BLOCK`` members each; only one such group is held at a time.
+
+def _links(percent: int):
+    """The links of a group that join components: near pairs whose full sets reach the similarity.
+
+    A pair that earlier links of the group have brought together already needs no test.
     """
 
-    def pairs(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(group)
-        cols = {c: rows[c].to_numpy() for c in ("cid", "part", "size", "alone")}
-        cols["data"], cols["more"] = _symbols(rows["data"]), _symbols(rows["more"], MORE)
-        own, one, two = (rows[c].to_numpy() for c in ("own", "one", "two"))
-        first, second = own == one[0], own == two[0]
-        a, b = ({c: v[m] for c, v in cols.items()} for m in (first, second))
-        key = rows["key"].to_numpy()[:1].view(np.uint64)[0]
-        for x, y in _meet(a, b, one[0] == two[0], key, percent):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"]
-            )
+    def joins(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b, same, key, left, right = _blocks(rows)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"]]
+        leads: dict[int, int] = {}
+
+        def lead(part: int) -> int:
+            while part in leads:
+                part = leads[part]
+            return part
+
+        ends: tuple[list[int], list[int]] = ([], [])
+        for first, second in _meet(a, b, same, key, percent):
+            for i, j in zip(first.tolist(), second.tolist()):
+                p, q = lead(int(a["part"][i])), lead(int(b["part"][j]))
+                if p != q and _reach(sets[left[i]], sets[right[j]], percent):
+                    leads[max(p, q)] = min(p, q)
+                    ends[0].append(int(a["cid"][i]))
+                    ends[1].append(int(b["cid"][j]))
+        if ends[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
+
+    return _by_group(joins)
+
+
+def _by_group(use):
+    """``use`` of the rows of each key and pair of blocks (``one``, ``two``).
+
+    Rows come sorted by these, of at most some ``BLOCK`` members each; only one such
+    group is held at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -243,12 +288,12 @@ def _compare(percent: int):
             for at, end in zip(starts, [*starts[1:], batch.num_rows]):
                 here = tuple(place[at])
                 if held and here != last:
-                    yield from pairs(held)
+                    yield from use(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(at, end - at))
                 last = here
         if held:
-            yield from pairs(held)
+            yield from use(pa.Table.from_batches(held))
 
     return run
 
@@ -273,6 +318,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids)], ["hash", "cid"])
 
 
+def _reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets reach the similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return bool(100 * both >= percent * (len(x) + len(y) - both))
+
+
 def _confirm(percent: int):
     """Pairs whose full sets reach the similarity."""
 
@@ -280,10 +331,8 @@ def _confirm(percent: int):
         for batch in batches:
             good = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                good.append(_reach(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -331,6 +380,10 @@ class _Linker:
             .join(self.sets.select(F.col("cid").alias("b"), F.col("data").alias("set_b")), "b")
             .mapInArrow(_confirm(self.percent), "a long, b long")
         )
+        self.add(links)
+
+    def add(self, links: DataFrame) -> None:
+        """Add written links and find the components anew."""
         if links.isEmpty():
             return
         self.links.append(links)
@@ -467,20 +520,46 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             .select("key")
         )
         left = cut(left.join(cut(apart), "key"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # Blocks follow the members that are still apart, not all that have the key.
+    left = cut(left.select("key", "cid", "part").join(facts.select("cid", "size", "alone", "data"), "cid"))
+    blocks = cut(
+        left.groupBy("key").agg(
+            F.greatest(
+                F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)
+            ).cast("int").alias("blocks")
+        )
+    )
+    further = cut(
+        sets.join(left.select("cid").distinct(), "cid", "left_semi")
+        .mapInArrow(_further, "cid long, more binary")
+        .dropDuplicates(["cid"])
+    )
+    left = left.join(further, "cid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    group = ["key", "one", "two"]
     grouped = (
-        left.select("key", "cid", "part", blocks.alias("blocks"))
-        .join(facts, "cid")
-        .join(sets.mapInArrow(_further, "cid long, more binary").dropDuplicates(["cid"]), "cid")
+        left.join(blocks, "key")
         .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         .withColumn("other", other)
         .withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
-        .select("key", "one", "two", "own", "cid", "part", "size", "alone", "data", "more")
-        .repartition("key", "one", "two")
-        .sortWithinPartitions("key", "one", "two")
+        .select(*group, "own", "cid", "part", "size", "alone", "data", "more")
+        .repartition(*group)
+        .sortWithinPartitions(*group)
     )
-    linker.confirm(cut(grouped.mapInArrow(_compare(percent), "a long, b long")))
+    # Members in near pairs meet again with their full sets; no pair leaves a task before it is a link.
+    near = cut(grouped.mapInArrow(_in_pairs(percent), "key long, one int, two int, own int, cid long"))
+    if not near.isEmpty():
+        of = left.select("key", "cid", "part", "size", "alone", "data", "more")
+        full = sets.dropDuplicates(["cid"]).select("cid", F.col("data").alias("set"))
+        linker.add(
+            cut(
+                near.join(of, ["key", "cid"])
+                .join(full, "cid")
+                .repartition(*group)
+                .sortWithinPartitions(*group)
+                .mapInArrow(_links(percent), "a long, b long")
+            )
+        )
     whole = cut(linker.component(classes.select("digest", "cid", "least_id"), "cid", "part"))
     reach = cut(whole.groupBy("part").agg(F.min("least_id").alias("component_id")))
     by_digest = cut(whole.join(reach, "part").select("digest", "part", "component_id"))

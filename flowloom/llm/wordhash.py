@@ -8,7 +8,13 @@ operations for each byte of text, whatever the number of distinct words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+
+# Bytes of text that are cut into words at once, a longer text by itself.
+CHUNK_BYTES = 2_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _WHITE = np.zeros(256, bool)
@@ -58,3 +64,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(letters)) - np.repeat(begins, sizes)
     values = _TABLE[letters] * _POWERS.upto(int(sizes.max()))[place]
     return mixed(np.add.reduceat(values, begins)), counts
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in parts of some bytes, with the number of the first."""
+    part, size, first = [], 0, 0
+    for k, value in enumerate(texts):
+        text = value.as_py() or b""
+        if part and size + len(text) > CHUNK_BYTES:
+            yield first, part
+            part, size, first = [], 0, k
+        part.append(text)
+        size += len(text)
+    if part:
+        yield first, part
