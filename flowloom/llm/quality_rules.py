@@ -3,12 +3,20 @@
 Every document gets a handful of figures and the rules it breaks.  Hosts
 (``source``) add up the failures of each rule.  A host's raw rate means little
 when the host is small, so it is shrunk towards the rate of all hosts by a beta
-prior whose two parameters are fitted to the hosts by moments.  A host whose
-shrunk rate of some rule is above ``limit`` is rejected with all its documents;
-documents that break a base rule go in any case.
+prior whose two parameters are fitted to the hosts by moments.
+
+The rates are joined back to the documents.  A document that breaks a rule is
+charged the rate of its host in parts of the rate of all hosts: about 1 where the host
+is like the others, less where the host is cleaner, more where it is known
+for such failures.  A document charged ``CHARGE`` or more over all rules is rejected,
+so one failure is forgiven at a host that has few of them, two seldom are, and
+documents that break no rule stay.  A host whose rate of some rule is above
+``limit`` has next to nothing else and is rejected with all its documents.
+Documents that break a base rule go in any case.
 
 * NULL and empty texts have no word, so they fail the rule on few words.
-* A NULL host is no host: its documents count in no rate and are judged alone.
+* A NULL host is no host: its documents count in no rate and are charged 1 for
+  each rule they break.
 * The fit needs two hosts that differ by more than chance; without, every host
   is shrunk wholly to the common rate, which can reject no host that differs.
 * Repeated rows count as often as they occur and get equal results.
@@ -25,7 +33,8 @@ from flowloom.operators.lineage import cut
 
 WINDOW = 8
 LEAST_WORDS = 20
-LIMIT = 0.5
+LIMIT = 0.9
+CHARGE = 0.75
 # The strength of a prior, in documents, when hosts do not differ at all.
 FIRM = 1e6
 
@@ -127,7 +136,7 @@ def _prior(hosts: DataFrame, rule: str) -> tuple[float, float]:
 
 
 def host_verdicts(judged: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """``source``, ``n_docs``, the shrunk rate of every rule and ``host_rejected``."""
+    """``source``, ``n_docs``, the shrunk rate and the charge of every rule, and ``host_rejected``."""
     hosts = cut(
         judged.filter("source IS NOT NULL")
         .groupBy("source")
@@ -142,6 +151,7 @@ def host_verdicts(judged: DataFrame, limit: float = LIMIT) -> DataFrame:
         a, b = _prior(hosts, rule)
         rate = (F.col(rule) + F.lit(a)) / (F.col("n_docs") + F.lit(a + b))
         shrunk[f"{rule}_rate"] = rate
+        shrunk[f"{rule}_charge"] = rate / F.lit(a / (a + b))
         rejected = rejected | (rate > limit)
     # Written, so that Spark knows its size: it is sent to all tasks if small, and
     # else shuffled, with the rows of large hosts split.
@@ -165,9 +175,16 @@ def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
 
 def _verdict(rows: DataFrame, limit: float) -> DataFrame:
     """Written ``rows`` of ``failures`` with ``kept``."""
-    hosts = host_verdicts(rows, limit).select("source", "host_rejected")
+    names = {f"{rule}_charge": f"__{rule}" for rule in RULES}
+    hosts = host_verdicts(rows, limit).withColumnsRenamed(names).select(
+        "source", "host_rejected", *names.values()
+    )
     rejected = F.coalesce("host_rejected", F.lit(False))
-    return rows.join(hosts, "source", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
+    charge = F.lit(0.0)
+    for rule in RULES:
+        charge = charge + F.when(F.col(rule), F.coalesce(f"__{rule}", F.lit(1.0))).otherwise(0.0)
+    kept = ~F.col("base_failed") & ~rejected & (charge < CHARGE)
+    return rows.join(hosts, "source", "left").withColumn("kept", kept).drop(*names.values())
 
 
 def keep_good(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -228,13 +245,18 @@ prior AS (
                                    / (spread - mean * (1 - mean) * inverse)))
     ELSE {FIRM} END AS strength
   FROM moments),
-rejected AS (
-  SELECT DISTINCT source FROM hosts JOIN prior USING (rule)
-  WHERE (k + mean * strength) / (n + strength) > {LIMIT})
+rates AS (
+  SELECT source, rule, (k + mean * strength) / (n + strength) AS rate, rate / mean AS charge
+  FROM hosts JOIN prior USING (rule)),
+verdicts AS (
+  SELECT source, bool_or(rate > {LIMIT}) AS rejected, {", ".join(
+    f"max(charge) FILTER (rule = '{rule}') AS c_{rule}" for rule in RULES)}
+  FROM rates GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        few_words OR repeated_words AS base_failed,
-       NOT (few_words OR repeated_words) AND hit IS NULL AS kept
-FROM judged LEFT JOIN (SELECT source, true AS hit FROM rejected) USING (source)
+       NOT (few_words OR repeated_words) AND NOT coalesce(rejected, false)
+         AND {" + ".join(f"CASE WHEN {rule} THEN coalesce(c_{rule}, 1) ELSE 0 END" for rule in RULES)} < {CHARGE} AS kept
+FROM judged LEFT JOIN verdicts USING (source)
 """
 
 

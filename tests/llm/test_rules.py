@@ -60,3 +60,31 @@ def test_edges_keep_their_columns(edge, empty):
     assert 7 in {r["doc_id"] for r in kept.collect()} or brute(edge.filter("doc_id = 7").first()["text"])[4] > 0
     assert qr.keep_good(empty).collect() == []
     assert qr.judge(empty).collect() == []
+
+
+def test_failures_are_charged_by_the_host(spark):
+    """One broken rule is forgiven at a clean host and counts elsewhere; clean documents stay everywhere."""
+    good = " ".join(f"word{i}" for i in range(40))
+    noisy = good + " ## $$ %% && **"
+    rows = [(i, f"{good} {i}", "clean") for i in range(400)] + [(1000, noisy, "clean")]
+    rows += [(2000 + i, f"{noisy if i % 3 == 0 else good} {i}", "noisy") for i in range(90)]
+    rows += [(3000, noisy, None), (3001, good, None)]
+    # The same noise and repeated lines too.
+    both = "\n".join([noisy] + ["one line of some words"] * 8)
+    rows += [(4000, both, "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in qr.judge(df).filter("kept").collect()}
+    clean = set(range(400)) | {2000 + i for i in range(90) if i % 3} | {3001}
+    assert kept - {4000} == clean | {1000}
+    rates = {r["source"]: r["symbols_charge"] for r in qr.host_verdicts(qr.failures(qr.figures(df))).collect()}
+    assert rates["clean"] < qr.CHARGE < 1 < rates["noisy"]
+
+
+def test_verdict_takes_junk_of_the_given_tables_and_leaves_good_texts(spark):
+    for scale in ("sf0.01", "sf0.1"):
+        sf = f"/root/testdata/{scale}"
+        labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+        judged = qr.op3(spark, sf).filter("NOT base_failed").join(labels, "doc_id").filter("quality IS NOT NULL")
+        n = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+        assert n[0, False] >= 20
+        assert n.get((1, False), 0) <= 0.01 * n[1, True]
