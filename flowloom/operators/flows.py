@@ -38,8 +38,9 @@ def flow_facts(
     ``lines`` and ``orders`` filter the two large tables before any join.
     ``asset=False`` leaves out the asset column and with it the join to part.
 
-    The order-side tables are joined first, so the line items are shuffled once
-    by order.  No side carries a broadcast hint: Spark broadcasts a side whose
+    The order-side tables are joined first, so the line items meet them
+    in one join; they are shuffled again for suppliers and parts where those are too
+    large to broadcast.  No side carries a broadcast hint: Spark broadcasts a side whose
     file or shuffle size is under its threshold and otherwise sorts and merges,
     splitting skewed keys.  Money is decimal from the first operation on, and
     18 digits keep a value in one long.
