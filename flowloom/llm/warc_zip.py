@@ -7,9 +7,12 @@ list of paths names is the truth, so a task that ran twice leaves a file that
 nobody reads.
 
 The reader needs no extraction.  One task per package reads the end of the
-file, the central directory (plain or ZIP64) and the index.  The records then
-are rows of (path, offset, length), dealt out evenly, and each is read by its
-byte range and checked against its digest.
+file, the central directory (plain or ZIP64) and the indexes, stored or deflated.
+An archive member that no index covers to its last byte is walked record by record
+instead, by ranges.  The records then are rows of (path, offset, length), dealt
+out by the bytes to read, and each is read by its byte range and checked against
+its digest.  An archive member that was compressed by the package cannot be read
+by range and raises an error, so that no record is left out in silence.
 
 Of pages with equal payloads of at least ``least_bytes`` bytes the one with the
 largest id is the response and the others revisit it.
@@ -17,6 +20,8 @@ largest id is the response and the others revisit it.
 * NULL html is an empty payload.  A NULL page id ranks lowest; a page of NULL
   id is a response only where all its copies have none.  A NULL url leaves the target out.
 * Pages equal in id and payload are alike: all are responses, or all revisits.
+* A record without a payload digest has NULL there and in ``valid``; one that was written by
+  other software has a NULL page id.
 * An empty table gives no package and no record.  Further columns are ignored.
 """
 
@@ -29,6 +34,7 @@ import json
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +49,9 @@ from flowloom.sources.sinks import scratch_path
 PACKAGE = 64_000_000
 LEVEL = 3
 BROADCAST_HOMES = 500_000
+# Bytes that a reading task takes, and that are held at a time when a member is walked.
+READ = 16_000_000
+STEP = 1_000_000
 RECORDS = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
 DATE = "2026-01-01T00:00:00Z"
@@ -52,6 +61,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LOCAL, _CENTRAL, _END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
 _END64, _LOCATOR64 = b"PK\x06\x06", b"PK\x06\x07"
 _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
+_STORED, _DEFLATED = 0, 8
+_GZIP = b"\x1f\x8b"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -63,8 +74,8 @@ def _urn(page_id: int | None, digest: str) -> str:
 
 
 def _page_of(urn: str | None) -> int | None:
-    part = urn.strip("<>").split(":")[2] if urn else ""
-    return int(part) if part else None
+    parts = urn.strip("<>").split(":") if urn else []
+    return int(parts[2]) if parts[1:2] == ["page"] and parts[2] else None
 
 
 def make_record(
@@ -220,11 +231,11 @@ def _wide(extra: bytes, values: list[int]) -> list[int]:
     return values
 
 
-def members(reader: RangeReader) -> dict[str, tuple[int, int]]:
-    """Name to (offset of the data, size) of every stored member."""
-    offset, size, entries = _directory(reader)
-    data, at, found = reader.read(offset, size), 0, {}
-    for _ in range(entries):
+def entries(reader: RangeReader) -> Iterator[tuple[str, int, int, int]]:
+    """Name, method, offset of the data and bytes held of every member."""
+    offset, size, count = _directory(reader)
+    data, at = reader.read(offset, size), 0
+    for _ in range(count):
         if data[at : at + 4] != _CENTRAL:
             raise ValueError("broken central directory")
         method = struct.unpack("<H", data[at + 10 : at + 12])[0]
@@ -235,31 +246,106 @@ def members(reader: RangeReader) -> dict[str, tuple[int, int]]:
         extra = data[at + 46 + names : at + 46 + names + extras]
         plain, packed, start = _wide(extra, [plain, packed, start])
         at += 46 + names + extras + comments
-        if method:  # a compressed member cannot be read by range
-            continue
         local = reader.read(start, 30)
         if not local.startswith(_LOCAL):
             raise ValueError(f"no local header for {name}")
         own_name, own_extra = struct.unpack("<HH", local[26:30])
-        found[name] = (start + 30 + own_name + own_extra, plain)
-    return found
+        yield name, method, start + 30 + own_name + own_extra, packed
+
+
+def members(reader: RangeReader) -> dict[str, tuple[int, int]]:
+    """Name to (offset of the data, size) of every stored member."""
+    return {name: (at, size) for name, method, at, size in entries(reader) if method == _STORED}
+
+
+def _index_text(reader: RangeReader, name: str, method: int, at: int, size: int) -> str:
+    data = reader.read(at, size)
+    if method == _DEFLATED:
+        data = zlib.decompress(data, -zlib.MAX_WBITS)
+    elif method != _STORED:
+        raise ValueError(f"{name}: compression method {method} is not known")
+    return (gzip.decompress(data) if name.endswith(".gz") else data).decode()
+
+
+def _indexed(text: str) -> Iterator[tuple[str, int, int]]:
+    """Archive member, offset and length of each record that an index lists."""
+    for line in text.split("\n"):
+        fields, mark, body = line.partition("{")
+        if mark:
+            at = json.loads(mark + body)
+            name = at["filename"]
+            yield name if "/" in name else f"archive/{name}", int(at["offset"]), int(at["length"])
+
+
+def walk(reader: RangeReader, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of every record of an archive member, each a gzip member or plain."""
+    at, end = start, start + size
+    while at < end:
+        packed = reader.read(at, min(2, end - at)) == _GZIP
+        length = (_gzip_length if packed else _plain_length)(reader, at, end)
+        yield at, length
+        at += length
+
+
+def _gzip_length(reader: RangeReader, at: int, end: int) -> int:
+    unpack, place = zlib.decompressobj(zlib.MAX_WBITS | 16), at
+    while not unpack.eof:
+        if place >= end:
+            raise EOFError(f"the record at {at} goes past its member")
+        data = reader.read(place, min(STEP, end - place))
+        place += len(data)
+        while data and not unpack.eof:
+            unpack.decompress(data, STEP)
+            data = unpack.unconsumed_tail
+    return place - len(unpack.unused_data) - at
+
+
+def _plain_length(reader: RangeReader, at: int, end: int) -> int:
+    head = b""
+    while b"\r\n\r\n" not in head:
+        if at + len(head) >= end:
+            raise EOFError(f"the record at {at} goes past its member")
+        head += reader.read(at + len(head), min(4096, end - at - len(head)))
+    head = head[: head.index(b"\r\n\r\n") + 4]
+    if not head.startswith(b"WARC/1."):
+        raise ValueError(f"no WARC record at {at}")
+    lines = (line.partition(":") for line in head.decode().split("\r\n"))
+    (body,) = (int(v) for k, _, v in lines if k.lower() == "content-length")
+    length = len(head) + body + 4
+    if at + length > end:
+        raise EOFError(f"the record at {at} goes past its member")
+    return length
+
+
+def package_records(reader: RangeReader) -> Iterator[tuple[int, int]]:
+    """Offset and length of every record of a package."""
+    archives, listed = {}, {}
+    for name, method, at, size in entries(reader):
+        if name.startswith("archive/") and name.endswith((".warc", ".warc.gz")):
+            if method != _STORED:
+                raise ValueError(f"{name} is compressed by its package and cannot be read by range")
+            archives[name] = (at, size)
+        elif name.startswith("indexes/") and name.removesuffix(".gz").endswith((".cdx", ".cdxj")):
+            for member, offset, length in _indexed(_index_text(reader, name, method, at, size)):
+                listed.setdefault(member, {})[offset] = length
+    missing = sorted(set(listed) - set(archives))
+    if missing:
+        raise ValueError(f"an index names {missing[0]}, which the package does not hold")
+    for name, (at, size) in archives.items():
+        own = listed.get(name, {})
+        if sum(own.values()) == size:
+            yield from ((at + offset, length) for offset, length in own.items())
+        else:
+            yield from walk(reader, at, size)
 
 
 def locate_records(packages: DataFrame) -> DataFrame:
-    """``path``, ``offset`` and ``length`` of every record, from the packages' indexes."""
+    """``path``, ``offset`` and ``length`` of every record of the packages."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                reader = RangeReader(path)
-                held = members(reader)
-                rows = []
-                for name, place in held.items():
-                    if name.startswith("indexes/"):
-                        for line in reader.read(*place).decode().split("\n"):
-                            if line:
-                                at = json.loads(line.partition(" ")[2])
-                                rows.append((held[at["filename"]][0] + at["offset"], at["length"]))
+                rows = list(package_records(RangeReader(path)))
                 if rows:
                     offsets, lengths = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
@@ -273,34 +359,40 @@ def locate_records(packages: DataFrame) -> DataFrame:
 
     n = packages.count()
     spread = packages.select("path").repartition(max(1, min(n, 10_000)))
-    return spread.mapInArrow(locate, "path string, offset long, length long")
+    return cut(spread.mapInArrow(locate, "path string, offset long, length long"))
 
 
 def read_records(located: DataFrame, payloads: bool = True) -> DataFrame:
     """Every located record with its fields; ``valid`` says whether its payload has its digest."""
 
+    def fields(data: bytes) -> dict:
+        found = parse_record(gzip.decompress(data) if data.startswith(_GZIP) else data)
+        warc, kind = found["warc"], found["warc"].get("warc-type")
+        digest = warc.get("warc-payload-digest", "").partition(":")[2] or None
+        valid = digest and (kind == "revisit" or base32_sha1(found["payload"]) == digest)
+        return {
+            "page_id": _page_of(warc.get("warc-record-id")),
+            "url": warc.get("warc-target-uri"),
+            "record_type": kind,
+            "payload_bytes": int(found["http"].get("content-length", len(found["payload"]))),
+            "payload_digest": digest,
+            "refers_to": _page_of(warc.get("warc-refers-to")),
+            "valid": valid,
+            "payload": found["payload"] if payloads and kind != "revisit" else None,
+        }
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, path = None, None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for r in batch.to_pylist():
                 if r["path"] != path:
                     reader, path = RangeReader(r["path"]), r["path"]
-                found = parse_record(gzip.decompress(reader.read(r["offset"], r["length"])))
-                warc, kind = found["warc"], found["warc"]["warc-type"]
-                digest = warc["warc-payload-digest"].partition(":")[2]
-                rows.append(
-                    {
-                        "page_id": _page_of(warc["warc-record-id"]),
-                        "url": warc.get("warc-target-uri"),
-                        "record_type": kind,
-                        "payload_bytes": int(found["http"]["content-length"]),
-                        "payload_digest": digest,
-                        "refers_to": _page_of(warc.get("warc-refers-to")),
-                        "valid": kind == "revisit" or base32_sha1(found["payload"]) == digest,
-                        "payload": found["payload"] if payloads and kind != "revisit" else None,
-                    }
-                )
+                rows.append(fields(reader.read(r["offset"], r["length"])))
+                held += len(rows[-1]["payload"] or b"")
+                if held >= READ:
+                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                    rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     shape = pa.schema(
@@ -315,7 +407,11 @@ def read_records(located: DataFrame, payloads: bool = True) -> DataFrame:
             ("payload", pa.binary()),
         ]
     )
-    return located.repartition("path", F.floor(F.col("offset") / 4_000_000)).mapInArrow(
+    located = cut(located)
+    size = located.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-size // READ), 50_000))
+    dealt = located.repartition(tasks, "path", F.floor(F.col("offset") / 4_000_000))
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(
         read,
         "page_id long, url string, record_type string, payload_bytes long, payload_digest string,"
         " refers_to long, valid boolean, payload binary",

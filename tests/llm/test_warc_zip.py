@@ -1,4 +1,6 @@
+import gzip
 import io
+import json
 import zipfile
 
 import pytest
@@ -75,3 +77,74 @@ def test_damaged_files_are_told(tmp_path):
         path.write_bytes(whole.getvalue().replace(mark, b"XXXX"))
         with pytest.raises(ValueError, match=text):
             wz.members(wz.RangeReader(str(path)))
+
+
+def package(path, archives, indexes=(), method=zipfile.ZIP_STORED):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, records in archives.items():
+            z.writestr(name, b"".join(records))
+        for name, lines in indexes:
+            z.writestr(name, lines, method)
+    return str(path)
+
+
+def record(i, packed=True):
+    body = f"page {i} ".encode() * (i + 1) * (70_000 if i == 2 else 1)
+    plain = wz.make_record(i, f"http://a/{i}", body, wz.base32_sha1(body), None)
+    return gzip.compress(plain) if packed else plain
+
+
+def listing(records, name="archive/a.warc.gz"):
+    at, lines = 0, []
+    for r in records:
+        lines.append(f"key 2026 {json.dumps({'offset': str(at), 'length': len(r), 'filename': name})}")
+        at += len(r)
+    return lines
+
+
+def found(spark, *paths):
+    packages = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = wz.read_records(wz.locate_records(packages)).collect()
+    assert all(r["valid"] for r in rows)
+    return sorted(r["page_id"] for r in rows)
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_without_an_index_lose_nothing(spark, tmp_path, packed):
+    records = [record(i, packed) for i in range(6)]
+    name = "archive/a.warc.gz" if packed else "archive/a.warc"
+    assert found(spark, package(tmp_path / "a.zip", {name: records, "archive/b.warc.gz": [record(9)]})) == [*range(6), 9]
+
+
+def test_deflated_packed_and_partial_indexes(spark, tmp_path):
+    records = [record(i) for i in range(6)]
+    lines = listing(records)
+    all_of = {"archive/a.warc.gz": records}
+    deflated = package(tmp_path / "d.zip", all_of, [("indexes/i.cdxj", "\n".join(lines))], zipfile.ZIP_DEFLATED)
+    packed = package(
+        tmp_path / "p.zip", all_of,
+        [("indexes/i.cdx.gz", gzip.compress("\n".join(listing(records, "a.warc.gz")).encode())), ("indexes/i.idx", "no json")],
+    )
+    partial = package(tmp_path / "q.zip", all_of, [("indexes/i.cdxj", "\n".join(lines[:3]))])
+    assert found(spark, deflated, packed, partial) == sorted([*range(6)] * 3)
+
+
+def test_what_cannot_be_read_is_told(tmp_path):
+    path = package(tmp_path / "x.zip", {"archive/a.warc.gz": [record(1)]}, [("indexes/i.cdxj", listing([record(1)], "archive/z.warc.gz")[0])])
+    with pytest.raises(ValueError, match="does not hold"):
+        list(wz.package_records(wz.RangeReader(path)))
+    with zipfile.ZipFile(tmp_path / "y.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/a.warc.gz", record(1))
+    with pytest.raises(ValueError, match="by range"):
+        list(wz.package_records(wz.RangeReader(str(tmp_path / "y.zip"))))
+    cut_off = package(tmp_path / "c.zip", {"archive/a.warc.gz": [record(1), record(2)[:-20]]})
+    with pytest.raises(EOFError):
+        list(wz.package_records(wz.RangeReader(cut_off)))
+
+
+def test_reading_tasks_follow_bytes(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 50) for i in range(200)], "page_id long, url string, html string")
+    located = wz.locate_records(wz.write_packages(pages.repartition(2), scratch_path(spark, "packages")))
+    monkeypatch.setattr(wz, "READ", 5000)
+    read = wz.read_records(located)
+    assert read.rdd.getNumPartitions() >= 5 and read.count() == 200
