@@ -24,8 +24,9 @@ from flowloom.llm.common import KEYS, keyed, lower_ascii, query, table
 from flowloom.operators.lineage import cut
 
 WINDOW = 13
-# A window is a hash, its words and its item ids; some 100 MB at most.
+# A window is a hash, its words and its item ids, which both limits hold at some 100 MB.
 BROADCAST_WINDOWS = 400_000
+BROADCAST_BYTES = 60_000_000
 
 # All ASCII but digits and small letters separates words.
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,15 +56,18 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     )
 
 
-def _hashes(lengths: list[int]) -> Column:
-    """All windows of the lengths asked for, each as (start, length, hash)."""
+def _hashes(lengths: list[int], first: str) -> Column:
+    """``first`` and all windows of the lengths asked for, each as (start, length, hash)."""
     parts = [
         f"CASE WHEN size(w) >= {n} THEN transform(sequence(1, size(w) - {n - 1}), i ->"
         f" struct(i AS start, {n} AS n, xxhash64(slice(w, i, {n})) AS hash)) ELSE array() END"
         for n in lengths
     ]
-    marker = "array(struct(0 AS start, 0 AS n, 0L AS hash))"
-    return F.expr(f"concat({', '.join([marker, *parts])})")
+    return F.expr(f"concat({', '.join([first, *parts])})")
+
+
+_SPANS = "sort_array(collect_set(CASE WHEN n > 0 THEN struct(start, n) END))"
+_ITEMS = "sort_array(array_distinct(flatten(collect_set(items))))"
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -74,25 +78,28 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = sorted(
         r["n"] for r in bench.select(F.size("gram").alias("n")).distinct().collect()
     )
-    n_windows = bench.count()
+    held = F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("items", " "))
+    n_windows, n_bytes = bench.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
+    small = n_windows <= BROADCAST_WINDOWS and n_bytes <= BROADCAST_BYTES
+    return (_hits_by_broadcast if small else _hits_by_shuffle)(docs, bench, lengths)
+
+
+def _hits_by_broadcast(docs: DataFrame, bench: DataFrame, lengths: list[int]) -> DataFrame:
     marker = bench.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("hash"),
         F.array().cast("array<string>").alias("gram"),
         F.array().cast("array<string>").alias("items"),
     )
-    bench = bench.unionByName(marker)
-    if n_windows <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
     scanned = (
         keyed(docs)
         .select(*KEYS, "doc_id", item_words("text").alias("w"))
-        .withColumn("__at", _hashes(lengths))
+        .withColumn("__at", _hashes(lengths, "array(struct(0 AS start, 0 AS n, 0L AS hash))"))
         # The array is never empty.  The outer form keeps the optimizer from testing that
         # below, which would cut the text into words again for every window.
         .select(*KEYS, "doc_id", "w", F.explode_outer("__at").alias("at"))
         .select(*KEYS, "doc_id", "w", "at.start", "at.n", "at.hash")
     )
-    found = scanned.join(bench, "hash").filter(
+    found = scanned.join(F.broadcast(bench.unionByName(marker)), "hash").filter(
         F.expr("CASE WHEN n = 0 THEN size(gram) = 0 ELSE slice(w, start, n) = gram END")
     )
     return (
@@ -102,14 +109,46 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         .groupBy(*KEYS, "doc_id", "n_words")
         .agg(
             F.count_if(F.col("n") == 0).alias("copies"),
-            F.sort_array(
-                F.collect_set(F.when(F.col("n") > 0, F.struct("start", "n")))
-            ).alias("spans"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+            F.expr(_SPANS).alias("spans"),
+            F.expr(_ITEMS).alias("items"),
         )
     )
 
 
+def _hits_by_shuffle(docs: DataFrame, bench: DataFrame, lengths: list[int]) -> DataFrame:
+    own = keyed(docs).select(*KEYS, "doc_id", "text")
+    places = (
+        own.select(*KEYS, item_words("text").alias("w"))
+        .select(*KEYS, F.explode_outer(_hashes(lengths, "array()")).alias("at"))
+        .select(*KEYS, "at.start", "at.n", "at.hash")
+    )
+    known = bench.select("hash").distinct()
+    asked = cut(
+        places.join(known, "hash", "left_semi")
+        .groupBy(*KEYS)
+        .agg(F.collect_set(F.struct("start", "n", "hash")).alias("__at"))
+    )
+    found = (
+        own.join(asked, KEYS)
+        .select(*KEYS, item_words("text").alias("w"), "__at")
+        .select(*KEYS, "w", F.explode("__at").alias("at"))
+        .select(*KEYS, "at.start", "at.n", "at.hash", F.expr("slice(w, at.start, at.n)").alias("own"))
+        .join(bench, "hash")
+        .filter("own = gram")
+        .groupBy(*KEYS)
+        .agg(F.expr(_SPANS).alias("spans"), F.expr(_ITEMS).alias("items"))
+    )
+    counts = (
+        own.select(*KEYS, "doc_id", F.size(item_words("text")).cast("long").alias("n_words"))
+        .groupBy(*KEYS, "doc_id", "n_words")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    empty = {"spans": "array<struct<start:int,n:int>>", "items": "array<string>"}
+    return counts.join(found, KEYS, "left").withColumns(
+        {c: F.coalesce(c, F.array().cast(kind)) for c, kind in empty.items()}
+    )
+
+
 # Words inside spans that may overlap: each adds what lies beyond all before it.
 _COVERED = (
     "aggregate(spans, struct(0L AS n, 0 AS seen), (a, s) -> struct("

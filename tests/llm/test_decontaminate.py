@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from flowloom.llm import decontaminate as dc
 from flowloom.llm.common import CAPITALS, KEYS
 
@@ -34,7 +36,10 @@ def items_of(spark, items):
     return spark.createDataFrame(items, "item_id long, text string")
 
 
-def test_equals_brute_force(spark, make, edge):
+@pytest.mark.parametrize("limit", ["none", "BROADCAST_WINDOWS", "BROADCAST_BYTES"])
+def test_equals_brute_force(spark, make, edge, monkeypatch, limit):
+    if limit != "none":
+        monkeypatch.setattr(dc, limit, 0)
     rng = random.Random(7)
     vocabulary = [f"É{i}" if i % 5 == 0 else f"w{i}" for i in range(40)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -60,6 +65,23 @@ def test_shuffled_join_gives_the_same(spark, make, monkeypatch):
     assert run() == small and small[0][2] == 20
 
 
+def test_shuffled_join_sends_no_words_of_other_documents(spark, make, monkeypatch):
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = make(["x " + item, "clean text " * 30])
+    plans = []
+
+    def note(df, cut=dc.cut):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(dc, "cut", note)
+    assert [r["n_hit"] for r in dc.contamination(docs, items_of(spark, [(1, item)])).orderBy("doc_id").collect()] == [20, 0]
+    joined = plans[1][plans[1].index("Join LeftSemi") :]
+    sent = joined[: joined.index("Generate")]
+    assert "hash#" in sent and " w#" not in sent and "text#" not in sent and " 0 AS hash" not in joined
+
+
 def test_documents_and_spans_are_removed(spark, make, edge, empty):
     item = " ".join(f"q{i}" for i in range(15))
     docs = make([f"Before it. ({item.upper()}); after it", "clean " * 50, None, ""])
