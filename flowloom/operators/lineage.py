@@ -68,6 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df if df in _scans else _written(df)[0]
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` to a new table; a scan of it and its rows, counted while they are written."""
+    seen = Observation()
+    out = _written(df.observe(seen, F.count(F.lit(1)).alias("n")))[0]
+    return out, seen.get["n"]
+
+
 class Levels:
     """A growing table of rows numbered by ``level``; a round adds rows and rewrites none."""
 

@@ -12,30 +12,33 @@ helpers here deal with what is left:
 An input of at most ``ROWS_PER_TASK`` rows has no hot key; callers that know the
 number of rows pass it as ``total`` and get the plain window or join.
 
-Otherwise the helpers start from ``hot_keys``.  It keeps only keys with more rows than
+Windows need no search for hot keys: pieces are cut from the sorted line of all
+rows, and keys that cross a cut are known from that.  Joins start from
+``hot_keys``.  It keeps only keys with more rows than
 one task should take, and never more than ``MAX_HOT`` of them, because the row
 limit is at least ``total / MAX_HOT``.  That bound is what makes it safe to
-broadcast the hot keys, and the per-piece summaries made from them, whatever
-the size of the input.  Results do not depend on the limit: it only decides
+broadcast the hot keys, and the same limit bounds the pieces of a line with
+their summaries, whatever the size of the input.  Results do not depend on the limit: it only decides
 where rows are processed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.operators.lineage import counted, cut
+
 ROWS_PER_TASK = 1_000_000
 # Counted tables of up to this many rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 500_000
 MAX_HOT = 50_000
-# A hot group is cut finer than its row count asks for, as pieces are only about
-# equally full; so many rows are drawn for each piece to find where it ends.
-OVERSPLIT = 4
-PER_PIECE = 20
+# A line is cut finer than its row count asks for, as pieces are only about equally full.
+OVERSPLIT = 2
 
 
 def exact_sum(df: DataFrame, value: Column) -> None:
@@ -105,35 +108,33 @@ def with_chunks(
 ) -> DataFrame:
     """Number the consecutive pieces of each group along ``order``.
 
-    Adds ``_chunk``, 0 for every row of a group that fits one task, and
-    ``_hot``.  Cut points are taken from the data: about ``PER_PIECE`` rows for
-    each piece, drawn by a hash of the row, whose values are sorted and divided
-    evenly.  So pieces hold about equally many rows however the values lie, and
-    any type that can be ordered will do.  Rows that tie in the whole order
-    share a piece; pieces follow the ascending order with NULLs first.
+    All rows form one line, sorted by key and ``order`` (ascending, NULLs
+    first), which is cut into about equally full pieces and written with the
+    number of the piece.  Adds ``_hot`` for the rows of keys that lie in more
+    than one piece, and ``_chunk``, the piece of such a row and 0 for all
+    others.  A line of n pieces has at most n - 1 such keys.  Rows that tie in
+    the key and the whole order share a piece.
+
+    The line is read twice to be cut, so an input without a ``total`` is
+    written first; one with a ``total`` is taken to be a written table.
     """
-    spot = F.struct(*order)
-    hot = hot_keys(df, keys, rows_per_task, total=total)
-    pieces = F.col("_parts") * OVERSPLIT
-    drawn = F.xxhash64(*df.columns, F.lit(1)) / F.lit(2.0**64) + 0.5
-    place = F.expr(
-        f"transform(sequence(1, _parts * {OVERSPLIT} - 1),"
-        f" i -> element_at(_spots, CAST(ceil(i * size(_spots) / (_parts * {OVERSPLIT}D)) AS INT)))"
-    )
-    bounds = (
-        _join_hot(df, hot.select(*keys, "_parts", "_rows"), keys, "inner")
-        .filter(drawn < pieces * PER_PIECE / F.col("_rows"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(spot)).alias("_spots"), F.first("_parts").alias("_parts"))
-        .select(*keys, F.array_distinct(place).alias("_bounds"))
+    if total is None:
+        df, total = counted(df)
+    limit = max(rows_per_task or ROWS_PER_TASK, total / MAX_HOT)
+    pieces = max(1, OVERSPLIT * math.ceil(total / limit))
+    spots = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    line = cut(df.repartitionByRange(pieces, *spots).withColumn("_piece", F.spark_partition_id()))
+    crossing = cut(
+        line.groupBy(*keys)
+        .agg(F.min("_piece").alias("_from"), F.max("_piece").alias("_to"))
+        .filter("_from < _to")
+        .select(*keys, F.lit(True).alias("_hot"))
     )
-    before = F.size(F.filter("_bounds", lambda bound: bound < spot))
-    marked = _join_hot(df, hot.select(*keys, F.lit(True).alias("_hot")), keys, "left")
     return (
-        _join_hot(marked, bounds, keys, "left")
+        _join_hot(line, crossing, keys, "left")
         .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-        .withColumn("_chunk", F.when(F.col("_bounds").isNull(), 0).otherwise(before))
-        .drop("_bounds")
+        .withColumn("_chunk", F.when(F.col("_hot"), F.col("_piece")).otherwise(0))
+        .drop("_piece")
     )
 
 
@@ -158,12 +159,15 @@ def running(
     ``inclusive=False`` stops before the current row.
 
     Inside a piece this is a plain window.  The start value of a piece comes
-    from one summary row per earlier piece of the same group.
+    from one summary row per earlier piece of the same group.  The input is
+    read once: without a ``total`` it is counted while it is written.
     """
     sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
     prepared = df.withColumns(
         {f"_in_{n}": c for n, c in (sums | lasts | totals).items()}
     )
+    if total is None:
+        prepared, total = counted(prepared)
     small = fits_one_task(total, rows_per_task)
     rows = prepared if small else with_chunks(prepared, keys, order, rows_per_task, total)
     piece = [*keys] if small else [*keys, "_chunk"]

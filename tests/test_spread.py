@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowloom.operators.joins import asof
 from flowloom.operators.spread import hot_keys, join_spread, running, with_chunks
 
 LIMIT = 5
@@ -130,3 +131,33 @@ def test_pieces_hold_about_equal_rows(spark, shape):
     got = running(df, ["k"], ["at", "id"], sums={"s": F.lit(1)}, rows_per_task=limit)
     want = df.withColumn("s", F.row_number().over(Window.partitionBy("k").orderBy("at", "id")))
     assert got.join(want, ["id", "s"]).count() == n
+
+
+@pytest.mark.parametrize("limit", [LIMIT, None])
+def test_each_side_is_read_once(spark, rows, limit):
+    seen = {"left": spark.sparkContext.accumulator(0), "right": spark.sparkContext.accumulator(0)}
+
+    def read(side):
+        def note(v):
+            seen[side].add(1)
+            return v
+
+        return F.udf(note, "int").asNondeterministic()
+
+    left = rows.select("k", "at", "id", read("left")("v").alias("v"))
+    right = rows.filter("k IS NOT NULL AND at IS NOT NULL").select("k", "at", "id", read("right")("v").alias("v"))
+    got = asof(left, right, "k", "at", "id", rows_per_task=limit).collect()
+    assert len(got) == 300 and any(r["prev_id"] is not None for r in got)
+    assert seen["left"].value == 300 and seen["right"].value == right.count()
+
+
+def test_keys_inside_one_piece_are_left_alone(spark):
+    df = spark.range(4000).select((F.col("id") % 100).alias("k"), "id").unionByName(
+        spark.range(4000, 6000).select(F.lit(50).cast("long").alias("k"), "id")
+    )
+    parts = with_chunks(df.repartition(4), ["k"], ["id"], 500).groupBy("k").agg(
+        F.countDistinct("_chunk").alias("n"), F.max("_hot").alias("hot")
+    )
+    found = {r["k"]: (r["n"], r["hot"]) for r in parts.collect()}
+    assert len(found) == 100 and found[50][0] >= 4
+    assert sum(hot for _, hot in found.values()) <= 24 and all(hot == (n > 1) for n, hot in found.values())
