@@ -16,6 +16,9 @@ from flowloom.functions import fixed, money, period_start, ratio
 from flowloom.operators.lineage import cut
 from flowloom.operators.spread import BROADCAST_ROWS, exact_sum, join_spread, running
 
+# Fixed value: the largest bound on a row number that Spark applies before the shuffle.
+GROUP_LIMIT = 1000
+
 
 def resample(f: DataFrame, unit: str, by: Sequence[str] = ()) -> DataFrame:
     """Flows and value per period and group."""
@@ -144,7 +147,8 @@ def time_bucket(events: DataFrame, width: str, by: Sequence[str] = ()) -> DataFr
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group in a total order.
 
-    The bound on the row number lets Spark cut each group before the shuffle.
+    The bound on the row number lets Spark cut each group before the shuffle, up to
+    ``GROUP_LIMIT`` rows.  ``top_ranks`` takes more without a task that holds a group.
     """
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
@@ -162,16 +166,16 @@ def top_ranks(
 
     Any number of rows may tie, so rows are not ranked themselves: the ``n``
     greatest distinct values of each group are, with their row counts, and the
-    rows that hold one of those values are kept.
+    rows that hold one of those values are kept.  Up to ``GROUP_LIMIT`` places the
+    values are cut before they are shuffled; for more they are ranked from the other
+    end by running counts, which no group keeps in one task.
     """
-    order = F.col(col).desc_nulls_last()
     values = df.groupBy(*group, col).agg(F.count(F.lit(1)).alias("_n"))
-    first = top_n(values, group, [order], n)
-    w = Window.partitionBy(*group).orderBy(order)
-    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.col("place") if dense else (before + 1).cast("int")
+    ranked = _first_values if n <= GROUP_LIMIT else _ranked_values
     wanted = cut(
-        first.withColumn("place", place).filter(F.col("place") <= n).select(*group, col, "place")
+        ranked(values, group, col, n, dense, rows_per_task)
+        .filter(F.col("place") <= n)
+        .select(*group, col, F.col("place").cast("int").alias("place"))
     )
     keys = [*group, col]
     if wanted.count() > BROADCAST_ROWS:
@@ -183,6 +187,31 @@ def top_ranks(
     return df.join(F.broadcast(named), same).drop(*[f"_w_{k}" for k in keys])
 
 
+def _first_values(values, group, col, n, dense, rows_per_task) -> DataFrame:
+    """The first ``n`` values of each group, ranked in one window."""
+    order = F.col(col).desc_nulls_last()
+    first = top_n(values, group, [order], n)
+    if dense:
+        return first
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return first.withColumn("place", F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1)
+
+
+def _ranked_values(values, group, col, n, dense, rows_per_task) -> DataFrame:
+    """All values, ranked by what is left of the group above them."""
+    counts = {"_values": F.lit(1), "_rows": F.col("_n")}
+    seen = running(
+        values,
+        group,
+        [col],
+        sums={f"{c}_upto": v for c, v in counts.items()},
+        totals={f"{c}_all": v for c, v in counts.items()},
+        rows_per_task=rows_per_task,
+    )
+    c = "_values" if dense else "_rows"
+    return seen.withColumn("place", F.col(f"{c}_all") - F.col(f"{c}_upto") + 1)
+
+
 def share(df: DataFrame, group: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
     """Share of each row of an aggregated frame in the value of its group."""
     df = cut(df)

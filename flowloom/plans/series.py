@@ -176,6 +176,18 @@ def rank_largest_quantities(spark, sf_dir):
     return win.top_ranks(f, ["src"], "qty", 2, dense=True)
 
 
+@query(
+    "rank_many_order_totals",
+    """SELECT o_orderpriority, o_orderkey, o_totalprice, CAST(rank() OVER (PARTITION BY o_orderpriority
+         ORDER BY o_totalprice DESC NULLS LAST) AS INTEGER) AS place
+       FROM orders QUALIFY place <= 2000""",
+)
+def rank_many_order_totals(spark, sf_dir):
+    """A top list of more rows a group than Spark cuts before the shuffle."""
+    orders = scan(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return win.top_ranks(orders, ["o_orderpriority"], "o_totalprice", 2000)
+
+
 @query(
     "share_of_source",
     with_sql(

@@ -194,9 +194,12 @@ def test_top_n_ranks_keep_ties(spark):
 
 @pytest.mark.parametrize("dense", [True, False])
 @pytest.mark.parametrize("small", [True, False])
-def test_top_ranks_equal_builtin_functions(spark, monkeypatch, dense, small):
+@pytest.mark.parametrize("many", [True, False])
+def test_top_ranks_equal_builtin_functions(spark, monkeypatch, dense, small, many):
     if not small:
         monkeypatch.setattr(windows, "BROADCAST_ROWS", 0)
+    if many:
+        monkeypatch.setattr(windows, "GROUP_LIMIT", 7)
     data = [(i % 4 or None, None if i % 9 == 0 else i % 6, i) for i in range(80)]
     df = spark.createDataFrame(data, "g int, v int, id int")
     rank = F.dense_rank if dense else F.rank
@@ -206,6 +209,20 @@ def test_top_ranks_equal_builtin_functions(spark, monkeypatch, dense, small):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+@pytest.mark.parametrize("dense", [True, False])
+def test_top_5000_of_a_hot_group_is_exact(spark, dense):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(7).alias("g"),
+        F.floor(F.col("id") / 2).cast("decimal(20,0)").alias("v"),
+        "id",
+    )
+    rank = F.dense_rank if dense else F.rank
+    place = rank().over(Window.partitionBy("g").orderBy(F.col("v").desc()))
+    want = rows.withColumn("place", place).filter("place <= 5000")
+    got = windows.top_ranks(rows, ["g"], "v", 5000, dense, rows_per_task=1000).select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
 @pytest.mark.parametrize("limit", [1, None])
 def test_shares_of_a_source_sum_to_one(f, limit):
     routes = f.groupBy("src", "dst").agg(F.sum("value").cast("decimal(38,4)").alias("total_value"))

@@ -26,6 +26,7 @@ NAMES = [
     "projection_strength",
     "quantiles",
     "rank_largest_quantities",
+    "rank_many_order_totals",
     "rolling_6_hours",
     "route_summary",
     "sankey_links",
