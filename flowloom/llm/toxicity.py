@@ -4,7 +4,9 @@ The lexicon has words and stems (beginnings) that mark toxic training texts.
 Its trie is intersected with the Levenshtein automaton of each word: a state is
 the set of (trie node, edits so far) that are still possible, states are made
 deterministic as they are met, and most words leave the automaton after a few
-letters.  Terms of ``FUZZY`` letters or more match with one edit.
+letters.  Terms of ``FUZZY`` letters or more match with one edit.  A token with
+digits or symbols inside (``id1ot``, ``wor-thless``) goes through the automaton whole
+if none of the runs of letters in it matches.
 
 Each match is looked at in a window of ``WINDOW`` words: whether it stands in
 quotation marks, is reported or named as a word, or is aimed at the reader.  A
@@ -12,8 +14,8 @@ logistic regression over these counts gives the score, so that quotation and
 abuse weigh what the training labels say.
 
 Lexicon and regression are fitted on the driver to at most about ``PER_CLASS``
-labelled texts of each class, chosen by a hash of the id.  Scoring runs in tasks
-over whole texts.
+labelled texts of each class, chosen by a hash of the id, and to fewer where those
+would have more than ``CLASS_BYTES`` bytes.  Scoring runs in tasks over whole texts.
 
 * NULL, empty and harmless texts get the score of a text without any match.
 * Of several labels of one document the highest counts; NULL labels count not.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import held_out, query, table
 
 PER_CLASS = 4000
+# Bytes of text of each class that may be expected on the driver.
+CLASS_BYTES = 32 << 20
 SHORTEST = 4
 FUZZY = 5
 STEMS = (4, 5, 6, 7)
@@ -45,6 +50,8 @@ AT_LEAST = 0.3
 REMEMBER = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+# From the first to the last letter or digit between blanks or quotation marks.
+_TOKEN = re.compile(r"[^\W_](?:[^\s\"“”„«»]*[^\W_])?")
 # Words around a term that report it, and words that address someone.
 REPORTING = set(
     "said says wrote writes quoted quotes called calls word term dit écrit mot appelé"
@@ -212,25 +219,38 @@ class Model:
             found = self.cache[word] = self.lexicon.match(word)
             return found
 
+    def disguised(self, token: str) -> tuple[int, int] | None:
+        """The term that a token with other signs than letters stands for as a whole, or None."""
+        if token.isalpha() or any(map(self.match, _WORD.findall(token))):
+            return None
+        return self.match(token)
+
     def figures(self, text: str) -> list[float] | None:
         """What the regression looks at; None without any match."""
         lower = text.lower()
         if len(lower) != len(text):
             text = lower
-        # The distinct words of most texts match nothing.
-        if not any(map(self.match, set(_WORD.findall(lower)))):
+        # The distinct words and tokens of most texts match nothing.
+        plain = any(map(self.match, set(_WORD.findall(lower))))
+        tokens = {t for t in set(_TOKEN.findall(lower)) if self.disguised(t)}
+        if not plain and not tokens:
             return None
         spans = list(_WORD.finditer(lower))
         words = [m.group() for m in spans]
+        # Place among the words, begin, end and term of each match.
+        hits = [(i, *spans[i].span(), hit) for i, w in enumerate(words) if (hit := self.match(w))]
+        if tokens:
+            starts = [m.start() for m in spans]
+            hits += [
+                (bisect_left(starts, m.start()), *m.span(), self.disguised(m.group()))
+                for m in _TOKEN.finditer(lower)
+                if m.group() in tokens
+            ]
         counts = Counter()
         heaviest = 0.0
-        for i, word in enumerate(words):
-            hit = self.match(word)
-            if hit is None:
-                continue
-            edits, term = hit
+        for i, begin, end, (edits, term) in hits:
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-            quoted = _quoted(text, *spans[i].span())
+            quoted = _quoted(text, begin, end)
             counts["fuzzy" if edits else "exact", quoted] += 1
             counts["reported"] += not REPORTING.isdisjoint(near)
             counts["aimed"] += not ADDRESSING.isdisjoint(near)
@@ -247,7 +267,7 @@ class Model:
             counts["reported"] / n,
             counts["aimed"] / n,
             heaviest / 5,
-            min(5.0, 100 * open_ / len(words)),
+            min(5.0, 100 * open_ / max(1, len(words))),
         ]
 
     def score(self, text: str | None) -> float:
@@ -279,29 +299,41 @@ def fit(texts: list[str], toxic: list[int], weights: list[float]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list, list, list]:
-    """Texts, labels and weights to learn from, about ``per_class`` of each class at most."""
+def sample(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES
+) -> tuple[list, list, list]:
+    """Texts, labels and weights to learn from.
+
+    About ``per_class`` texts of each class at most; where those have more than
+    ``class_bytes`` bytes, so many fewer whole texts that this is about the number of bytes.
+    """
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    chance = F.lit(0.0)
-    for label, n in sizes.items():
-        chance = F.when(F.col("toxic") == label, F.lit(per_class / n)).otherwise(chance)
     drawn = F.xxhash64("doc_id", F.lit(7)) / F.lit(2.0**64) + 0.5
-    # Some thousand ids at most, whatever the number of labels.
-    chosen = F.broadcast(known.filter(drawn < chance))
+    texts = docs.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
+
+    def draw(share: dict[int, float]) -> DataFrame:
+        chance = F.lit(0.0)
+        for label, one_in in share.items():
+            chance = F.when(F.col("toxic") == label, F.lit(1 / one_in)).otherwise(chance)
+        # Some thousand ids at most, whatever the number of labels.
+        return texts.join(F.broadcast(known.filter(drawn < chance)), "doc_id")
+
+    share = {label: max(1.0, n / per_class) for label, n in sizes.items()}
+    held = draw(share).groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    for r in held:
+        share[r["toxic"]] *= max(1.0, r["n"] / class_bytes)
     rows = (
-        docs.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        .join(chosen, "doc_id")
+        draw(share)
         .select("doc_id", "text", "toxic")
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("text", "ascending")])
     )
     toxic = rows["toxic"].to_pylist()
-    share = {label: max(1.0, n / per_class) for label, n in sizes.items()}
     return rows["text"].to_pylist(), toxic, [share[t] for t in toxic]
 
 

@@ -81,6 +81,28 @@ def test_quotation_is_told_from_abuse(toy):
     assert toy.score("well you are a grobiann and that is all") > toy.score("a harmless text")
 
 
+def test_tokens_with_digits_or_symbols_inside(toy):
+    for disguised in ("gr0bian", "gro*bian", "(grob-ian),", "grob_ian", "1robian"):
+        text = f"well you are a {disguised} and that is all"
+        assert toy.figures(text)[2] > 0 and toy.score(text) == toy.score("well you are a grobiaan and that is all"), disguised
+    quoted = toy.figures('then he said "gr0bian" to them and left')
+    assert quoted[2] == 0 and quoted[3] > 0
+    # What matches as a run of letters is counted once; two edits are none.
+    assert toy.figures("a grobian-like man")[0] == toy.figures("a grobian like man")[0]
+    assert toy.figures("a grobian-like man")[2] == 0
+    assert toy.figures("you gr0b1an") is None and toy.figures("see 12-34 x_y") is None
+
+
+def test_bytes_to_learn_from_are_bounded(make, spark):
+    docs = make([(i, f"text {i} " + "x" * 1000) for i in range(4000)])
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    every, _, plain = tx.sample(docs, labels)
+    texts, toxic, weights = tx.sample(docs, labels, class_bytes=200_000)
+    assert len(every) > 2500 and set(plain) == {1.0}
+    assert 300 < len(texts) < 500 and {0, 1} == set(toxic)
+    assert set(texts) <= set(every) and abs(sum(weights) - len(every)) < 0.2 * len(every)
+
+
 def test_held_out_scores_of_the_query(spark):
     sf = "/root/testdata/sf0.1"
     got = tx.op7(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
