@@ -8,12 +8,15 @@ the mark that ends its turn.
 
 Conversations are rendered in parts of ``PART`` turns, so that no row grows with
 the longest conversation; parts are numbered from 0, and spans count from the
-start of their part.
+start of their part.  A part that begins with another turn than a system turn opens
+with the last system turn before it, which ``n_turns`` does not count again.
 
 * A NULL or empty role is the speaker ``unknown``; NULL text is empty.
 * Turns go by ``turn`` (NULL first), then role, then text; repeated rows stay.
 * Rows with a NULL ``conv_id`` are one conversation.  A conversation of system
   turns alone has no participant and gives no row.
+* An empty table gives no rows; texts of any length stay whole.
+* Columns other than the four that are read are left out, so names cannot clash.
 * The marks of the format inside a text or role are broken up by a space.
 """
 
@@ -36,9 +39,11 @@ def _plain(value: Column) -> Column:
 
 
 def rotate(turns: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """One row per turn and participant: ``conv_id``, ``speaker``, ``n``, ``head``, ``body``, ``own``.
+    """One row per turn and participant.
 
-    ``n`` numbers the turns of a conversation from 0; ``own`` marks the turns of ``speaker``.
+    ``conv_id``, ``speaker``, ``n``, ``n_system``, ``system``, ``head``, ``body``, ``own``.  ``n`` numbers the
+    turns of a conversation from 0, ``n_system`` counts its system turns so far; ``system`` marks those and
+    ``own`` the turns of ``speaker``.
     """
     role = F.when(F.col("role") == "", None).otherwise(F.col("role"))
     clean = cut(
@@ -50,7 +55,8 @@ def rotate(turns: DataFrame, rows_per_task: int | None = None) -> DataFrame:
         )
     )
     placed = running(
-        clean, ["conv_id"], ["turn", "role", "body"], sums={"n": F.lit(1).cast("long")},
+        clean, ["conv_id"], ["turn", "role", "body"],
+        sums={"n": F.lit(1).cast("long"), "n_system": (F.col("role") == SYSTEM).cast("long")},
         rows_per_task=rows_per_task, total=clean.count(),
     ).withColumn("n", F.col("n") - 1)
     views = cut(
@@ -65,13 +71,32 @@ def rotate(turns: DataFrame, rows_per_task: int | None = None) -> DataFrame:
         .otherwise(F.concat(F.lit("user name="), "role"))
     )
     return placed.join(views, F.col("conv_id").eqNullSafe(F.col("__conv"))).select(
-        "conv_id", "speaker", "n", F.concat(F.lit(OPEN), name, F.lit("\n")).alias("head"), "body", own.alias("own")
+        "conv_id", "speaker", "n", "n_system", (F.col("role") == SYSTEM).alias("system"),
+        F.concat(F.lit(OPEN), name, F.lit("\n")).alias("head"), "body", own.alias("own"),
     )
 
 
+def _repeated(rotated: DataFrame, part: int) -> DataFrame:
+    """The system turns that open later parts, as rows of ``rotated`` with the ``n`` of the first turn."""
+    of = rotated.filter("system").select(
+        F.col("conv_id").alias("__conv"), F.col("speaker").alias("__speaker"), F.col("n_system").alias("__nr"),
+        "head", "body",
+    )
+    late = rotated.filter((F.col("n") > 0) & (F.col("n") % part == 0) & ~F.col("system") & (F.col("n_system") > 0))
+    on = (
+        F.col("conv_id").eqNullSafe(F.col("__conv"))
+        & (F.col("speaker") == F.col("__speaker"))
+        & (F.col("n_system") == F.col("__nr"))
+    )
+    return late.drop("head", "body").join(of, on).drop("__conv", "__speaker", "__nr").withColumn("own", F.lit(False))
+
+
 def render(rotated: DataFrame, part: int = PART) -> DataFrame:
     """``conv_id``, ``speaker``, ``part``, ``n_turns``, ``text`` and ``spans``."""
-    piece = F.struct("n", "head", "body", "own")
+    piece = F.struct("n", "fresh", "head", "body", "own")
+    pieces = rotated.withColumn("fresh", F.lit(True)).unionByName(
+        _repeated(rotated, part).withColumn("fresh", F.lit(False))
+    )
     close = f"{CLOSE}\n"
     texts = F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(close)))
     # One walk over the pieces keeps the place and notes where own words begin and end.
@@ -83,10 +108,10 @@ def render(rotated: DataFrame, part: int = PART) -> DataFrame:
         " a -> a.out)"
     )
     return (
-        rotated.groupBy("conv_id", "speaker", F.floor(F.col("n") / part).alias("part"))
-        .agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+        pieces.groupBy("conv_id", "speaker", F.floor(F.col("n") / part).alias("part"))
+        .agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.count_if("fresh").alias("n_turns"))
         .select(
-            "conv_id", "speaker", "part", F.size("pieces").cast("long").alias("n_turns"),
+            "conv_id", "speaker", "part", "n_turns",
             F.array_join(texts, "").alias("text"), spans.alias("spans"),
         )
     )
@@ -97,21 +122,29 @@ WITH c AS MATERIALIZED (
   SELECT conv_id, turn, regexp_replace(replace(coalesce(nullif(role, ''), 'unknown'), '<|im_', '<| im_'),
          '[\\r\\n]', ' ', 'g') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS body
   FROM conversations),
-t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) - 1 AS n FROM c),
+t AS (SELECT *, row_number() OVER w - 1 AS n,
+             CAST(count(*) FILTER (role = '{SYSTEM}') OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_system
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body)),
 v AS (SELECT DISTINCT conv_id, role AS speaker FROM c WHERE role <> '{SYSTEM}'),
+u AS (
+  SELECT conv_id, role, body, n, true AS fresh FROM t
+  UNION ALL
+  SELECT t.conv_id, s.role, s.body, t.n, false FROM t JOIN t s
+    ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.n_system = s.n_system AND s.role = '{SYSTEM}'
+  WHERE t.n > 0 AND t.n % {PART} = 0 AND t.role <> '{SYSTEM}'),
 r AS (
-  SELECT t.conv_id, speaker, n, n // {PART} AS part, role = speaker AS own, body,
+  SELECT u.conv_id, speaker, n, fresh, n // {PART} AS part, role = speaker AS own, body,
          '{OPEN}' || CASE WHEN role = '{SYSTEM}' THEN role WHEN role = speaker THEN 'assistant'
                      ELSE 'user name=' || role END || chr(10) AS head
-  FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
+  FROM u JOIN v ON u.conv_id IS NOT DISTINCT FROM v.conv_id),
 p AS (
   SELECT *, head || body || '{CLOSE}' || chr(10) AS piece,
          coalesce(sum(length(head) + length(body) + {len(CLOSE) + 1}) OVER (
-           PARTITION BY conv_id, speaker, part ORDER BY n
+           PARTITION BY conv_id, speaker, part ORDER BY n, fresh
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin
   FROM r)
-SELECT conv_id, speaker, part::BIGINT AS part, count(*) AS n_turns,
-       string_agg(piece, '' ORDER BY n) AS text,
+SELECT conv_id, speaker, part::BIGINT AS part, count(*) FILTER (fresh) AS n_turns,
+       string_agg(piece, '' ORDER BY n, fresh) AS text,
        string_agg(begin || '-' || (begin + length(body) + {len(CLOSE)}), ',' ORDER BY n)
          FILTER (WHERE own) AS spans
 FROM p GROUP BY conv_id, speaker, part

@@ -1,3 +1,5 @@
+import pytest
+
 from flowloom.llm import chat_format as cf
 
 ROWS = [
@@ -46,6 +48,36 @@ def test_long_conversations_come_in_parts(spark):
     assert spoken == [f"text é {i}<|im_end|>" for i in range(0, 25, 3)]
 
 
+LONG_TALK = [
+    (7, i, "system" if i in (0, 12, 20) else "ann" if i % 3 else "bob", f"text é {i}") for i in range(35)
+] + [(None, i, "system" if i == 3 else "eve", "x" * 5000) for i in range(11)]
+
+
+def test_later_parts_open_with_the_system_turn_before_them(spark):
+    got = render(spark, LONG_TALK, part=10, rows_per_task=4)
+    system = [got[7, "bob", p]["text"].split("<|im_end|>")[0] for p in range(4)]
+    assert system == [f"<|im_start|>system\ntext é {i}" for i in (0, 0, 20, 20)]
+    assert [got[7, "bob", p]["n_turns"] for p in range(4)] == [10, 10, 10, 5]
+    assert [x for p in range(4) for x in covered(got[7, "bob", p])] == [
+        f"text é {i}<|im_end|>" for i in range(0, 35, 3) if i not in (0, 12)
+    ]
+    assert got[None, "eve", 1]["text"].startswith("<|im_start|>system\nxxxx") and got[None, "eve", 1]["n_turns"] == 1
+
+
+def test_parts_equal_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("rows", pd.DataFrame(LONG_TALK + ROWS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.execute("CREATE VIEW conversations AS SELECT * FROM rows")
+    sql = cf.SQL.replace(f"// {cf.PART}", "// 10").replace(f"% {cf.PART}", "% 10")
+    want = {(r[0], r[1], r[2]): r[3:] for r in con.execute(sql).fetchall()}
+    got = render(spark, LONG_TALK + ROWS, part=10)
+    spans = lambda r: ",".join(f"{s['begin']}-{s['end']}" for s in r["spans"]) or None
+    assert {k: (r["n_turns"], r["text"], spans(r)) for k, r in got.items()} == want
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
     from pyspark.sql import functions as F
