@@ -8,9 +8,12 @@ different languages after each other; the labels are the texts' own.
 Forward-backward gives each word a distribution over languages, so that a text
 may switch; the text's language is the one with the largest mean, its score.
 
-Training takes at most about ``PER_LANG`` texts of each language, chosen by a
-hash of the text, and runs on the driver within that bound.  Prediction runs in
-tasks, over whole texts, a batch of texts at a time.
+Every language of a training text is learned, from about ``PER_LANG`` of its distinct
+texts, chosen by a hash of the text, or from all if it has fewer.  With many languages
+or long texts the number falls, to keep about ``TEXTS`` texts and ``LANG_BYTES`` bytes of
+each language, but not below ``LEAST``.  Training runs on the driver within that
+bound; prediction in tasks, over whole texts, a batch of texts at a time.  A model of
+many languages has fewer slots and shorter lists, so that its size is bounded.
 
 * NULL texts and texts without a letter are ``und`` with score 0, and so is
   everything if there is nothing to learn from.
@@ -28,16 +31,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import held_out, query, table
+from flowloom.operators.lineage import cut
 
 PER_LANG = 1000
-# Languages that can be learned; each has its weights in every task.
-MOST_LANGS = 200
-SLOTS = 1 << 16
-LISTED = 2000
+# Texts of all languages, bytes of one and the least number of texts of one.
+TEXTS = 200_000
+LANG_BYTES = 16 << 20
+LEAST = 20
+# Feature slots and frequent words of a language, and bounds on those of all.
+SLOTS, WEIGHTS = 1 << 16, 1 << 24
+LISTED, ALL_LISTED = 2000, 400_000
 SEED = 5
 # Words whose emissions a worker remembers, and word positions worked on at once.
 REMEMBER = 300_000
@@ -58,6 +65,7 @@ class Model:
     weights: np.ndarray
     moves: np.ndarray
     listed: dict[str, list[int]]
+    slots: int = SLOTS
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature slots and the word each belongs to; every word has some."""
@@ -79,9 +87,9 @@ class Model:
             inside = left[: len(code)] >= n
             if n > 3:  # the long ones only as prefix or suffix
                 inside &= (place[: len(code)] == 0) | (left[: len(code)] == n)
-            slots.append((code[inside] >> np.uint64(40)).astype(np.int64) % SLOTS)
+            slots.append((code[inside] >> np.uint64(40)).astype(np.int64) % self.slots)
             owners.append(owner[: len(code)][inside])
-        lists = [(SLOTS + s, i) for i, w in enumerate(words) for s in self.listed.get(w, ())]
+        lists = [(self.slots + s, i) for i, w in enumerate(words) for s in self.listed.get(w, ())]
         if lists:
             s, i = zip(*lists)
             slots.append(np.array(s, np.int64))
@@ -162,12 +170,14 @@ def fit(texts: list[str], langs: list[str], seed: int = SEED, rounds: int = 60,
             k = labels.index(lang)
             by_label[k].append(found)
             counts[k].update(found)
+    n = len(labels)
+    most_listed = min(LISTED, ALL_LISTED // max(1, n))
     listed: dict[str, list[int]] = {}
     for k, count in enumerate(counts):
-        for word, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LISTED]:
+        for word, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: most_listed]:
             listed.setdefault(word, []).append(k)
-    n = len(labels)
-    model = Model(labels, np.zeros((SLOTS + n, n)), np.zeros((n, n)), listed)
+    slots_of_all = min(SLOTS, max(1 << 11, WEIGHTS // max(1, n)))
+    model = Model(labels, np.zeros((slots_of_all + n, n)), np.zeros((n, n)), listed, slots_of_all)
     usable = [k for k in range(n) if by_label[k]]
     if not usable:
         return Model([], np.zeros((SLOTS, 0)), np.zeros((0, 0)), {})
@@ -209,17 +219,25 @@ def fit(texts: list[str], langs: list[str], seed: int = SEED, rounds: int = 60,
     return model
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from: about ``per_lang`` of each language at most."""
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    chance: Column = F.lit(0.0)
-    for r in sizes:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(per_lang / r["count"])).otherwise(chance)
-    drawn = F.xxhash64("text", F.lit(SEED)) / F.lit(2.0**64) + 0.5
+def sample(docs: DataFrame, per_lang: int = PER_LANG, lang_bytes: int = LANG_BYTES) -> tuple[list[str], list[str]]:
+    """Distinct texts and languages to learn from; see the module for how many."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    digest = F.xxhash64("text", F.lit(SEED))
+    # Repeated texts must not use up a language's share, so distinct ones are counted.
+    langs = known.groupBy("lang").agg(
+        F.approx_count_distinct(digest, 0.02).alias("_texts"), F.avg(F.octet_length("text")).alias("_bytes")
+    )
+    langs = cut(langs)
+    share = max(LEAST, min(per_lang, TEXTS // max(1, langs.count())))
+    wanted = F.greatest(F.lit(LEAST), F.least(F.lit(share), F.lit(lang_bytes) / F.greatest("_bytes", F.lit(1.0))))
+    # One small row for each language; Spark broadcasts them where it finds them small.
+    chance = langs.select(F.col("lang").alias("_lang"), (wanted / F.col("_texts")).alias("_chance"))
     rows = (
-        known.filter(F.col("text").isNotNull() & (drawn < chance))
+        known.select("text", "lang")
+        .join(chance, F.col("lang") == F.col("_lang"))
+        .filter(digest / F.lit(2.0**64) + 0.5 < F.col("_chance"))
         .select("text", "lang")
+        .distinct()
         .toArrow()
         .sort_by([("lang", "ascending"), ("text", "ascending")])
     )

@@ -64,6 +64,34 @@ def test_nothing_to_learn_from(edge):
     assert {r["lang_pred"] for r in li.identify(edge, untaught).collect()} == {"und"}
 
 
+def test_every_language_is_learned_whatever_its_copies(spark):
+    rows = [(i, f"copy of one text {i % 2}", "xx", "a") for i in range(3000)]
+    rows += [(3000 + i, f"some text number {i} of its own", "yy", "a") for i in range(3000)]
+    rows += [(6000 + 4 * i + k, f"lang {i} text", f"l{i:03}", "a") for i in range(300) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    texts, langs = li.sample(docs, per_lang=100)
+    assert langs.count("xx") == 2 and 60 < langs.count("yy") < 140
+    assert {f"l{i:03}" for i in range(300)} <= set(langs)
+    assert len(set(zip(texts, langs))) == len(texts)
+    assert li.sample(docs, per_lang=100, lang_bytes=1)[1].count("yy") in range(li.LEAST // 3, 3 * li.LEAST)
+    many = li.fit(texts, langs, rounds=1, size=2)
+    assert len(many.labels) == len(set(langs)) and many.slots < li.SLOTS
+    assert many.weights.shape == (many.slots + len(many.labels), len(many.labels))
+
+
+def test_the_query_predicts_every_row_from_the_text_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = li.op5(spark, "/root/testdata/sf0.01")
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    got = got.toPandas().set_index("doc_id")
+    want = docs.select("doc_id", "lang", "text", li.held_out(F.col("doc_id")).alias("h")).toPandas().set_index("doc_id")
+    assert len(got) == len(want) and (got["held_out"].sort_index() == want["h"].sort_index()).all()
+    learned = set(want["lang"].dropna())
+    silent = want["text"].map(lambda t: t is None or not li.word_list(t))
+    assert ((got["lang_pred"] == "und").sort_index() == silent.sort_index()).all()
+    assert set(got["lang_pred"]) <= learned | {"und"} and got["score"].between(0, 1).all()
+
+
 def test_same_training_rows_give_the_same_model(model, spark):
     again = li.fit(*li.sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)))
     assert np.array_equal(model.weights, again.weights)
