@@ -209,6 +209,7 @@ class Model:
     center: np.ndarray = field(default_factory=lambda: np.zeros(0))
     base: float = -math.inf
     cache: dict = field(default_factory=dict)
+    whole: dict = field(default_factory=dict)
 
     def match(self, word: str) -> tuple[int, int] | None:
         try:
@@ -221,9 +222,21 @@ class Model:
 
     def disguised(self, token: str) -> tuple[int, int] | None:
         """The term that a token with other signs than letters stands for as a whole, or None."""
-        if token.isalpha() or any(map(self.match, _WORD.findall(token))):
+        if token.isalpha():
             return None
-        return self.match(token)
+        runs = _WORD.findall(token)
+        return self.match(token) if runs and not any(map(self.match, runs)) else None
+
+    def tokens(self, blanked: str) -> tuple[str, ...]:
+        """The disguised tokens in what stands between two blanks."""
+        try:
+            return self.whole[blanked]
+        except KeyError:
+            if len(self.whole) >= REMEMBER:
+                self.whole.clear()
+            found = tuple(t for t in _TOKEN.findall(blanked) if self.disguised(t))
+            self.whole[blanked] = found
+            return found
 
     def figures(self, text: str) -> list[float] | None:
         """What the regression looks at; None without any match."""
@@ -232,7 +245,7 @@ class Model:
             text = lower
         # The distinct words and tokens of most texts match nothing.
         plain = any(map(self.match, set(_WORD.findall(lower))))
-        tokens = {t for t in set(_TOKEN.findall(lower)) if self.disguised(t)}
+        tokens = {t for b in set(lower.split()) if not b.isalpha() for t in self.tokens(b)}
         if not plain and not tokens:
             return None
         spans = list(_WORD.finditer(lower))
@@ -295,7 +308,7 @@ def fit(texts: list[str], toxic: list[int], weights: list[float]) -> Model:
         gradient = x.T @ (w * (y - p)) - ridge * theta
         hessian = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         theta = theta + np.linalg.solve(hessian, gradient)
-    model.base, model.center, model.cache = float(theta[0]), theta[1:], {}
+    model.base, model.center, model.cache, model.whole = float(theta[0]), theta[1:], {}, {}
     return model
 
 
