@@ -297,3 +297,24 @@ def test_triangles_are_dealt_out_by_work(spark, monkeypatch):
     work = sorted(r["work"] for r in parts)
     assert len(work) > 20 and work[-1] <= 2.5 * work[len(work) // 2]
     assert sum(work) == sum((nodes - 1 - v) ** 2 for v in range(nodes - 1))
+
+
+def test_triangles_of_large_graphs_move_edges_and_no_lists(spark, monkeypatch):
+    """Beyond one task's rows every edge goes to one team for each colour, hubs included."""
+    rnd = random.Random(7)
+    data = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(700)} | {(100, n) for n in range(60)}
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in data] + [(900, n, 1.0) for n in range(1000, 1300)], SCHEMA)
+    near = adjacency([(a, b, 1.0) for a, b in data])
+    found = [t for t in combinations(sorted(near), 3) if all(b in near[a] for a, b in combinations(t, 2))]
+    pairs = e.selectExpr("least(src, dst) AS a", "greatest(src, dst) AS b")
+    n = pairs.count()
+    rows = graph._teams(pairs, n, 100).collect()
+    assert len(rows) % n == 0 and len(rows) > n
+    held = {}
+    for r in rows:
+        held[r["team"]] = held.get(r["team"], 0) + 1
+    assert max(held.values()) <= 400
+    monkeypatch.setattr(graph, "_common_neighbours", None)
+    assert graph.triangle_count(e, 100).first()[0] == len(found)
+    got = {r["node"]: r["triangles"] for r in graph.clustering(e, 100).collect()}
+    assert {x: t for x, t in got.items() if t} == {x: sum(x in f for f in found) for x in near}
