@@ -6,21 +6,25 @@ bounds what a lost executor costs.  A loop ends when nothing changes any more
 and raises if that takes more rounds than allowed.
 
 The edges do not change between rounds, so their hot keys are found and salted
-once.  A vertex table is broadcast to the edges while its counted rows are
-below ``BROADCAST_ROWS``; beyond that both sides are shuffled by salted keys.
+once and they are written in buckets by salted key.  A vertex table is broadcast
+to the edges while its counted rows are below ``BROADCAST_ROWS``; beyond that it
+is shuffled to the buckets, and the edges stay where they are.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.graph import undirected
-from flowloom.operators.lineage import Levels, Rounds, cut
+from flowloom.operators import spread
+from flowloom.operators.lineage import Levels, Rounds, bucketed, cut
 from flowloom.operators.spread import (
     BROADCAST_ROWS,
+    MAX_HOT,
     copy_rows,
     fits_one_task,
     hot_keys,
@@ -40,16 +44,24 @@ class Adjacency:
     key: str
     rows: DataFrame
     hot: DataFrame | None
+    #: Whether any key has more rows than one task should take.
+    crowded: bool = False
 
     @classmethod
-    def of(cls, e: DataFrame, key: str, rows_per_task: int | None = None) -> Adjacency:
-        e = cut(e)
+    def of(
+        cls, e: DataFrame, key: str, rows_per_task: int | None = None, ready: bool = False
+    ) -> Adjacency:
+        """``ready`` says that ``e`` is cheap to read again, as rows of a written table are."""
+        e = e if ready else cut(e)
         n = e.count()
         if fits_one_task(n, rows_per_task):
-            return cls(key, e, None)
+            return cls(key, cut(e), None)
         hot = cut(hot_keys(e, [key], rows_per_task, total=n).select(key, "_parts"))
+        limit = max(rows_per_task or spread.ROWS_PER_TASK, n / MAX_HOT)
+        buckets = max(e.sparkSession.sparkContext.defaultParallelism, math.ceil(n / limit))
         # Written with their salts, so that the loop does not make them again.
-        return cls(key, cut(salt_rows(e, [key], hot)), hot)
+        rows = bucketed(salt_rows(e, [key], hot), [key, "_salt"], buckets)
+        return cls(key, rows, hot, not hot.isEmpty())
 
     def join(self, nodes: DataFrame, n_nodes: int) -> DataFrame:
         """Edges with the columns of ``nodes``, which has the key column of this end."""
@@ -355,9 +367,9 @@ def core_numbers(
             undone = undone.join(gone.select(F.col("node").alias(end)), end, "left_anti")
         undone = cut(undone)
         degree = degrees(undone)
-    near = Adjacency.of(_two_ways(undone), "src", rows_per_task)
+    near = Adjacency.of(_two_ways(undone), "src", rows_per_task, ready=True)
     n = degree.count()
-    state = Rounds()
+    state, due_state = Rounds(), Rounds()
     values = state.step(
         degree.select("node", F.col("d").alias("core"), F.lit(0).alias("round")), n=F.count(F.lit(1))
     )
@@ -365,21 +377,30 @@ def core_numbers(
     for number in range(1, give_up + 1):
         if not fallen:
             break
-        told = near.join(values.select(F.col("node").alias("src"), F.col("core").alias("told"), "round"), n)
+        due = values
         if number > 1:
-            again = told.filter(F.col("round") == number - 1).select(F.col("dst").alias("node")).distinct()
-            due = cut(values.join(again, "node", "left_semi"))
-        else:
-            due = values
+            changed = values.filter(F.col("round") == number - 1).select(F.col("node").alias("src"))
+            again = near.join(changed, fallen).select(F.col("dst").alias("node")).distinct()
+            due = due_state.step(values.join(again, "node", "left_semi"), n=F.count(F.lit(1)))
+        n_due = due_state.facts["n"] if number > 1 else n
         # Seen from the other end every edge tells the value of its source.
-        counted = (
-            told.select(F.col("dst").alias("node"), "told")
-            .groupBy("node", "told")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .join(due.select("node", "core"), "node")
-            .groupBy("node", F.least("told", "core").alias("told"), "core")
-            .agg(F.sum("n").alias("n"))
-        )
+        wanted = due.select("node", "core")
+        few = n_due <= BROADCAST_ROWS
+        edges = near
+        if few:
+            edges = replace(near, rows=near.rows.join(F.broadcast(wanted.withColumnRenamed("node", "dst")), "dst"))
+        told = edges.join(values.select(F.col("node").alias("src"), F.col("core").alias("told")), n)
+        told = told.select(F.col("dst").alias("node"), "told", *(["core"] if few else []))
+        if near.crowded:
+            # Counted on both sides of the shuffle, as a hub hears more than a task should take.
+            told = told.groupBy(*told.columns).agg(F.count(F.lit(1)).alias("n"))
+        else:
+            # One shuffle by vertex serves the join and both groupings.
+            told = told.repartition("node")
+        if not few:
+            told = told.join(wanted, "node")
+        several = F.sum("n") if "n" in told.columns else F.count(F.lit(1))
+        counted = told.groupBy("node", F.least("told", "core").alias("told"), "core").agg(several.alias("n"))
         # The counts from the top down: the h-index is the best of min(value, neighbours so far).
         steps = F.reverse(F.sort_array(F.collect_list(F.struct("told", "n"))))
         best = F.aggregate(

@@ -318,3 +318,49 @@ def test_triangles_of_large_graphs_move_edges_and_no_lists(spark, monkeypatch):
     assert graph.triangle_count(e, 100).first()[0] == len(found)
     got = {r["node"]: r["triangles"] for r in graph.clustering(e, 100).collect()}
     assert {x: t for x, t in got.items() if t} == {x: sum(x in f for f in found) for x in near}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rounds_shuffle_vertices_to_the_edges_and_not_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "BROADCAST_ROWS", 0)
+    e = spark.createDataFrame(random_edges(3, 60, 200), SCHEMA).select("src", "dst").distinct()
+    near = iterate.Adjacency.of(e, "src", 100)
+    nodes = e.select("src").distinct().withColumn("value", F.lit(1))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        held = iterate.cut(nodes)
+        assert exchanges(near.join(held, 10**9)) == 1
+    finally:
+        spark.conf.set(key, before)
+    assert near.join(nodes, 10**9).count() == e.count()
+    assert not near.crowded and iterate.Adjacency.of(e, "src", 2).crowded
+
+
+def test_large_loops_without_hubs(spark, monkeypatch):
+    """Buckets of edges and one shuffle a round give what small graphs give."""
+    data = random_edges(5, 60, 200)
+    e = spark.createDataFrame(data, SCHEMA).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    want = as_dict(iterate.label_propagation(e, rounds=3))
+    scores = as_dict(iterate.hits(e, rounds=3))
+    monkeypatch.setattr(iterate, "BROADCAST_ROWS", 0)
+    assert as_dict(iterate.label_propagation(e, rounds=3, rows_per_task=50)) == want
+    for x, got in as_dict(iterate.hits(e, rounds=3, rows_per_task=50)).items():
+        assert got == pytest.approx(scores[x], abs=1e-12)
+    rows = iterate.core_numbers(e, rows_per_task=50).collect()
+    assert {r["node"]: r["core"] for r in rows} == peeled(data)
+
+
+def test_hits_salt_one_edge_list_if_receivers_are_few(spark, monkeypatch):
+    e = spark.createDataFrame([(n, 1000 + n % 5, 1.0) for n in range(200)], SCHEMA)
+    want = as_dict(iterate.hits(e, rounds=2))
+    made, of = [], iterate.Adjacency.of
+    monkeypatch.setattr(iterate.Adjacency, "of", lambda *a, **k: made.append(a[1]) or of(*a, **k))
+    monkeypatch.setattr(iterate, "BROADCAST_ROWS", 10)
+    got = as_dict(iterate.hits(e, rounds=2, rows_per_task=50))
+    assert made == ["src"]
+    assert all(got[x] == pytest.approx(want[x], abs=1e-12) for x in want)
