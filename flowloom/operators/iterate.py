@@ -477,7 +477,10 @@ def hits(
     by_dst = Adjacency.of(pairs, "dst", rows_per_task)
     nodes = cut(_nodes(pairs))
     n = nodes.count()
-    state = Rounds()
+    n_dst = pairs.select("dst").distinct().count()
+    # Few receivers are broadcast to the edges by sender, whose sums then are complete in their buckets.
+    by_dst = by_src if n_dst <= BROADCAST_ROWS else Adjacency.of(pairs, "dst", rows_per_task)
+    state, half = Rounds(), Rounds()
     scores = nodes.select("node", F.lit(1.0).alias("hub"), F.lit(0.0).alias("authority"))
     hub_sum = authority_sum = 1.0
 
@@ -486,8 +489,12 @@ def hits(
 
     for _ in range(rounds):
         hubs = scores.select(F.col("node").alias("src"), (F.col("hub") / hub_sum).alias("s"))
-        authority = gather(by_src.join(hubs, n), "dst", F.col("s"))
-        sent_back = by_dst.join(authority.withColumnsRenamed({"node": "dst", "score": "s"}), n)
+        authority = half.step(gather(by_src.join(hubs, n), "dst", F.col("s")))
+        received = authority.withColumnsRenamed({"node": "dst", "score": "s"})
+        if n_dst <= BROADCAST_ROWS:
+            sent_back = by_dst.rows.join(F.broadcast(received), "dst")
+        else:
+            sent_back = by_dst.join(received, n_dst)
         hub = gather(sent_back, "src", F.col("s"))
         zero = F.lit(0.0)
         was = zero if tol is None else F.col("hub") / hub_sum
