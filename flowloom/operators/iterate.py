@@ -442,21 +442,29 @@ def label_propagation(
     of those that tie.  Vertices without neighbours keep their own.
     """
     e = cut(e.select("src", "dst", "weight"))
-    near = Adjacency.of(both_directions(e), "src", rows_per_task)
+    pairs = cut(undirected(e).select("a", "b"))
+    near = Adjacency.of(_two_ways(pairs), "src", rows_per_task, ready=True)
     nodes = cut(_nodes(e))
     state = Rounds()
     n = nodes.count()
     labels = nodes.withColumn("label", F.col("node"))
     for _ in range(rounds):
-        votes = (
-            near.join(labels.withColumnRenamed("node", "src"), n)
-            .groupBy(F.col("dst").alias("node"), "label")
-            .agg(F.count(F.lit(1)).alias("votes"))
+        told = near.join(labels.withColumnRenamed("node", "src"), n).select(
+            F.col("dst").alias("node"), "label"
         )
+        if not near.crowded:
+            # One shuffle by vertex serves both groupings.  A hub that hears more than a task
+            # should take is counted by label on both sides of a shuffle first.
+            told = told.repartition("node")
+        votes = told.groupBy("node", "label").agg(F.count(F.lit(1)).alias("votes"))
         own = nodes.select("node", F.col("node").alias("label"), F.lit(0).cast("bigint").alias("votes"))
         first = F.struct((-F.col("votes")).alias("fewer"), "label")
+        best = votes.groupBy("node").agg(F.min_by(F.struct("label", "votes"), first).alias("best"))
         labels = state.step(
-            votes.unionByName(own).groupBy("node").agg(F.min_by("label", first).alias("label"))
+            best.select("node", "best.*")
+            .unionByName(own)
+            .groupBy("node")
+            .agg(F.min_by("label", first).alias("label"))
         )
     return labels
 
@@ -474,7 +482,6 @@ def hits(
     """
     pairs = cut(e.select("src", "dst").distinct())
     by_src = Adjacency.of(pairs, "src", rows_per_task)
-    by_dst = Adjacency.of(pairs, "dst", rows_per_task)
     nodes = cut(_nodes(pairs))
     n = nodes.count()
     n_dst = pairs.select("dst").distinct().count()
