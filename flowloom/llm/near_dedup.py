@@ -473,7 +473,8 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         .withColumn("alone", F.coalesce("alone", F.lit(0)))
         .filter(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size"))
     )
-    met = cut(met.join(facts.select("cid"), "cid"))
+    lists = met.groupBy("cid").agg(F.collect_list("key").alias("keys"))
+    met = cut(lists.join(facts.select("cid"), "cid").select(F.explode("keys").alias("key"), "cid"))
     shared = cut(
         met.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("leader"))
@@ -521,7 +522,23 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         )
         left = cut(left.join(cut(apart), "key"))
     # Blocks follow the members that are still apart, not all that have the key.
-    left = cut(left.select("key", "cid", "part").join(facts.select("cid", "size", "alone", "data"), "cid"))
+    # What a class brings along is joined once for the class, which has a list of at most
+    # CHUNKS * CHUNK keys, and goes to its keys from there.
+    lists = cut(
+        left.groupBy("cid", "part")
+        .agg(F.collect_list("key").alias("keys"))
+        .join(facts.select("cid", "size", "alone", "data"), "cid")
+    )
+    further = (
+        sets.join(lists.select("cid"), "cid", "left_semi")
+        .mapInArrow(_further, "cid long, more binary")
+        .dropDuplicates(["cid"])
+    )
+    left = cut(
+        lists.join(further, "cid").select(
+            F.explode("keys").alias("key"), "cid", "part", "size", "alone", "data", "more"
+        )
+    )
     blocks = cut(
         left.groupBy("key").agg(
             F.greatest(
@@ -529,12 +546,6 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             ).cast("int").alias("blocks")
         )
     )
-    further = cut(
-        sets.join(left.select("cid").distinct(), "cid", "left_semi")
-        .mapInArrow(_further, "cid long, more binary")
-        .dropDuplicates(["cid"])
-    )
-    left = left.join(further, "cid")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     group = ["key", "one", "two"]
     grouped = (

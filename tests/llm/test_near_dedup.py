@@ -112,3 +112,23 @@ def test_one_stays_of_texts_without_ids_or_with_the_same(make):
     left = [r["text"] for r in nd.keep_one(make(rows)).collect()]
     assert len(left) == 4 and {"quite another text", None, ""} < set(left)
     assert len(nd.keep_one(make([(3, near(5)), (3, near(90)), (4, near(180)), (None, near(60))])).collect()) == 1
+
+
+def test_what_a_class_has_is_joined_once_for_the_class(make, monkeypatch):
+    """Not once for each key: a group of near copies shares up to 64 keys a member."""
+    words = [f"w{n}" for n in range(300)]
+    texts = [" ".join([*words[:n], f"new{n}", *words[n + 1 :]]) for n in range(0, 300, 10)]
+    docs = make(list(enumerate(texts)))
+    frame, joined = type(docs), []
+    join = frame.join
+
+    def seen(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "cid" and how is None:
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "join", seen)
+    rows = nd.near_duplicates(docs).collect()
+    assert {r["component_id"] for r in rows} == {0}
+    assert joined and max(joined) <= len(texts)
