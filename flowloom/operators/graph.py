@@ -10,22 +10,26 @@ import math
 from collections import Counter
 from itertools import combinations_with_replacement
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import money, ratio
 from flowloom.operators.lineage import cut
 from flowloom.operators.spread import fits_one_task, hot_keys, join_spread, running
+from flowloom.operators.teams import packing, solving
 
 # Triangles: neighbours of a vertex that a row holds at once, and entries of
 # neighbour lists that a task reads.
 SLICE = 32
 ENTRIES_PER_TASK = 2_000_000
-# Beyond one task's rows: edges that a team of three colours holds, about, and most colours.
-TEAM_EDGES = 3_000_000
+# Beyond one task's rows: edges that a team of three colours holds, about, and colours, of which
+# few would leave few tasks.
+TEAM_EDGES = 8_000_000
+MIN_COLOURS = 6
 MAX_COLOURS = 128
+# Most tasks that teams are dealt to, and edges that are worth one.
+MAX_TASKS = 2_000
+MIN_EDGES = 10_000
 
 
 def edges(f: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -221,8 +225,8 @@ def _largest_team(pairs: DataFrame, colours: int) -> int:
     return max(sum(n[block] for block in {(x, y), (x, z), (y, z)}) for x, y, z in teams)
 
 
-def _teams(pairs: DataFrame, n: int, rows_per_task: int | None) -> DataFrame:
-    """``pairs`` with ``team`` and ``same``: every edge in each team that has both its colours.
+def _teams(pairs: DataFrame, n: int, rows_per_task: int | None, pack: bool = False) -> DataFrame:
+    """``pairs`` in teams: every edge in each ``team`` that has both its colours, ``x <= y``.
 
     Vertices are coloured by hash and a team is three colours, equal ones among
     them.  All edges of a triangle meet in the team of its three colours.  An
@@ -231,96 +235,42 @@ def _teams(pairs: DataFrame, n: int, rows_per_task: int | None) -> DataFrame:
     the edges and neighbour lists do not travel at all.  Edges of a hub are in
     the teams of its colour; there are more colours where that fills a team.
 
-    Teams of two colours also see triangles of one: those have two edges that
-    are the ``same`` colour, and count in the team of that colour only.
+    With ``pack`` edges are shuffled once, to the block of their two colours.  They are packed
+    there, a byte or two for most of them, and it is packed blocks that go to the
+    teams.  Rows of a team are then in one task and follow each other.
     """
     limit = rows_per_task or TEAM_EDGES
-    colours = min(MAX_COLOURS, math.ceil(math.sqrt(6 * n / limit)))
+    colours = min(MAX_COLOURS, max(MIN_COLOURS, math.ceil(math.sqrt(6 * n / limit))))
     while colours < MAX_COLOURS and _largest_team(pairs, colours) > 4 * limit:
         colours = min(MAX_COLOURS, 2 * colours)
     x, y = (F.pmod(F.xxhash64(c), F.lit(colours)).cast("int") for c in ("a", "b"))
+    ahead = F.col("x") <= F.col("y")
+    rows = pairs.select("a", "b", x.alias("x"), y.alias("y")).select(
+        F.least("x", "y").alias("x"),
+        F.greatest("x", "y").alias("y"),
+        F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("one"),
+        F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("two"),
+    )
+    if pack:
+        blocks = _tasks(math.comb(colours + 1, 2), n)
+        rows = rows.repartitionById(blocks, F.expr("y * (y + 1) DIV 2 + x").cast("int"))
+        rows = rows.mapInArrow(packing(), "x int, y int, edges binary")
     trio = F.sort_array(F.array("x", "y", "z"))
-    return (
-        pairs.select("a", "b", x.alias("x"), y.alias("y"))
-        .withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(colours - 1))))
-        .select(
-            ((trio[0] * colours + trio[1]) * colours + trio[2]).alias("team"),
-            "a",
-            "b",
-            (F.expr("x = y") & (F.col("x") != F.col("z"))).alias("same"),
-        )
+    p, q, r = (trio[k].cast("bigint") for k in range(3))
+    # Numbers without gaps, so that tasks get equally many.
+    number = r * (r + 1) * (r + 2) / 6 + q * (q + 1) / 2 + p
+    dealt = rows.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(colours - 1)))).select(
+        number.cast("int").alias("team"), *rows.columns[:2], "z", *rows.columns[2:]
     )
+    if not pack:
+        return dealt
+    tasks = _tasks(math.comb(colours + 2, 3), n * colours)
+    return dealt.repartitionById(tasks, F.col("team")).sortWithinPartitions("team")
 
 
-def _team_triangles(corners: bool):
-    """The triangles of a team: ``node`` and ``t`` of each corner, or their number ``t``.
-
-    Edges point to the vertex of higher degree in the team.  From an edge (u, v) on,
-    either what follows v in u's list or v's own list, the shorter one, is
-    looked up among the edges of the other end.
-    """
-
-    def run(rows: pa.Table) -> pa.Table:
-        ends = pa.concat_arrays([*rows["a"].chunks, *rows["b"].chunks]).dictionary_encode()
-        codes = ends.indices.to_numpy().astype(np.int64)
-        size, m = len(ends.dictionary), rows.num_rows
-        order = np.argsort(np.bincount(codes, minlength=size), kind="stable")
-        rank = np.empty(size, np.int64)
-        rank[order] = np.arange(size)
-        one, two = rank[codes[:m]], rank[codes[m:]]
-        key = np.minimum(one, two) * size + np.maximum(one, two)
-        place = np.argsort(key)
-        key = key[place]
-        same = rows["same"].to_numpy()[place]
-        u, v = key // size, key % size
-        first = np.searchsorted(u, np.arange(size + 1))
-        after = np.arange(1, m + 1)
-        rest, far = first[u + 1] - after, first[v + 1] - first[v]
-        here = rest <= far
-        length = np.where(here, rest, far)
-        begin = np.where(here, after, first[v])
-        other = np.where(here, v, u) * size
-        # The edges as a bit for each pair where that is small, else by search.
-        bits = None
-        if size * size <= 2**30:
-            bits = np.zeros(size * size // 8 + 1, np.uint8)
-            byte = key >> 3
-            starts = np.flatnonzero(np.diff(byte, prepend=-1))
-            bits[byte[starts]] = np.bitwise_or.reduceat(np.left_shift(1, key & 7).astype(np.uint8), starts)
-        some = np.flatnonzero(length)
-        ahead = np.cumsum(length[some])
-        at, total = 0, 0
-        t = np.zeros(size, np.int64)
-        while at < len(some):
-            done = int(ahead[at - 1]) if at else 0
-            end = max(at + 1, int(np.searchsorted(ahead, done + 1_000_000)))
-            edge = some[at:end]
-            n = length[edge]
-            starts = ahead[at:end] - n - done
-            last = np.repeat(begin[edge] - starts, n)
-            last += np.arange(len(last))
-            far_end = v[last]
-            want = np.repeat(other[edge], n)
-            want += far_end
-            if bits is not None:
-                hit = (bits[want >> 3] >> (want & 7).astype(np.uint8)) & 1
-            else:
-                hit = (key[np.minimum(np.searchsorted(key, want), m - 1)] == want).astype(np.uint8)
-            if same[edge].any():
-                hit[np.repeat(same[edge], n) & same[last]] = 0
-            found = np.add.reduceat(hit, starts, dtype=np.int64)
-            total += int(found.sum())
-            if corners:
-                np.add.at(t, u[edge], found)
-                np.add.at(t, v[edge], found)
-                t += np.bincount(far_end[hit.view(bool)], minlength=size)
-            at = end
-        if not corners:
-            return pa.table({"t": pa.array([total], pa.int64())})
-        met = np.flatnonzero(t)
-        return pa.table({"node": ends.dictionary.take(pa.array(order[met])), "t": pa.array(t[met])})
-
-    return run
+def _tasks(most: int, rows: int) -> int:
+    """Tasks for ``rows`` that fall into at most ``most`` groups."""
+    return min(most, MAX_TASKS, rows // MIN_EDGES + 1)
 
 
 def triangle_count(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
@@ -330,8 +280,7 @@ def triangle_count(e: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     if fits_one_task(n, rows_per_task):
         found = _common_neighbours(pairs, rows_per_task).select(F.size("common").alias("t"))
     else:
-        teams = _teams(pairs, n, rows_per_task).groupBy("team")
-        found = teams.applyInArrow(_team_triangles(False), "t bigint")
+        found = _teams(pairs, n, rows_per_task, pack=True).mapInArrow(solving(False), "t bigint")
     return found.agg(F.coalesce(F.sum("t"), F.lit(0)).cast("bigint").alias("n_triangles"))
 
 
@@ -340,8 +289,8 @@ def _corners(pairs: DataFrame, rows_per_task: int | None) -> DataFrame:
     count = pairs.count()
     if not fits_one_task(count, rows_per_task):
         kind = pairs.schema["a"].dataType.simpleString()
-        teams = _teams(pairs, count, rows_per_task).groupBy("team")
-        return teams.applyInArrow(_team_triangles(True), f"node {kind}, t bigint")
+        teams = _teams(pairs, count, rows_per_task, pack=True)
+        return teams.mapInArrow(solving(True), f"node {kind}, t bigint")
     found = _common_neighbours(pairs, rows_per_task).filter(F.size("common") > 0)
     # Far corners one by one, then both ends of the edge with all its triangles.
     n = F.size("common").cast("bigint")
